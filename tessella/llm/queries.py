@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, repetition
+from . import langid, quality, repetition, toxicity
 from .sampling import fold
 
 
@@ -13,6 +13,26 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _predicted(out: DataFrame, held) -> DataFrame:
+    return out.withColumn("held_out", held).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", 3) == 1
+    out = quality.score_quality(_docs(spark, sf_dir), _labels(spark, sf_dir), ~held)
+    return _predicted(out, held).select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", 5) == 0
+    out = toxicity.score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir), ~held)
+    return _predicted(out, held).select("doc_id", "held_out", "score", "predicted", "spans")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     held = fold("doc_id", 3) == 1
@@ -64,5 +84,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
-QUERIES = {"op3_language": op3_language, "op4_repetition": op4_repetition}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_repetition": op4_repetition}
 ORACLE_SQL = {"op4_repetition": _OP4_SQL}
