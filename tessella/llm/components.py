@@ -10,21 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 
 def _minima(adjacent: DataFrame) -> DataFrame:
-    return adjacent.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+    return shared.cut(adjacent.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node and root of each node of an edge (u, v), the root being the smallest node it reaches, itself left out."""
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    e = shared.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.where("v > u").join(_minima(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct().checkpoint()
+        large = shared.cut(large.where("u <> v").distinct())
         small = large.join(_minima(large), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct().checkpoint()
+        e = shared.cut(small.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

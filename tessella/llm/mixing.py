@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponent on the observed shares where no explicit targets are given: 1 keeps, 0 levels them.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
@@ -87,13 +89,13 @@ def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float] | float]
     """
     spark = docs.sparkSession
     goals = TEMPER | (targets or {})
-    rows = docs.select(
+    rows = shared.cut(docs.select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         topic_of(F.col("text")).alias("topic"),
         F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"),
-    ).checkpoint()
+    ))
     found = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).limit(most_cells + 1).toPandas()
     if len(found) > most_cells:
         raise ValueError(f"more than {most_cells} cells of source, language and topic; map the sources to coarser ones first")

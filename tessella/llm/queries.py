@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, repetition, simhash, toxicity
+from . import decontaminate, langid, mixing, quality, repetition, shared, simhash, toxicity, warc
 from .sampling import fold
 
 
@@ -45,6 +45,17 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    to = shared.fresh(spark, "warc")
+    back = warc.read_records(warc.write_archives(pages, to), to, payloads=False)
+    kind = pages.schema["page_id"].dataType
+    back = back.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+    out = shared.cut(back)
+    shared.remove(spark, to)
+    return out
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
@@ -96,5 +107,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_repetition": op4_repetition, "op6_simhash": op6_simhash, "op7_decontaminate": op7_decontaminate, "op10_mixing": op10_mixing}
-ORACLE_SQL = {"op4_repetition": _OP4_SQL}
+_OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(hex, 1 + 5 * (k // 4)::INT, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM r
+"""
+
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_repetition": op4_repetition, "op5_warc": op5_warc, "op6_simhash": op6_simhash, "op7_decontaminate": op7_decontaminate, "op10_mixing": op10_mixing}
+ORACLE_SQL = {"op5_warc": _OP5_SQL, "op4_repetition": _OP4_SQL}

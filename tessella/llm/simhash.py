@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcols as tc
+from . import shared
 from .components import components
 
 _NO_ID = 1 << 62
@@ -171,7 +172,7 @@ def links(points: DataFrame, radius: int = 4, chunk: int = 2048) -> DataFrame:
         parts = [F.shiftrightunsigned("fp", edges[x]).bitwiseAND(F.lit((1 << (edges[x + 1] - edges[x])) - 1)) for x in (i, j)]
         keys.append(F.lit(t << 56).bitwiseOR(F.shiftleft(parts[0], 24)).bitwiseOR(parts[1]))
     dealt = points.select("fp", "node", F.explode(F.array(*keys)).alias("bucket"))
-    size = dealt.groupBy("bucket").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int")).select("bucket", "chunks").checkpoint()
+    size = shared.cut(dealt.groupBy("bucket").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int")).select("bucket", "chunks"))
     dealt = dealt.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = dealt.select("bucket", "own", "fp", "node", other.alias("other"))
@@ -220,11 +221,11 @@ def links(points: DataFrame, radius: int = 4, chunk: int = 2048) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = 4, chunk: int = 2048) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row."""
-    rows = fingerprints(docs).checkpoint()
+    rows = shared.cut(fingerprints(docs))
     spare = F.lit(_NO_ID) + F.shiftrightunsigned("fp", 3)
-    points = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce(F.col("least"), spare).alias("node")).checkpoint()
+    points = shared.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce(F.col("least"), spare).alias("node")))
     roots = components(links(points, radius, chunk))
     named = points.join(roots, "node", "left")
-    named = named.select("fp", F.coalesce("root", "node").alias("component")).checkpoint()
+    named = shared.cut(named.select("fp", F.coalesce("root", "node").alias("component")))
     out = rows.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component") < _NO_ID, F.col("component")).alias("component_id"))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
 from . import textcols as tc
 from .quality import fit_lasso, label_sample
 
@@ -285,7 +286,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     tc.tune(spark)
     sample = label_sample(labels, label, learn, most)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("label").cast("long").alias("label"))
-    known = known.where(F.col("text").isNotNull()).checkpoint()
+    known = shared.cut(known.where(F.col("text").isNotNull()))
     tagger = fit_tagger(known)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
