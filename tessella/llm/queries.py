@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, repetition, shared, simhash, toxicity, warc
+from . import decontaminate, langid, language_model, mixing, quality, repetition, shared, simhash, toxicity, warc
 from .sampling import fold
 
 
@@ -64,6 +64,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held = fold("doc_id", 10) == 0
+    out = language_model.score_texts(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_docs(spark, sf_dir))
 
@@ -119,5 +126,5 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM r
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_repetition": op4_repetition, "op5_warc": op5_warc, "op6_simhash": op6_simhash, "op7_decontaminate": op7_decontaminate, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_repetition": op4_repetition, "op5_warc": op5_warc, "op6_simhash": op6_simhash, "op7_decontaminate": op7_decontaminate, "op8_lm": op8_lm, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op5_warc": _OP5_SQL, "op4_repetition": _OP4_SQL}
