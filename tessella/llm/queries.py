@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, language_model, mixing, quality, repetition, shared, simhash, toxicity, warc
+from . import decontaminate, langid, language_model, mixing, quality, repetition, shared, simhash, suffix_dedup, toxicity, warc
 from .sampling import fold
 
 
@@ -71,6 +71,10 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_docs(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_docs(spark, sf_dir))
 
@@ -126,5 +130,5 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM r
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_repetition": op4_repetition, "op5_warc": op5_warc, "op6_simhash": op6_simhash, "op7_decontaminate": op7_decontaminate, "op8_lm": op8_lm, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_repetition": op4_repetition, "op5_warc": op5_warc, "op6_simhash": op6_simhash, "op7_decontaminate": op7_decontaminate, "op8_lm": op8_lm, "op9_suffix": op9_suffix, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op5_warc": _OP5_SQL, "op4_repetition": _OP4_SQL}
