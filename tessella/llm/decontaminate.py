@@ -106,7 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, similar
     spark = docs.sparkSession
     tc.tune(spark)
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = -(-int(total) // slice_bytes)
+    slices = -(-int(total) // slice_bytes)  # passes over the documents
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), *(T.StructField(k, T.LongType()) for k in ("doc_token", "item_token", "n_tokens", "n_substituted")), T.StructField("similarity", T.DoubleType())])
     out = spark.createDataFrame([], schema)
     for k in range(slices):
@@ -116,22 +116,51 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, similar
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8, masks: tuple[str, ...] = MASKS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The documents that no item overlaps so, in a chain of passes without a shuffle, one for each slice of the benchmark."""
+    tc.tune(docs.sparkSession)
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = -(-int(total) // slice_bytes)
+    for k in range(slices):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).select("item_id", "text").toArrow()
+        if part.num_rows:
+            docs = docs.mapInArrow(_filter(part, masks, least, similarity), docs.schema)
+    return docs
+
+
+def _filter(part: pa.Table, masks: tuple[str, ...], least: int, similarity: float):
+    index = Index(part.column("text").combine_chunks(), masks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tc.sub_batches(batches):
+            bad = {d for d, _ in overlaps(index, batch.column("text"), least, similarity)}
+            yield batch.filter(pa.array([d not in bad for d in range(batch.num_rows)]))
+
+    return run
+
+
+def overlaps(index: Index, column: pa.Array, least: int, similarity: float) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """Of each text and item that overlap: where in the text and the item, tokens and substitutions of the longest overlap."""
+    h, bounds = token_hashes(column)
+    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    for d, i, diagonal in index.hits(h, bounds).tolist():
+        a, b = h[bounds[d] : bounds[d + 1]], index.h[index.bounds[i] : index.bounds[i + 1]]
+        lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal)
+        same = a[lo + diagonal : hi + diagonal] == b[lo:hi]
+        s, e = best_run(same, similarity)
+        n, bad = e - s, int((~same[s:e]).sum())
+        if n >= min(least, len(b)) and n > best.get((d, i), (0, 0, 0))[2]:
+            best[d, i] = (lo + s + diagonal, lo + s, n, bad)
+    return best
+
+
 def _search(part: pa.Table, masks: tuple[str, ...], least: int, similarity: float, schema: T.StructType):
     index = Index(part.column("text").combine_chunks(), masks)
     ids = part.column("item_id").to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches):
-            h, bounds = token_hashes(batch.column("text"))
-            best: dict[tuple[int, int], tuple] = {}
-            for d, i, diagonal in index.hits(h, bounds).tolist():
-                a, b = h[bounds[d] : bounds[d + 1]], index.h[index.bounds[i] : index.bounds[i + 1]]
-                lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal)
-                same = a[lo + diagonal : hi + diagonal] == b[lo:hi]
-                s, e = best_run(same, similarity)
-                n, bad = e - s, int((~same[s:e]).sum())
-                if n >= min(least, len(b)) and n > best.get((d, i), (0, 0, 0))[2]:
-                    best[d, i] = (lo + s + diagonal, lo + s, n, bad)
+            best = overlaps(index, batch.column("text"), least, similarity)
             if best:
                 doc, item = batch.column("doc_id").to_pylist(), ids
                 rows = [(doc[d], item[i], *v, 1 - v[3] / v[2]) for (d, i), v in sorted(best.items())]

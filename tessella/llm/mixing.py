@@ -80,22 +80,22 @@ def probabilities(share: np.ndarray, tokens: np.ndarray, budget: float) -> np.nd
     return np.where(tokens > 0, np.minimum(1, high * ratio), 1.0)
 
 
-def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float] | float] | None = None, keep: float = 0.5, seed: str = "mix", most_cells: int = 500_000) -> DataFrame:
+def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float] | float] | None = None, keep: float = 0.5, seed: str = "mix", most_cells: int = 500_000, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability and sampled of each row.
 
+    With ``keep_columns`` the rows have these columns of the input, weight, probability and sampled;
+    cells are then told again from the texts, which saves moving these.
+
     ``targets`` has for each dimension explicit shares or an exponent; ``keep`` is the share of all
     tokens to draw. Cells are few beside documents: up to ``most_cells`` of them are raked on the
     driver, and more than that is an error, to be met by coarser sources.
     """
     spark = docs.sparkSession
     goals = TEMPER | (targets or {})
-    rows = shared.cut(docs.select(
-        "doc_id",
-        F.coalesce("source", F.lit("")).alias("source"),
-        F.coalesce("lang", F.lit("")).alias("lang"),
-        topic_of(F.col("text")).alias("topic"),
-        F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"),
-    ))
+    cell = {"source": F.coalesce("source", F.lit("")), "lang": F.coalesce("lang", F.lit("")), "topic": topic_of(F.col("text"))}
+    n_tokens = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", *(c.alias(k) for k, c in cell.items()), n_tokens.alias("n_tokens"))
+    rows = rows if keep_columns else shared.cut(rows)
     found = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).limit(most_cells + 1).toPandas()
     if len(found) > most_cells:
         raise ValueError(f"more than {most_cells} cells of source, language and topic; map the sources to coarser ones first")
@@ -106,4 +106,8 @@ def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float] | float]
     found["probability"] = probabilities(share, tokens, keep * tokens.sum())
     cells = spark.createDataFrame(found[[*DIMENSIONS, "weight", "probability"]], "source string, lang string, topic string, weight double, probability double")
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    if keep_columns:
+        own = docs.select(*keep_columns, *(c.alias(f"cell_{k}") for k, c in cell.items()))
+        cells = cells.select(*(F.col(k).alias(f"cell_{k}") for k in DIMENSIONS), "weight", "probability")
+        return own.join(F.broadcast(cells), [f"cell_{k}" for k in DIMENSIONS]).select(*keep_columns, "weight", "probability", (draw < F.col("probability")).alias("sampled"))
     return rows.join(F.broadcast(cells), list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled"))

@@ -275,8 +275,8 @@ def fit_tagger(known: DataFrame, most_features: int = 4000, window: int = 32, wi
     return Tagger(lookup, *fit_chain(ids, gold, used, size))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", most: int = 3000) -> DataFrame:
-    """doc_id, score and spans (start and end byte offsets, flat) of each document.
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", most: int = 3000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in ``keep`` with score and spans (start and end byte offsets, flat) of each document.
 
     Fitted on about ``most`` labelled documents of each class among those where ``learn``, a
     condition on doc_id, holds: a sample of at most 2.4 * most ids is broadcast, and fixed numbers
@@ -301,12 +301,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
         w, b = fit_lasso(x, y, 1e-4, 1500)
     else:
         w, b = np.zeros(5), 30.0 if len(y) and y.min() == 1 else -30.0
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches):
             x, found = tagger.summary(batch.column("text"))
             score = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(found, pa.list_(pa.int64()))], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(score), pa.array(found, pa.list_(pa.int64()))], names=schema.fieldNames())
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
