@@ -1,0 +1,128 @@
+"""Paragraphs of regulation pages: a table function over (path, html)."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+#: Ids of units, first match wins.
+UNITS = (("recital", r"^rct_(\d+)$"), ("article", r"^art_(\d+)$"), ("citation", r"^cit_(\d+)$"), ("annex", r"^anx_([IVXLC]+)$"), ("final_provision", r"^fnp_(\d+)$"))
+_SKIPPED = ("script", "style", "nav", "template", "noscript")
+
+
+def unit_of(identifier: str) -> tuple[str, str] | None:
+    for kind, pattern in UNITS:
+        if m := re.match(pattern, identifier or ""):
+            return kind, m[1]
+    return None
+
+
+class _Reader(HTMLParser):
+    """Collects paragraphs with the unit, chapter, section and heading they stand under."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, str, str]] = []
+        self.skip = 0
+        self.text: list[str] = []
+        self.open = False
+        self.rows: list[tuple[str, str, str, str, str | None]] = []
+        self.heading: dict[str, str] = {}
+        self.cells: list[str] | None = None
+        self.lead: list[str] = []
+
+    def _unit(self) -> str:
+        return next((i for _, i, _ in reversed(self.stack) if unit_of(i)), "")
+
+    def _above(self, prefix: str) -> str:
+        for _, i, _ in reversed(self.stack):
+            for part in i.split("."):
+                if part.startswith(prefix):
+                    return part
+        return ""
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        given = dict(attrs)
+        if tag in ("br", "img", "meta", "link", "input", "hr"):
+            self.text.append(" ")
+            return
+        if tag in _SKIPPED or given.get("id") == "TOC":
+            self.skip += 1
+        self.stack.append((tag, given.get("id") or "", given.get("class") or ""))
+        if tag == "p":
+            self.text, self.open = [], True
+        if tag == "tr":
+            self.cells = []
+
+    def handle_endtag(self, tag: str) -> None:
+        while self.stack:
+            name, identifier, style = self.stack.pop()
+            if name in _SKIPPED or identifier == "TOC":
+                self.skip = max(0, self.skip - 1)
+            if name == "p" and self.open:
+                self._paragraph(style)
+            if name == "tr" and self.cells is not None:
+                self._emit(" ".join(self.cells))
+                self.cells = None
+            if name == "table" and self.lead:
+                self.lead.pop()
+            if name == tag:
+                break
+
+    def _paragraph(self, style: str) -> None:
+        text, self.open = " ".join("".join(self.text).split()), False
+        if not text or self.skip:
+            return
+        if "oj-sti-art" in style or "oj-ti-art" in style or "oj-doc-ti" in style:
+            self.heading.setdefault(self._unit(), text)
+        elif self.cells is not None:
+            self.cells.append(text)
+        elif not re.fullmatch(r"\(\d+\)", text):
+            self._emit(text)
+
+    def _emit(self, text: str) -> None:
+        if not text:
+            return
+        unit = self._unit()
+        self.rows.append((unit, self._above("cpt_"), self._above("sct_"), text, "\n".join(self.lead) or None))
+        if text.endswith(":"):
+            self.lead.append(text)
+
+    def handle_data(self, data: str) -> None:
+        if self.open and not self.skip:
+            self.text.append(data)
+
+
+@udtf(returnType="unit_id string, unit_type string, unit_number string, chapter string, section string, heading string, paragraph_index int, text string, parent_text string")
+class Paragraphs:
+    """One row per paragraph, indexed from 0 in its unit; text outside units belongs to the unit ''."""
+
+    def eval(self, html: str) -> Iterator[tuple]:
+        reader = _Reader()
+        reader.feed(html or "")
+        reader.close()
+        count: dict[str, int] = {}
+        for unit, chapter, section, text, parent in reader.rows:
+            kind, number = unit_of(unit) or ("", "")
+            index = count[unit] = count.get(unit, -1) + 1
+            yield unit, kind, number, chapter or None, section or None, reader.heading.get(unit), index, text, parent
+
+
+def paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """The key and the paragraphs of each page."""
+    spark = pages.sparkSession
+    spark.udtf.register("page_paragraphs", Paragraphs)
+    pages.select(key, html).createOrReplaceTempView("pages_to_read")
+    return spark.sql(f"SELECT {key}, p.* FROM pages_to_read, LATERAL page_paragraphs({html}) p")
+
+
+def units(rows: DataFrame, key: str) -> DataFrame:
+    """One row per unit with its joined text and paragraphs; units without text are left out."""
+    ordered = F.array_sort(F.collect_list(F.struct("paragraph_index", "text")))
+    out = rows.groupBy(key, "unit_id", "unit_type", "unit_number").agg(F.first("heading", ignorenulls=True).alias("heading"), ordered.alias("parts"))
+    return out.select(key, "unit_id", "unit_type", "unit_number", "heading", F.array_join(F.col("parts.text"), "\n").alias("text"), F.col("parts.text").alias("paragraphs")).where("text <> ''")
