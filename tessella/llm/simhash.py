@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcols as tc
-from . import shared
+from . import beside, shared
 from .components import components
 
 _NO_ID = 1 << 62
@@ -67,16 +67,16 @@ def text_fingerprints(column: pa.Array, width: int = 4, seed: int = 42) -> np.nd
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of each row."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in ``keep`` and fp, the fingerprint as a signed long, of each row."""
     tc.tune(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text_fingerprints(batch.column("text")).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(text_fingerprints(batch.column("text")).view(np.int64))], names=[*keep, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
@@ -219,13 +219,39 @@ def links(points: DataFrame, radius: int = 4, chunk: int = 2048) -> DataFrame:
     return tiles.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, chunk: int = 2048) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of each row."""
-    rows = shared.cut(fingerprints(docs))
+def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), radius: int = 4, chunk: int = 2048) -> DataFrame:
+    """The columns in ``keep``, doc_id among them, with fp and component: the smallest doc_id reachable, or a number from 2**62 if none has one."""
+    rows = shared.cut(fingerprints(docs, keep))
     spare = F.lit(_NO_ID) + F.shiftrightunsigned("fp", 3)
     points = shared.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce(F.col("least"), spare).alias("node")))
     roots = components(links(points, radius, chunk))
     named = points.join(roots, "node", "left")
     named = shared.cut(named.select("fp", F.coalesce("root", "node").alias("component")))
-    out = rows.join(named, "fp")
+    return rows.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, chunk: int = 2048) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of each row."""
+    out = groups(docs, ("doc_id",), radius, chunk)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component") < _NO_ID, F.col("component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """Of each group the row with the smallest doc_id, one of equal ones; the texts stay where they are scanned.
+
+    The input must be a table or a checkpoint.
+    """
+    rows = beside.numbered(docs)
+    at = shared.fresh(docs.sparkSession, "kept")
+    best = groups(rows, ("doc_id", "r"), radius).groupBy("component").agg(F.coalesce(F.min_by("r", "doc_id"), F.min("r")).alias("r"))
+    beside.store(best.select("r"), at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = None
+        for batch in batches:
+            r = batch.column("r").to_numpy()
+            if len(r):
+                side = beside.stored(at, int(r[0])) if side is None else side
+                yield batch.filter(pa.array(np.isin(r, side.get("r", r[:0])))).drop_columns(["r"])
+
+    return rows.mapInArrow(run, docs.schema)

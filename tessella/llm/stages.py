@@ -17,12 +17,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id; of equal ids one row; rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    """Of each group of near-duplicates the row with the smallest doc_id."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

@@ -29,19 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import shared
+from . import beside, shared
 from . import textcols as tc
 
 WIDTH, GRAM, MOST_SEGMENTS = 200, 32, 4096
 #: Longest segment in windows; bytes of segments that are merged at once; shards of these.
 SEGMENT, CHUNK_BYTES, SHARDS = 256, 2 << 20, 4
-_PART = 33  # monotonically_increasing_id has the partition above these bits
 
 
 def segments(buf: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -160,29 +157,6 @@ def repeated_windows(strings: list[bytes], width: int = WIDTH, shards: int = SHA
     return string, place
 
 
-def _store(rows: DataFrame, at: str) -> None:
-    """Stores rows about texts by the scan partition of their text."""
-    rows.withColumn("part", F.shiftright("r", _PART)).repartition("part").sortWithinPartitions("part", "r").write.partitionBy("part").parquet(at)
-
-
-def _stored(at: str, r: int) -> dict[str, np.ndarray]:
-    """What is stored for the scan partition of row r."""
-    fs, base = pafs.FileSystem.from_uri(at)
-    files = [x.path for x in fs.get_file_info(pafs.FileSelector(f"{base}/part={r >> _PART}", allow_not_found=True)) if x.path.endswith(".parquet")]
-    if not files:
-        return {}
-    table = pa.concat_tables(pq.ParquetFile(fs.open_input_file(x)).read() for x in sorted(files))
-    return {k: table.column(k).to_numpy() for k in table.column_names}
-
-
-def _rows_of(side: dict[str, np.ndarray], r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the stored rows of a batch, and the place of each one's text in the batch."""
-    if not side or not len(r):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.flatnonzero((side["r"] >= r[0]) & (side["r"] <= r[-1]))
-    return at, np.searchsorted(r, side["r"][at])
-
-
 def repeated_spans(docs: DataFrame, at: str, width: int = WIDTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS) -> None:
     """Stores below ``at``/spans the byte spans (r, start, end) of texts that are covered by repeated windows.
 
@@ -204,7 +178,7 @@ def repeated_spans(docs: DataFrame, at: str, width: int = WIDTH, gram: int = GRA
     groups = kinds.groupBy("m").agg(F.count("*").alias("different"), F.max("again").alias("any")).where("different > 1 or any").drop("any")
     groups.write.parquet(f"{at}/groups")
     chosen = kinds.join(spark.read.parquet(f"{at}/groups"), "m").select("r", "start", "n", "m", "copies", (F.col("different") > most_segments).alias("hot"))
-    _store(chosen, f"{at}/chosen")
+    beside.store(chosen, f"{at}/chosen")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = None
@@ -213,8 +187,8 @@ def repeated_spans(docs: DataFrame, at: str, width: int = WIDTH, gram: int = GRA
             r = batch.column("r").to_numpy()
             if not len(r):
                 continue
-            side = _stored(f"{at}/chosen", int(r[0])) if side is None else side
-            rows, text = _rows_of(side, r)
+            side = beside.stored(f"{at}/chosen", int(r[0])) if side is None else side
+            rows, text = beside.rows_of(side, r)
             if not len(rows):
                 continue
             buf, offsets = tc.text_parts(batch.column("text"))
@@ -269,7 +243,7 @@ def repeated_spans(docs: DataFrame, at: str, width: int = WIDTH, gram: int = GRA
     single = single.where("copies = 1").join(spark.read.parquet(f"{at}/often"), "w").select("r", "start", (F.col("start") + width).alias("end"))
     kinds.where("copies > 1").select("m", "s", "n").write.parquet(f"{at}/copied")
     whole = every.join(spark.read.parquet(f"{at}/copied"), ["m", "s", "n"]).select("r", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + width - 1).cast("long").alias("end"))
-    _store(near.unionByName(single).unionByName(whole), f"{at}/spans")
+    beside.store(near.unionByName(single).unionByName(whole), f"{at}/spans")
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS, keep: tuple[str, ...] = ("doc_id",), text: bool = False) -> DataFrame:
@@ -292,9 +266,9 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_segm
             r = batch.column("r").to_numpy()
             if not len(r):
                 continue
-            side = _stored(f"{at}/spans", int(r[0])) if side is None else side
+            side = beside.stored(f"{at}/spans", int(r[0])) if side is None else side
             buf, offsets = tc.text_parts(batch.column("text"))
-            rows, doc = _rows_of(side, r)
+            rows, doc = beside.rows_of(side, r)
             step = np.zeros(len(buf) + 1, np.int32)
             if len(rows):
                 np.add.at(step, offsets[doc] + side["start"][rows], 1)
