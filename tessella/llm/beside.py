@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 _PART = 33  # the partition is above these bits
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("r", F.monotonically_increasing_id())
+def numbered(docs: DataFrame, name: str = "r") -> DataFrame:
+    return docs.withColumn(name, F.monotonically_increasing_id())
 
 
 def store(rows: DataFrame, at: str) -> None:

@@ -93,7 +93,7 @@ def near(query: np.ndarray, stored: np.ndarray, n: int, radius: int, check_every
     Distances are counted for 64 fingerprints a word in a counter whose bits are planes too: a half
     adder for each new plane, the top carry sticking as 'too far'.
     """
-    depth = int(radius).bit_length()
+    depth = max(1, int(radius).bit_length())
     shape = (len(query), stored.shape[1])
     counter = [np.zeros(shape, np.uint64) for _ in range(depth)]
     far = np.zeros(shape, np.uint64)
@@ -241,17 +241,17 @@ def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
 
     The input must be a table or a checkpoint.
     """
-    rows = beside.numbered(docs)
+    rows = beside.numbered(docs, "_scan_row")
     at = shared.fresh(docs.sparkSession, "kept")
-    best = groups(rows, ("doc_id", "r"), radius).groupBy("component").agg(F.coalesce(F.min_by("r", "doc_id"), F.min("r")).alias("r"))
+    best = groups(rows, ("doc_id", "_scan_row"), radius).groupBy("component").agg(F.coalesce(F.min_by("_scan_row", "doc_id"), F.min("_scan_row")).alias("r"))
     beside.store(best.select("r"), at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = None
         for batch in batches:
-            r = batch.column("r").to_numpy()
+            r = batch.column("_scan_row").to_numpy()
             if len(r):
                 side = beside.stored(at, int(r[0])) if side is None else side
-                yield batch.filter(pa.array(np.isin(r, side.get("r", r[:0])))).drop_columns(["r"])
+                yield batch.filter(pa.array(np.isin(r, side.get("r", r[:0])))).drop_columns(["_scan_row"])
 
     return rows.mapInArrow(run, docs.schema)
