@@ -107,3 +107,41 @@ def test_library_does_not_import(name):
     for path in root.glob("tessella/**/*.py"):
         if "llm" not in path.parts:
             assert not re.search(rf"import {name}|from {name}|from \.+llm", path.read_text()), path
+
+
+def test_references():
+    from tessella.operators import xref
+
+    got = [(r[0], r[1], r[4]) for r in xref.references("Articles 15 to 18 and 20; point (a), (b) of Article 6(1); paragraph 2; Annex III; Article 9 of Regulation (EU) 2016/679 and Directive 95/46/EC")]
+    assert ("Article 15", "article", None) in got and ("Article 17", "article", None) in got and ("Article 20", "article", None) in got
+    assert ("point (a) of Article 6(1)", "point", None) in got and ("point (b) of Article 6(1)", "point", None) in got
+    assert not any(raw == "Article 6(1)" for raw, _, _ in got)
+    assert ("Article 9 of Regulation (EU) 2016/679", "article", "Regulation (EU) 2016/679") in got
+    assert sum(kind == "regulation" for _, kind, _ in got) == 0 and ("Directive 95/46/EC", "directive", "Directive 95/46/EC") in got
+    assert xref.references(None) == []
+
+
+def test_resolution(spark):
+    from tessella.operators import xref
+
+    rows = [("gdpr", "art_5", 0, "see Article 6(1) and paragraph 2", "gdpr:art_5/par_1"), ("gdpr", "art_5", 1, "2. x", "gdpr:art_5/par_2"), ("gdpr", "art_6", 0, "1. y", "gdpr:art_6/par_1"), ("aiact", "art_10", 0, "Article 6 of Regulation (EU) 2016/679", "aiact:art_10/par_1")]
+    p = spark.createDataFrame(rows, "source string, unit_id string, paragraph_index int, text string, iri string")
+    got = {r.raw: r.resolved_iri for r in xref.resolve(xref.extract(p), p).collect()}
+    assert got == {"Article 6(1)": "gdpr:art_6/par_1", "paragraph 2": "gdpr:art_5/par_2", "Article 6 of Regulation (EU) 2016/679": "gdpr:art_6/par_1"}
+
+
+def test_passes(spark):
+    from tessella.operators import passes
+
+    e = lambda *v: [(x, "STATED") for x in v]
+    rows = [
+        ("p1", 0, "DEONTIC", "article", "PROHIBITION", e("controller"), e("process"), e("health data"), "unless consent is given"),
+        ("p1", 1, "DEONTIC", "article", "PERMISSION", e("controller"), e("given"), e("consent"), None),
+        ("p1", 2, "DEONTIC", "article", "PERMISSION", e("controller"), e("process"), e("data for research"), None),
+        ("p2", 0, "DEONTIC", "article", "OBLIGATION", e("Union law"), e("provide"), e("rules"), None),
+        ("p3", 0, "DEONTIC", "recital", "OBLIGATION", e("provider"), e("test"), e("system"), None),
+    ]
+    el = "array<struct<value:string,method:string>>"
+    df = spark.createDataFrame([(*r, None) for r in rows], f"paragraph_iri string, emission int, statement_class string, unit_type string, modality string, subject {el}, predicate {el}, object {el}, condition string, references array<string>")
+    got = {(r.paragraph_iri, r.emission): (r.statement_id, r.references, r.statement_class) for r in passes.replay(df).collect()}
+    assert got == {("p1", 0): ("p1#s2", [], "DEONTIC"), ("p1", 2): ("p1#s1", ["p1#s2"], "DEONTIC"), ("p3", 0): ("p3#na", [], "NOT_APPLICABLE")}
