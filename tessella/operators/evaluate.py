@@ -91,3 +91,41 @@ def cluster_runs(records: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame(out, columns=[key, "run", "position", "slot"])
 
     return records.groupBy(key).applyInPandas(cluster, f"{key} long, run long, position long, slot long")
+
+
+def consistency(rows: DataFrame) -> DataFrame:
+    """Over bases asked more than once: how many, how many with one verdict throughout, and the spread of adherence."""
+    per = rows.groupBy("base").agg(F.count("*").alias("asked"), F.countDistinct("verdict").alias("verdicts"), F.avg(F.col("adheres").cast("double")).alias("adherence")).where("asked > 1")
+    return per.agg(F.count("*").alias("bases"), F.count_if(F.col("verdicts") == 1).alias("consistent"), F.round(F.max("adherence") - F.min("adherence"), 6).alias("spread"))
+
+
+def by_confidence(rows: DataFrame, buckets: list[tuple[str, float | None]]) -> DataFrame:
+    """Rows and agreements by bucket of confidence; a bucket ends before its bound."""
+    bucket = F.lit(buckets[-1][0])
+    for name, bound in reversed(buckets[:-1]):
+        bucket = F.when(F.col("confidence") < bound, name).otherwise(bucket)
+    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if("agrees").alias("agree"))
+
+
+def stability(rows: DataFrame, runs: int) -> DataFrame:
+    """Slots, those present in at least so many runs, and those of two or more runs with more than one value."""
+    per = rows.groupBy("slot").agg(F.count("*").alias("runs"), F.countDistinct("value").alias("forms"))
+    return per.agg(F.count("*").alias("slots"), F.count_if(F.col("runs") >= runs).alias("present"), F.count_if((F.col("runs") >= 2) & (F.col("forms") > 1)).alias("wobbling"))
+
+
+def completeness(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """id and problem: missing where it isn't found, extra where it isn't expected."""
+    missing = expected.join(found, "id", "left_anti").withColumn("problem", F.lit("missing"))
+    return missing.unionByName(found.join(expected, "id", "left_anti").distinct().withColumn("problem", F.lit("extra")))
+
+
+def worksheet(rows: DataFrame) -> DataFrame:
+    """slot, value, n and the number of distinct sources."""
+    return rows.groupBy("slot", "value").agg(F.count("*").alias("n"), F.countDistinct("iri").alias("sources"))
+
+
+def replay_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """id and change of groups (id, v) that differ: in their number of rows, or else as multisets."""
+    side = lambda d, n: d.groupBy("id").agg(F.array_sort(F.collect_list("v")).alias(n))
+    both = side(before, "x").join(side(after, "y"), "id", "full").where(~F.col("x").eqNullSafe(F.col("y")))
+    return both.select("id", F.when(F.size("x").eqNullSafe(F.size("y")), "content").otherwise("count").alias("change"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import evaluate, graph, matching, retrieve, structure, verify
+from tessella.operators import evaluate, graph, matching, passes, retrieve, structure, verify, xref
 from tessella.sources import html as pages_source
 from tessella.streaming import logs
 
@@ -424,3 +424,90 @@ def identifier_minting(spark, d):
 @_query(f"WITH {_VERDICTS} SELECT verdict, count(*) AS n, count(*) FILTER (resolved) AS n_resolved FROM v GROUP BY verdict")
 def verdict_tally(spark, d):
     return contradiction_pairs(spark, d).groupBy("verdict").agg(F.count("*").alias("n"), F.count_if("resolved").alias("n_resolved"))
+
+
+# X7, J5-J9 on synthesised paragraphs
+@_query()
+def reference_extraction(spark, d):
+    rows = _t(spark, d, "orders").select(F.lit("gdpr").alias("source"), F.concat(F.lit("art_"), F.col("o_custkey") % 90 + 1).alias("unit_id"), F.col("o_orderkey").cast("int").alias("paragraph_index"), F.format_string("%d. Under Articles %d to %d, point (a) of Article %d(1) and paragraph 2 apply.", F.col("o_orderkey"), F.col("o_custkey") % 50 + 1, F.col("o_custkey") % 50 + 3, F.col("o_orderkey") % 90 + 1).alias("text"))
+    rows = rows.withColumn("iri", F.concat("source", F.lit(":"), "unit_id", F.lit("/par_"), "paragraph_index"))
+    return xref.resolve(xref.extract(rows), rows).select("unit_id", "paragraph_index", "raw", "kind", "resolved_iri")
+
+
+# UD4: line items as extracted statements of their order
+@_query()
+def postpass_replay(spark, d):
+    element = lambda c: F.array(F.struct(F.col(c).cast("string").alias("value"), F.lit("STATED").alias("method")))
+    rows = _t(spark, d, "lineitem").select(
+        F.concat(F.lit("gdpr:art_"), "l_orderkey").alias("paragraph_iri"),
+        F.xxhash64("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate").alias("emission"),
+        F.lit("DEONTIC").alias("statement_class"),
+        F.when(F.col("l_linenumber") == 7, "recital").otherwise("article").alias("unit_type"),
+        F.element_at(F.array(*map(F.lit, _MODALITIES)), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("modality"),
+        element("l_suppkey").alias("subject"),
+        element("l_linestatus").alias("predicate"),
+        element("l_returnflag").alias("object"),
+        F.lit(None).cast("string").alias("condition"),
+        F.array().cast("array<string>").alias("references"),
+    )
+    return passes.replay(rows).select("paragraph_iri", "statement_id", "modality", F.size("references").alias("n_references"))
+
+
+# F4, X16
+@_query(r"""SELECT p_partkey, nullif(trim(regexp_replace(CASE WHEN p_partkey % 3 = 0 THEN '``' ELSE p_name || '`` ' END, '`+\s*$', '')), '') AS heading,
+  lower(p_brand || ' gdpr type') AS label FROM part""")
+def heading_and_label(spark, d):
+    raw = F.when(F.col("p_partkey") % 3 == 0, "``").otherwise(F.concat("p_name", F.lit("`` ")))
+    return _t(spark, d, "part").select("p_partkey", X.clean_heading(raw).alias("heading"), X.delabel(F.concat(F.lit("dpv:"), "p_brand", F.lit("_GDPRType"))).alias("label"))
+
+
+# Orders of a customer as paraphrases of one question
+@_query("""WITH g AS (SELECT o_custkey, count(*) AS asked, count(DISTINCT o_orderpriority) = 1 AS consistent, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END) AS adherence FROM orders GROUP BY ALL)
+SELECT count(*) AS bases, count(*) FILTER (consistent) AS consistent, round(max(adherence) - min(adherence), 6) AS spread FROM g WHERE asked > 1""")
+def paraphrase_consistency(spark, d):
+    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("base"), F.col("o_orderpriority").alias("verdict"), (F.col("o_orderstatus") == "F").alias("adheres"))
+    return evaluate.consistency(rows)
+
+
+# A25
+@_query("""SELECT CASE WHEN l_discount < 0.03 THEN 'a' WHEN l_discount < 0.05 THEN 'b' WHEN l_discount < 0.08 THEN 'c' ELSE 'd' END AS bucket,
+  count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS agree FROM lineitem GROUP BY ALL""")
+def confidence_buckets(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.col("l_discount").alias("confidence"), (F.col("l_returnflag") == "R").alias("agrees"))
+    return evaluate.by_confidence(rows, [("a", 0.03), ("b", 0.05), ("c", 0.08), ("d", None)])
+
+
+# Suppliers as runs over the parts they share
+@_query("""WITH s AS (SELECT l_partkey AS slot, l_suppkey AS run, min(l_returnflag) AS value FROM lineitem GROUP BY ALL), g AS (SELECT slot, count(*) AS runs, count(DISTINCT value) AS forms FROM s GROUP BY slot)
+SELECT count(*) AS slots, count(*) FILTER (runs >= 4) AS present, count(*) FILTER (runs >= 2 AND forms > 1) AS wobbling FROM g""")
+def slot_stability(spark, d):
+    rows = _t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("slot"), F.col("l_suppkey").alias("run")).agg(F.min("l_returnflag").alias("value"))
+    return evaluate.stability(rows, 4)
+
+
+# The last marked row before each row
+@_query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS recent FROM conversations""")
+def recent_marked(spark, d):
+    return structure.recent(_t(spark, d, "conversations"), "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn"))).select("conv_id", "turn", F.coalesce("recent", F.lit(-1)).alias("recent"))
+
+
+# A18
+@_query("""SELECT o_orderkey AS id, 'missing' AS problem FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT DISTINCT l_orderkey, 'extra' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
+def completeness(spark, d):
+    return evaluate.completeness(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id")), _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")))
+
+
+# A4
+@_query("""SELECT l_returnflag AS slot, l_linestatus AS value, count(*) AS n, count(DISTINCT l_orderkey) AS sources FROM lineitem GROUP BY ALL""")
+def value_worksheet(spark, d):
+    return evaluate.worksheet(_t(spark, d, "lineitem").select(F.col("l_returnflag").alias("slot"), F.col("l_linestatus").alias("value"), F.col("l_orderkey").alias("iri")))
+
+
+# Two replays that differ in some paragraphs
+@_query("""WITH a AS (SELECT l_orderkey AS k, list_sort(list(l_linenumber * 10)) AS v FROM lineitem GROUP BY k), b AS (SELECT l_orderkey AS k, list_sort(list(l_linenumber * 10 + CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END)) AS v FROM lineitem WHERE l_orderkey % 89 <> 0 GROUP BY k)
+SELECT coalesce(a.k, b.k) AS id, CASE WHEN len(a.v) IS DISTINCT FROM len(b.v) THEN 'count' ELSE 'content' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
+def replay_diff(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10).alias("v"))
+    after = rows.where("id % 89 <> 0").withColumn("v", F.col("v") + F.when(F.col("id") % 97 == 0, 1).otherwise(0))
+    return evaluate.replay_diff(rows, after)
