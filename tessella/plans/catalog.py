@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import roles
 from tessella.functions import text as X
-from tessella.operators import evaluate, graph, matching, passes, retrieve, structure, verify, xref
+from tessella.operators import evaluate, graph, matching, passes, retrieve, structure, verify, worksheets, xref
 from tessella.sources import html as pages_source
 from tessella.streaming import logs
 
@@ -511,3 +512,43 @@ def replay_diff(spark, d):
     rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10).alias("v"))
     after = rows.where("id % 89 <> 0").withColumn("v", F.col("v") + F.when(F.col("id") % 97 == 0, 1).otherwise(0))
     return evaluate.replay_diff(rows, after)
+
+
+_STEMS = {"tion": "maker", "the": "keeper", "en": "bearer", "enti": "carrier"}
+
+
+# X23
+@_query("""SELECT doc_id, list_min(list_filter([{'a': strpos(lower(text), 'tion'), 'l': -4, 'r': 'maker'}, {'a': strpos(lower(text), 'the'), 'l': -3, 'r': 'keeper'},
+  {'a': strpos(lower(text), 'en'), 'l': -2, 'r': 'bearer'}, {'a': strpos(lower(text), 'enti'), 'l': -4, 'r': 'carrier'}], lambda x: x.a > 0)).r AS bearer FROM documents""")
+def duty_bearer(spark, d):
+    return _t(spark, d, "documents").select("doc_id", roles.first_bearer(F.col("text"), _STEMS).alias("bearer"))
+
+
+# J31
+@_query("""WITH r AS (SELECT l_returnflag AS slot, l_linestatus AS value, l_linenumber AS article FROM lineitem GROUP BY ALL),
+l(slot, value, article, iri) AS (VALUES ('A', 'F', 3, 'x:own'), ('A', 'F', NULL, 'x:any'), ('N', 'O', NULL, 'x:n'), ('Z', 'O', 1, 'x:orphan'), ('Q', 'Q', NULL, 'x:lost'))
+SELECT r.slot, r.value, r.article::BIGINT AS article, coalesce(o.iri, g.iri, 'none') AS iri, CASE WHEN o.iri IS NOT NULL OR g.iri IS NOT NULL THEN 'manual' ELSE 'review' END AS status FROM r
+LEFT JOIN l o ON o.slot = r.slot AND o.value = r.value AND o.article = r.article LEFT JOIN l g ON g.slot = r.slot AND g.value = r.value AND g.article IS NULL
+UNION ALL SELECT 'Z', 'O', 1, 'x:orphan', 'manual' UNION ALL SELECT 'Q', 'Q', -1, 'x:lost', 'manual'""")
+def lock_carry_forward(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("slot"), F.col("l_linestatus").alias("value"), F.col("l_linenumber").cast("long").alias("article")).distinct().withColumns({"iri": F.lit("none"), "status": F.lit("review")})
+    locks = spark.createDataFrame([("A", "F", 3, "x:own"), ("A", "F", None, "x:any"), ("N", "O", None, "x:n"), ("Z", "O", 1, "x:orphan"), ("Q", "Q", None, "x:lost")], "slot string, value string, article long, iri string")
+    return worksheets.carry_locks(rows, locks).withColumn("article", F.coalesce("article", F.lit(-1).cast("long")))
+
+
+# J32
+@_query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'seen ' || c_custkey ELSE '' END AS notes, CASE WHEN c_custkey % 4 = 0 THEN 'ok' ELSE '' END AS label FROM customer""")
+def human_fields(spark, d):
+    rebuilt = _t(spark, d, "customer").select("c_custkey", F.lit("").alias("notes"), F.lit("").alias("label"))
+    before = _t(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("seen "), "c_custkey")).otherwise(" ").alias("notes"), F.when(F.col("c_custkey") % 4 == 0, "ok").otherwise("").alias("label"))
+    return worksheets.keep_human_fields(rebuilt, before, ["c_custkey"], ["notes", "label"])
+
+
+# UD5
+@_query("""SELECT p_partkey, CASE WHEN p_size % 10 = 0 OR p_retailprice < 950 THEN 'escalated' WHEN p_size % 3 = 0 THEN 'literal' ELSE 'mapped' END AS disposition FROM part""")
+def adjudication(spark, d):
+    part = _t(spark, d, "part")
+    chosen = F.when(F.col("p_size") % 10 == 0, F.array(F.lit("x:unknown"))).when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x:known")))
+    answers = part.select(F.col("p_partkey").alias("id"), F.lit("object").alias("slot"), chosen.alias("chosen"), F.when(F.col("p_retailprice") < 950, 0.5).otherwise(0.9).alias("confidence"))
+    allowed = spark.createDataFrame([("object", "x:known"), ("predicate", "x:unknown")], "slot string, iri string")
+    return worksheets.adjudicated(answers, allowed).select(F.col("id").alias("p_partkey"), "disposition")

@@ -145,3 +145,11 @@ def test_passes(spark):
     df = spark.createDataFrame([(*r, None) for r in rows], f"paragraph_iri string, emission int, statement_class string, unit_type string, modality string, subject {el}, predicate {el}, object {el}, condition string, references array<string>")
     got = {(r.paragraph_iri, r.emission): (r.statement_id, r.references, r.statement_class) for r in passes.replay(df).collect()}
     assert got == {("p1", 0): ("p1#s2", [], "DEONTIC"), ("p1", 2): ("p1#s1", ["p1#s2"], "DEONTIC"), ("p3", 0): ("p3#na", [], "NOT_APPLICABLE")}
+
+
+def test_roles(spark):
+    from tessella.functions import roles
+
+    df = spark.createDataFrame([("the provider", "The provider shall be informed by the deployer.")], "s string, t string")
+    got = df.select(roles.is_patient(F.col("s"), F.col("t")), roles.is_actor(F.lit("Data Controller")), roles.snapped_role(F.lit("AI providers"), {"provider": "p", "deployer": "d"}), roles.inferred_bearer(F.lit(None).cast("string"), F.col("t"), {"deployer": "d", "provider": "p"})).first()
+    assert tuple(got) == (True, True, "p", "p")
