@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from . import beside, shared
 from . import textcols as tc
 
-WIDTH, GRAM, MOST_SEGMENTS = 200, 32, 4096
+WIDTH, GRAM, MOST_SEGMENTS = 200, 32, 1024
 #: Longest segment in windows; bytes of segments that are merged at once; shards of these.
 SEGMENT, CHUNK_BYTES, SHARDS = 256, 2 << 20, 4
 
