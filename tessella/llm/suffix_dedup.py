@@ -204,7 +204,21 @@ def repeated_spans(docs: DataFrame, at: str, width: int = WIDTH, gram: int = GRA
                 place = np.repeat(begin[warm], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 w = tc.span_hashes(tc.prefix_hashes(buf), place, place + width).view(np.int64)
                 owner = np.repeat(warm, k)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int64()), pa.array(r[text[owner]]), pa.array(place - offsets[text[owner]]), pa.array(copies[owner]), pa.nulls(len(w), pa.binary()), pa.array(w), pa.array(np.ones(len(w), np.int64))], names=names)
+                # windows that repeat within the batch are settled here, and counted further as one row
+                _, at_first, back = np.unique(w, return_index=True, return_inverse=True)
+                total = np.bincount(back, copies[owner]).astype(np.int64)
+                alone = np.flatnonzero(total[back] == 1)
+                shown = at_first[total > 1]
+                rows_of = np.concatenate([alone, shown])
+                count = np.concatenate([np.ones(len(alone), np.int64), total[total > 1]])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows_of), pa.int64()), pa.array(r[text[owner[rows_of]]]), pa.array(place[rows_of] - offsets[text[owner[rows_of]]]), pa.array(count), pa.nulls(len(rows_of), pa.binary()), pa.array(w[rows_of]), pa.array(np.ones(len(rows_of), np.int64))], names=names)
+                again = np.flatnonzero((total[back] > 1) & (copies[owner] == 1))
+                if len(again):
+                    new = np.ones(len(again) + 1, bool)
+                    new[1:-1] = (owner[again][1:] != owner[again][:-1]) | (place[again][1:] != place[again][:-1] + 1)
+                    first, last = again[np.flatnonzero(new[:-1])], again[np.flatnonzero(new[1:])]
+                    t = text[owner[first]]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.array(r[t]), pa.array(place[first] - offsets[t]), pa.array(np.ones(len(first), np.int64)), pa.nulls(len(first), pa.binary()), pa.nulls(len(first), pa.int64()), pa.array(place[last] - place[first] + width)], names=names)
 
     docs.mapInArrow(fetch, "m long, r long, start long, copies long, bytes binary, w long, n long").write.parquet(f"{at}/fetched")
     fetched = spark.read.parquet(f"{at}/fetched")
@@ -243,7 +257,8 @@ def repeated_spans(docs: DataFrame, at: str, width: int = WIDTH, gram: int = GRA
     single = single.where("copies = 1").join(spark.read.parquet(f"{at}/often"), "w").select("r", "start", (F.col("start") + width).alias("end"))
     kinds.where("copies > 1").select("m", "s", "n").write.parquet(f"{at}/copied")
     whole = every.join(spark.read.parquet(f"{at}/copied"), ["m", "s", "n"]).select("r", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + width - 1).cast("long").alias("end"))
-    beside.store(near.unionByName(single).unionByName(whole), f"{at}/spans")
+    settled = fetched.where("bytes is null and w is null").select("r", "start", (F.col("start") + F.col("n")).alias("end"))
+    beside.store(near.unionByName(single).unionByName(settled).unionByName(whole), f"{at}/spans")
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS, keep: tuple[str, ...] = ("doc_id",), text: bool = False) -> DataFrame:
