@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, suffix_dedup, toxicity
+from . import decontaminate, mixing, near_copies, suffix_dedup, toxicity
 from .sampling import fold
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,8 +17,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """Of each group of near-duplicates, linked by a Jaccard of 0.8 or more over five-word shingles, the row with the smallest doc_id."""
+    return near_copies.one_of_each(docs.select(*COLUMNS))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import attention, beside, components, decontaminate, langid, language_model, mixing, quality, repetition, shared, simhash, stages, suffix_dedup, textcols, toxicity, warc
+from tessella.llm import attention, beside, components, decontaminate, langid, language_model, mixing, near_copies, quality, repetition, shared, simhash, stages, suffix_dedup, textcols, toxicity, warc
 from tessella.llm.queries import ORACLE_SQL, QUERIES
 from tessella.llm.sampling import fold
 
@@ -208,6 +208,53 @@ def test_one_row_of_each_group_stays(spark, awkward):
     assert len([r for r in kept if not words(r.text)]) == 1
 
 
+# ---- near copies
+
+
+def shingles(t):
+    ws = [w.encode().lower() for w in words(t)]
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def brute_groups(texts):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("chunk", [2, 2048])
+def test_near_copies_by_brute_force(spark, awkward, chunk):
+    rng = np.random.default_rng(8)
+    make = lambda n: [f"w{k}" for k in rng.integers(0, 3000, n)]
+    base, line = [make(int(n)) for n in rng.integers(30, 300, 25)], make(12)
+    texts = [" ".join(b + line) for b in base] + [" ".join(make(4) + line * 2) for _ in range(12)] + [None, "", " ", "a b", "A  b", "a b c"]
+    for b in base[:20]:
+        for edits in (1, 2, 3, 5, 8, 12):
+            copy = list(b)
+            for at in rng.integers(0, len(b), max(1, edits * len(b) // 150)):
+                copy[at] = f"x{rng.integers(9)}"
+            texts.append(" ".join(copy + line))
+    root = brute_groups(texts)
+    path = shared.fresh(spark, "copies")
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(path)
+    got = near_copies.one_of_each(spark.read.parquet(path), chunk=chunk)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
+    assert near_copies.one_of_each(awkward).count() == len(set(brute_groups(TEXTS)))
+
+
+def test_near_duplicates_stage_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    root = brute_groups([t for _, t in rows])
+    assert sorted(r.doc_id for r in stages.one_of_each_group(docs).select("doc_id").collect()) == sorted(rows[k][0] for k in set(root))
+
+
 # ---- WARC
 
 
