@@ -2,7 +2,7 @@
 
 Fixed masks pick some tokens of a window and ignore the others, so that a hash of the picked ones still
 meets after substitutions at ignored places. Hashes of the benchmark's windows are joined with
-those of all training windows; around each hit, on its diagonal, the longest overlap that tolerates
+those of all training windows; around each hit, on its diagonal, the overlap that tolerates
 substitutions is verified token by token.
 
 The benchmark is handled in slices whose size is checked: each slice's index goes to all tasks, which
@@ -17,6 +17,7 @@ tables give no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -90,18 +91,48 @@ class Index:
 
 def best_run(same: np.ndarray, similarity: float) -> tuple[int, int]:
     """Ends of the run with the largest sum when a match counts 1 - similarity and a substitution -similarity."""
-    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - similarity, -similarity))])
+    score = _sums(same, similarity)
     low = np.minimum.accumulate(score)
     end = int(np.argmax(score - low))
     start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
     return start, end
 
 
+def longest_run(same: np.ndarray, similarity: float) -> tuple[int, int]:
+    """Ends of the longest run from a match to a match that has the similarity, the first of equal ones; (0, 0) if nothing matches."""
+    score, at = _sums(same, similarity), np.flatnonzero(same)
+    if not len(at):
+        return 0, 0
+    low = np.minimum.accumulate(score[at])  # the least sum before one of the first matches
+    first = np.searchsorted(-low, -score[at + 1], "left")
+    k = int(np.argmax(at + 1 - at[first]))
+    return int(at[first[k]]), int(at[k]) + 1
+
+
+def _sums(same: np.ndarray, similarity: float) -> np.ndarray:
+    """Cumulated whole numbers that are at least zero over a run where its share of matches is at least the similarity."""
+    ratio = Fraction(similarity).limit_denominator(1000)
+    return np.concatenate([[0], np.cumsum(np.where(same, ratio.denominator - ratio.numerator, -ratio.numerator))])
+
+
+def overlap_run(same: np.ndarray, least: int, similarity: float, whole: bool) -> tuple[int, int]:
+    """Ends of the overlap to report of a diagonal, (0, 0) if it has none; ``whole`` says that the diagonal covers its item."""
+    start, end = best_run(same, similarity)
+    if end - start >= least or (whole and end - start == len(same)):
+        return start, end
+    start, end = longest_run(same, similarity)
+    if end - start >= least:
+        return start, end
+    return (0, len(same)) if whole and _sums(same, similarity)[-1] >= 0 else (0, 0)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8, masks: tuple[str, ...] = MASKS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row for each document and item with an overlap of at least ``least`` tokens, or the whole item, at the similarity.
 
-    doc_id, item_id, doc_token, item_token (where the overlap begins), n_tokens, n_substituted and
-    similarity of the longest such overlap.
+    An overlap begins and ends with a match, unless it is the whole item. doc_id, item_id, doc_token,
+    item_token (where it begins), n_tokens, n_substituted and similarity of the longest overlap, each
+    diagonal having one: its run that gains most from matches over substitutions, if that is long
+    enough, and otherwise its longest run.
     """
     spark = docs.sparkSession
     tc.tune(spark)
@@ -147,9 +178,9 @@ def overlaps(index: Index, column: pa.Array, least: int, similarity: float) -> d
         a, b = h[bounds[d] : bounds[d + 1]], index.h[index.bounds[i] : index.bounds[i + 1]]
         lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal)
         same = a[lo + diagonal : hi + diagonal] == b[lo:hi]
-        s, e = best_run(same, similarity)
+        s, e = overlap_run(same, least, similarity, hi - lo == len(b))
         n, bad = e - s, int((~same[s:e]).sum())
-        if n >= min(least, len(b)) and n > best.get((d, i), (0, 0, 0))[2]:
+        if n > best.get((d, i), (0, 0, 0))[2]:
             best[d, i] = (lo + s + diagonal, lo + s, n, bad)
     return best
 

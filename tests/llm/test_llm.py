@@ -288,6 +288,33 @@ def test_overlaps_tolerate_substitutions(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {3, 5}
 
 
+def brute_run(same, least, share=0.8):
+    """The length of the longest run from a match to a match at the share, by all runs."""
+    found = [e - s for s in range(len(same)) for e in range(s + 1, len(same) + 1) if same[s] and same[e - 1] and 5 * sum(same[s:e]) >= 4 * (e - s)]
+    return max(found, default=0)
+
+
+def test_longest_runs_by_brute_force():
+    rng = np.random.default_rng(9)
+    for n in [*range(1, 40)] * 5:
+        same = rng.random(n) < rng.choice([0.6, 0.8, 0.9])
+        s, e = decontaminate.longest_run(same, 0.8)
+        assert e - s == brute_run(same.tolist(), 13)
+        s, e = decontaminate.overlap_run(same, 13, 0.8, False)
+        assert (e > s) == (brute_run(same.tolist(), 13) >= 13) and (e == s or 5 * same[s:e].sum() >= 4 * (e - s))
+        s, e = decontaminate.overlap_run(same, 13, 0.8, True)
+        assert (e > s) == (brute_run(same.tolist(), 13) >= 13 or 5 * same.sum() >= 4 * n)
+
+
+def test_overlaps_with_spread_substitutions(spark):
+    item = [f"w{i}" for i in range(16)]
+    docs = spark.createDataFrame([(1, " ".join(["a", *item[:12], "zz", *item[13:], "b"])), (2, " ".join(["a", *item[:12], "b", "c", "d", "e"])), (3, "q " + " ".join(f"v{i}" for i in range(11)) + " zz")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(f"v{i}" for i in range(12)))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_substituted) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 7): (16, 1), (3, 8): (12, 1)}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {2}
+
+
 # ---- language model
 
 
