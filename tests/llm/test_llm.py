@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -315,6 +316,40 @@ def test_overlaps_with_spread_substitutions(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {2}
 
 
+def missed(masks, n, k):
+    """How many ways of k substitutions among n tokens leave no window for any mask."""
+    picks = [sum(1 << i for i, c in enumerate(m) if c == "1") << at for m in masks for at in range(n - len(m) + 1)]
+    bad = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), k)])
+    return int(np.all([bad & p for p in picks], axis=0).sum())
+
+
+def test_masks_miss_nothing():
+    # an overlap of 26 tokens or more has a half of 13 or more that is as similar; 14 and 16 to 19 tokens hold 13 and 15
+    # with no more substitutions, and so on
+    for n, k in ((13, 2), (15, 3), (20, 4), (25, 5)):
+        assert missed(decontaminate.MASKS, n, k) == 0
+    for n in range(1, 13):
+        assert missed(decontaminate.whole_masks(n, 0.8), n, n // 5) == 0
+    assert missed(decontaminate.whole_masks(3, 0.5), 3, 1) == missed(decontaminate.whole_masks(2, 0.5), 2, 1) == 0
+
+
+def test_substituted_items_are_all_met(spark):
+    rng = np.random.default_rng(10)
+    docs, items = [], []
+    for k, n in enumerate([5, 9, 10, 12, 13, 13, 14, 15, 16, 20, 20, 25, 37, 54] * 12):
+        item = [f"k{k}w{i}" for i in range(n)]
+        bent = list(item)
+        for at in rng.choice(np.arange(n), n // 5, replace=False) if k % 12 else range(4, n, 5):
+            bent[at] = "zz"
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(["a", "b", *bent, "c"])))
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    texts = {r.doc_id: r.text.split()[2:-1] for r in docs.collect()}
+    want = {(k, k) for k, item in items if brute_run([a == b for a, b in zip(texts[k], item.split())], 13) >= 13 or 5 * sum(a == b for a, b in zip(texts[k], item.split())) >= 4 * len(item.split())}
+    assert got == want and len(want) == len(items)
+
+
 # ---- language model
 
 
