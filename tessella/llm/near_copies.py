@@ -6,7 +6,8 @@ shingles that a sample of the texts shows to be frequent put last; the sample ch
 costs, never what it finds. Equal sets form one class, of which one row is compared. Of
 each shared shingle first every class is compared with the smallest one, then, after joining what is
 linked, classes of different components with each other, so that a large group of copies
-doesn't square. Each candidate pair is decided by its whole sets.
+doesn't square. Candidates whose sizes or parities (see parities) rule the similarity out are dropped, and
+each one left is decided by its whole sets.
 
 Defined cases: words are split at ASCII white space and compared in ASCII lower case. A text of fewer
 words than a shingle has one, all of it; null, empty and blank texts have none and are equal.
@@ -14,6 +15,7 @@ words than a shingle has one, all of it; null, empty and blank texts have none a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -68,50 +70,130 @@ def _frequent(docs: DataFrame, width: int, share: int = 16, times: int = 8) -> n
     return np.sort(counts.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _sets(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """doc_id, _scan_row, node (a hash of the set), n and prefix of each row."""
-    frequent, ratio = _frequent(docs, width), _ratio(least)
+def _read(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingle sets of all texts, their bounds, and a hash of each set."""
+    h, bounds = shingle_sets(column, width)
+    at = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tc.mix(h), dtype=np.uint64)])
+    return h, bounds, tc.mix(at[bounds[1:]] - at[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def parities(h: np.ndarray, bounds: np.ndarray, cells: int = 1024) -> np.ndarray:
+    """Of each set a bit for each cell of hashes: whether it has an odd number there.
+
+    Two sets differ in at least as many shingles as these differ in bits.
+    """
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    odd = np.bincount(text * cells + (tc.mix(h) % np.uint64(cells)).astype(np.int64), minlength=(len(bounds) - 1) * cells) & 1
+    return np.packbits(odd.astype(bool).reshape(-1, cells), axis=1)
+
+
+def classes_of(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, _scan_row, node (a hash of the set), n and bits (the set's parities) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches):
-            h, bounds = shingle_sets(batch.column("text"), width)
+            h, bounds, node = _read(batch.column("text"), width)
+            bits = pa.array([x.tobytes() for x in parities(h, bounds)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_scan_row"), pa.array(node), pa.array(np.diff(bounds)), bits], names=["doc_id", "_scan_row", "node", "n", "bits"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "_scan_row", "text").mapInArrow(run, f"doc_id {kind}, _scan_row long, node long, n long, bits binary")
+
+
+def _met(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """h, node and top, the smallest such node, of each prefix shingle that several classes have."""
+    frequent, ratio = _frequent(docs, width), _ratio(least)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tc.sub_batches(batches):
+            h, bounds, node = _read(batch.column("text"), width)
             n = np.diff(bounds)
-            at = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tc.mix(h), dtype=np.uint64)])
-            node = tc.mix(at[bounds[1:]] - at[bounds[:-1]] + n.astype(np.uint64))
             text = np.repeat(np.arange(len(n)), n)
-            late = np.isin(h, frequent)
-            h = h[np.lexsort((late, text))]  # stable: by hash among the early and the late
+            h = h[np.lexsort((np.isin(h, frequent), text))]  # stable: by hash among the early and the late
             first = np.where(n > 0, n + (-n * ratio.numerator) // ratio.denominator + 1, 0)
-            keep = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(first, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(h[keep].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_scan_row"), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), prefix], names=["doc_id", "_scan_row", "node", "n", "prefix"])
+            keep = np.flatnonzero(np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(first, n))
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(node[text[keep]])], names=["h", "node"])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 2), np.int64)
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = np.concatenate([held, np.stack([batch.column(k).to_numpy() for k in ("h", "node")], 1)])
+            if not len(held):
+                continue
+            end = len(held) if batch is None else int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last group may go on
+            work, held = held[:end], held[end:]
+            new = np.ones(len(work), bool)
+            new[1:] = (work[1:] != work[:-1]).any(1)
+            work = work[new]
+            _, first, size = np.unique(work[:, 0], return_index=True, return_counts=True)
+            top, size = np.repeat(work[first, 1], size), np.repeat(size, size)
+            work, top = work[size > 1], top[size > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(work[:, 0]), pa.array(work[:, 1]), pa.array(top)], names=["h", "node", "top"])
+
+    rows = docs.select("text").mapInArrow(prefixes, "h long, node long").repartition("h").sortWithinPartitions("h", "node")
+    return shared.cut(rows.mapInArrow(groups, "h long, node long, top long"))
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sizes and parities allow the similarity; no similar pair is lost."""
+    ratio = _ratio(least)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_scan_row", "text").mapInArrow(run, f"doc_id {kind}, _scan_row long, node long, n long, prefix array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in ("bits_u", "bits_v"))
+                n, m = batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy()
+                differ = np.maximum(np.bitwise_count(a ^ b).sum(1, dtype=np.int64), np.abs(n - m))
+                # common = (n + m - differ) / 2 at most, and the union n + m - common
+                good = (n + m - differ) * ratio.denominator >= (n + m + differ) * ratio.numerator
+                yield batch.select(["u", "v"]).filter(pa.array(good))
+
+    for k in ("u", "v"):
+        pairs = pairs.join(classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
+    return shared.cut(pairs.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(run, "u long, v long"))
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of the pairs of classes (u, v) whose whole sets have the similarity."""
+    """Those of the pairs of classes (u, v) whose whole sets have the similarity; the set of v goes to that of u."""
     spark, ratio = docs.sparkSession, _ratio(least)
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    pairs = _possible(pairs, classes, least)
+    needed = pairs.select("u", F.col("v").alias("node")).union(pairs.select("u", "u").distinct())
     at = shared.fresh(spark, "classes")
-    beside.store(nodes.join(classes.select("node", F.col("_scan_row").alias("r")), "node").select("r", "node"), at)
+    beside.store(needed.join(classes.select("node", F.col("_scan_row").alias("r")), "node").select("r", "u", "node"), at)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = None
         for batch in tc.sub_batches(batches):
             r = batch.column("_scan_row").to_numpy()
             side = beside.stored(at, int(r[0])) if side is None else side
             rows, places = beside.rows_of(side, r)
             if len(rows):
-                h, bounds = shingle_sets(batch.column("text").take(pa.array(places)), width)
-                sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(side["node"][rows]), sets], names=["node", "s"])
-
-    sets = shared.cut(docs.select("_scan_row", "text").mapInArrow(run, "node long, s array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-    common = both.select("u", "v", F.size(F.array_intersect("su", "sv")).cast("long").alias("i"), (F.size("su") + F.size("sv")).cast("long").alias("total"))
-    out = shared.cut(common.where(F.col("i") * ratio.denominator >= (F.col("total") - F.col("i")) * ratio.numerator).select("u", "v"))
+                some, back = np.unique(places, return_inverse=True)
+                h, bounds = shingle_sets(batch.column("text").take(pa.array(some)), width)
+                own = [h[a:b].tobytes() for a, b in itertools.pairwise(bounds.tolist())]
+                for k in range(0, len(rows), 256):
+                    part = rows[k : k + 256]
+                    u, node = side["u"][part], side["node"][part]
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(node), pa.array(u != node), pa.array([own[x] for x in back[k : k + 256].tolist()], pa.binary())], names=["u", "node", "later", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = None
+        for batch in batches:
+            u, v, later, s = (batch.column(k) for k in ("u", "node", "later", "s"))
+            good = []
+            for k, other in enumerate(later.to_pylist()):
+                got = np.frombuffer(s[k].as_buffer(), np.uint64)
+                if not other:
+                    mine = got
+                    continue
+                common = len(np.intersect1d(mine, got, assume_unique=True))
+                if common * ratio.denominator >= (len(mine) + len(got) - common) * ratio.numerator:
+                    good.append(k)
+            yield pa.RecordBatch.from_arrays([u.take(pa.array(good, pa.int64())), v.take(pa.array(good, pa.int64()))], names=["u", "v"])
+
+    rows = docs.select("_scan_row", "text").mapInArrow(sets, "u long, node long, later boolean, s binary").repartition("u").sortWithinPartitions("u", "later")
+    out = shared.cut(rows.mapInArrow(compare, "u long, v long"))
     shared.remove(spark, at)
     return out
 
@@ -119,25 +201,20 @@ def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, le
 def links(rows: DataFrame, docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
     """Links (u, v) that join all classes of rows whose similarity is at least ``least``; not all pairs."""
     ratio = _ratio(least)
-    classes = shared.cut(rows.groupBy("node").agg(F.min(F.struct("_scan_row", "n", "prefix")).alias("c")).select("node", "c.*"))
-    spread = classes.select("node", "n", F.explode("prefix").alias("h"))
-    top = spread.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("top")).where("size > 1").select("h", "top")
-    shared_by = shared.cut(spread.join(top, "h").select("h", "node", "n", F.col("top.node").alias("top"), F.col("top.n").alias("n_top")))
-
-    def sizes(a: str, b: str):
-        return (F.col(a) * ratio.denominator >= F.col(b) * ratio.numerator) & (F.col(b) * ratio.denominator >= F.col(a) * ratio.numerator)
+    classes = shared.cut(rows.groupBy("node").agg(F.min("_scan_row").alias("_scan_row"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    met = _met(docs, width, least)
 
-    stars = shared.cut(shared_by.where((F.col("node") != F.col("top")) & sizes("n", "n_top")).select(F.col("top").alias("u"), F.col("node").alias("v")).distinct())
+    stars = shared.cut(met.where("node <> top").select(F.col("top").alias("u"), F.col("node").alias("v")).distinct())
     found = _alike(stars, classes, docs, width, least)
-    roots = components(found)
-    parts = shared_by.select("h", "node", "n").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
-    parts = shared.cut(parts.groupBy("h", "c").agg(F.collect_list(F.struct("node", "n")).alias("members")))
-    many = parts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", F.ceil(F.col("k") / chunk).cast("int").alias("chunks"))
-    parts = parts.join(many, "h")
+    parts = met.select("h", "node").join(components(found), "node", "left").withColumn("c", F.coalesce("root", "node"))
+    many = parts.groupBy("h").agg(F.countDistinct("c").alias("k")).where("k > 1").select("h", F.ceil(F.col("k") / chunk).cast("int").alias("chunks"))
+    parts = parts.join(many, "h").join(classes.select("node", "n"), "node")
+    parts = shared.cut(parts.groupBy("h", "chunks", "c").agg(F.collect_list(F.struct("node", "n")).alias("members")))
     a = parts.select("h", F.col("c").alias("ca"), F.col("members").alias("a"), F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int").alias("own"))
     b = parts.select("h", F.col("c").alias("cb"), F.col("members").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("own"))
     pairs = a.join(b, ["h", "own"]).where("ca < cb").select(F.explode("a").alias("x"), "b").select("x", F.explode("b").alias("y"))
-    pairs = pairs.where(sizes("x.n", "y.n")).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+    pairs = pairs.where((F.col("x.n") * ratio.denominator >= F.col("y.n") * ratio.numerator) & (F.col("y.n") * ratio.denominator >= F.col("x.n") * ratio.numerator))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
     pairs = shared.cut(pairs.join(stars, ["u", "v"], "left_anti"))
     return found.union(_alike(pairs, classes, docs, width, least))
 
@@ -149,7 +226,7 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int
     """
     tc.tune(docs.sparkSession)
     docs_at = beside.numbered(docs, "_scan_row")
-    rows = shared.cut(_sets(docs_at, width, least))
+    rows = shared.cut(classes_of(docs_at, width))
     roots = components(links(rows, docs_at, width, least, chunk))
     group = F.coalesce("root", "node")
     best = rows.select("doc_id", "_scan_row", "node").join(roots, "node", "left").groupBy(group.alias("component")).agg(F.coalesce(F.min_by("_scan_row", "doc_id"), F.min("_scan_row")).alias("r"))
