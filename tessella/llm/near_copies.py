@@ -77,14 +77,24 @@ def _read(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h, bounds, tc.mix(at[bounds[1:]] - at[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def parities(h: np.ndarray, bounds: np.ndarray, cells: int = 1024) -> np.ndarray:
-    """Of each set a bit for each cell of hashes: whether it has an odd number there.
+def parities(h: np.ndarray, bounds: np.ndarray, least: int = 1024) -> list[bytes]:
+    """Of each set a bit for each cell of hashes, twice as many as shingles or more: whether it has an odd number there.
 
-    Two sets differ in at least as many shingles as these differ in bits.
+    Two sets differ in at least as many shingles as these differ in bits; see :func:`folded`.
     """
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    odd = np.bincount(text * cells + (tc.mix(h) % np.uint64(cells)).astype(np.int64), minlength=(len(bounds) - 1) * cells) & 1
-    return np.packbits(odd.astype(bool).reshape(-1, cells), axis=1)
+    n = np.diff(bounds)
+    cells = 1 << np.ceil(np.log2(np.maximum(2 * n, least))).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(cells)])
+    text = np.repeat(np.arange(len(n)), n)
+    place = first[text] + (tc.mix(h) & (cells[text] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(place, minlength=first[-1]) & 1).astype(bool)).tobytes()
+    return [bits[a // 8 : b // 8] for a, b in itertools.pairwise(first.tolist())]
+
+
+def folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Parities of one length as words of ``size`` bytes' cells, a power of two not above it."""
+    x = np.frombuffer(b"".join(bits), np.uint64)
+    return np.bitwise_xor.reduce(x.reshape(len(bits), -1, size // 8), axis=1)
 
 
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
@@ -93,7 +103,7 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches):
             h, bounds, node = _read(batch.column("text"), width)
-            bits = pa.array([x.tobytes() for x in parities(h, bounds)], pa.binary())
+            bits = pa.array(parities(h, bounds), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_scan_row"), pa.array(node), pa.array(np.diff(bounds)), bits], names=["doc_id", "_scan_row", "node", "n", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -142,9 +152,14 @@ def _possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in ("bits_u", "bits_v"))
+                a, b = batch.column("bits_u").to_pylist(), batch.column("bits_v").to_pylist()
                 n, m = batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy()
-                differ = np.maximum(np.bitwise_count(a ^ b).sum(1, dtype=np.int64), np.abs(n - m))
+                differ = np.abs(n - m)  # at least
+                sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+                for p, q in np.unique(sizes, axis=0).tolist():
+                    at = np.flatnonzero((sizes == (p, q)).all(1))
+                    x, y = (folded([z[k] for k in at.tolist()], min(p, q)) for z in (a, b))
+                    differ[at] = np.maximum(differ[at], np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
                 # common = (n + m - differ) / 2 at most, and the union n + m - common
                 good = (n + m - differ) * ratio.denominator >= (n + m + differ) * ratio.numerator
                 yield batch.select(["u", "v"]).filter(pa.array(good))

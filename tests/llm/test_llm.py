@@ -249,6 +249,18 @@ def test_near_copies_by_brute_force(spark, awkward, chunk):
     assert near_copies.one_of_each(awkward).count() == len(set(brute_groups(TEXTS)))
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(11)
+    for n, m in ((5, 9), (600, 700), (700, 2500), (9, 4000)):
+        a = rng.choice(10_000, n, replace=False).astype(np.uint64)
+        b = np.concatenate([a[: n // 2], rng.choice(np.arange(20_000, 40_000), m - n // 2, replace=False).astype(np.uint64)])
+        x, y = near_copies.parities(np.concatenate([a, b]), np.array([0, n, n + m]))
+        size = min(len(x), len(y))
+        differ = int(np.bitwise_count(near_copies.folded([x], size) ^ near_copies.folded([y], size)).sum())
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert differ > (n + m) // 8 or m > 100 * n
+
+
 def test_near_duplicates_stage_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
