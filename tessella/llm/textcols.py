@@ -30,6 +30,11 @@ _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Span hashes are two polynomials modulo this prime, at bases drawn at random.
+_PRIME = (1 << 31) - 1
+_BASES = (1_729_514_803, 968_302_151)
+_RESIDUES = [np.maximum(mix(_TABLE + _U(k)) % _U(_PRIME), _U(1)) for k in (1, 2)]
+_residue_powers = [np.ones(1, np.uint32) for _ in range(4)]
 
 
 def _power(n: int) -> list[np.ndarray]:
@@ -42,6 +47,26 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _residue_power(n: int) -> list[np.ndarray]:
+    """Powers of both bases, then of their inverses."""
+    if len(_residue_powers[0]) <= n:
+        m = max(n + 1, SUB_BATCH_BYTES * 5 // 4)
+        for k, base in enumerate((*_BASES, *(pow(b, -1, _PRIME) for b in _BASES))):
+            x = np.ones(1, np.uint64)
+            while len(x) < m:
+                x = np.concatenate([x, x * _U(pow(base, len(x), _PRIME)) % _U(_PRIME)])
+            _residue_powers[k] = x[:m].astype(np.uint32)
+    return _residue_powers
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same residue, smaller: a Mersenne prime needs no division."""
+    high = x >> _U(31)
+    x &= _U(_PRIME)
+    x += high
+    return x
+
+
 def text_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,18 +115,38 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def prefix_hashes(buf: np.ndarray) -> np.ndarray:
-    """Cumulated polynomial of the bytes modulo 2**64, for :func:`span_hashes`."""
-    power, _ = _power(len(buf))
-    out = np.empty(len(buf) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(_TABLE[buf] * power[: len(buf)], out=out[1:])
+    """Cumulated polynomials of the bytes, for :func:`span_hashes`."""
+    power = _residue_power(len(buf))
+    out = np.empty((2, len(buf) + 1), np.uint64)
+    out[:, 0] = 0
+    for k in range(2):
+        x = _RESIDUES[k][buf]
+        x *= power[k][: len(buf)]
+        np.cumsum(_fold(x), out=out[k, 1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that depend on content and length alone."""
-    _, inverse = _power(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans that depend on content and length alone.
+
+    Two spans of n bytes share one by chance of about 2**-62; no texts are built to collide, as some are for
+    polynomials modulo a power of two, the Thue-Morse word and its complement for one.
+    """
+    power, out = _residue_power(prefix.shape[1]), []
+    for k in range(2):
+        x = _fold(prefix[k][ends] - prefix[k][starts])
+        x *= power[2 + k][starts]
+        x = _fold(_fold(x))
+        out.append(np.where(x >= _U(_PRIME), x - _U(_PRIME), x))
+    return mix(((out[0] << _U(31)) | out[1]) + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
+def rolling_hashes(buf: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n bytes from each place, quick ones modulo 2**64: unequal bytes may share one."""
+    power, inverse = _power(len(buf))
+    prefix = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * power[: len(buf)], out=prefix[1:])
+    return mix((prefix[n:] - prefix[:-n]) * inverse[: len(prefix) - n])
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
