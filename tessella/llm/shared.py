@@ -2,33 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from tessella.storage import cut, folder, fresh, remove
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """URI of the cluster's shared folder, from spark.checkpoint.dir; where that is unset, as in tests, one of this machine's."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            spark.sparkContext.setCheckpointDir(at := f"file://{tempfile.mkdtemp()}")
-    return at if "://" in at or at.startswith("file:") else f"file://{at}"
-
-
-def fresh(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder."""
-    return f"{folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint."""
-    folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def remove(spark: SparkSession, uri: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["cut", "folder", "fresh", "remove"]
