@@ -17,8 +17,11 @@ def _minima(adjacent: DataFrame) -> DataFrame:
     return shared.cut(adjacent.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """node and root of each node of an edge (u, v), the root being the smallest node it reaches, itself left out."""
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """node and root of each node of an edge (u, v), the root being the smallest node it reaches, itself left out.
+
+    The rounds grow with the logarithm of a component's size; not to be done after ``most_rounds`` is an error.
+    """
     e = shared.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
@@ -31,4 +34,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components of the links are not settled after {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
