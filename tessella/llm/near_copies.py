@@ -3,9 +3,10 @@
 Pairs are found without loss by a prefix filter: in any one order of all shingles, two sets of this
 similarity share one of the first n - ceil(least * n) + 1 of each. The order is by hash, with
 shingles that a sample of the texts shows to be frequent put last; the sample changes what the search
-costs, never what it finds. Equal sets form one class, of which one row is compared. Of
-each shared shingle first every class is compared with the smallest one, then, after joining what is
-linked, classes of different components with each other, so that a large group of copies
+costs, never what it finds. Equal sets form one class, of which one row is compared. First SimHash (see
+simhash) gives candidates, whose fingerprints over the sets differ in few bits; as 64 bits can't tell a similarity of
+0.8 from a lower one, of each shared shingle every class is compared with the smallest one too, and then, after
+joining what is linked, classes of different components with each other, so that a large group of copies
 doesn't square. Candidates whose sizes or parities (see parities) rule the similarity out are dropped, and
 each one left is decided by its whole sets.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import beside, shared
+from . import beside, shared, simhash
 from . import textcols as tc
 from .components import components
 
@@ -98,16 +99,16 @@ def folded(bits: list[bytes], size: int) -> np.ndarray:
 
 
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, _scan_row, node (a hash of the set), n and bits (the set's parities) of each row."""
+    """doc_id, _scan_row, node (a hash of the set), n, bits (the set's parities) and fp (its SimHash) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches):
             h, bounds, node = _read(batch.column("text"), width)
             bits = pa.array(parities(h, bounds), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_scan_row"), pa.array(node), pa.array(np.diff(bounds)), bits], names=["doc_id", "_scan_row", "node", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_scan_row"), pa.array(node), pa.array(np.diff(bounds)), bits, pa.array(simhash.majority(h, np.diff(bounds)).view(np.int64))], names=["doc_id", "_scan_row", "node", "n", "bits", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_scan_row", "text").mapInArrow(run, f"doc_id {kind}, _scan_row long, node long, n long, bits binary")
+    return docs.select("doc_id", "_scan_row", "text").mapInArrow(run, f"doc_id {kind}, _scan_row long, node long, n long, bits binary, fp long")
 
 
 def _met(docs: DataFrame, width: int, least: float) -> DataFrame:
@@ -213,13 +214,15 @@ def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, le
     return out
 
 
-def links(rows: DataFrame, docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+def links(rows: DataFrame, docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int = CHUNK, radius: int = 4) -> DataFrame:
     """Links (u, v) that join all classes of rows whose similarity is at least ``least``; not all pairs."""
     ratio = _ratio(least)
-    classes = shared.cut(rows.groupBy("node").agg(F.min("_scan_row").alias("_scan_row"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    classes = shared.cut(rows.groupBy("node").agg(F.min("_scan_row").alias("_scan_row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp")))
+    points = shared.cut(classes.groupBy("fp").agg(F.min("node").alias("node")))
+    same = classes.select("fp", F.col("node").alias("v")).join(points.withColumnRenamed("node", "u"), "fp").select("u", "v")
     met = _met(docs, width, least)
-
-    stars = shared.cut(met.where("node <> top").select(F.col("top").alias("u"), F.col("node").alias("v")).distinct())
+    close = same.union(simhash.links(points, radius)).union(met.select(F.col("top").alias("u"), F.col("node").alias("v")))
+    stars = shared.cut(close.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     found = _alike(stars, classes, docs, width, least)
     parts = met.select("h", "node").join(components(found), "node", "left").withColumn("c", F.coalesce("root", "node"))
     many = parts.groupBy("h").agg(F.countDistinct("c").alias("k")).where("k > 1").select("h", F.ceil(F.col("k") / chunk).cast("int").alias("chunks"))
