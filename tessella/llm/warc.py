@@ -6,12 +6,14 @@ in ranges, and neighbouring byte ranges are fetched by one read each.
 
 A task writes files under names of its own, and only the index that Spark has stored says which
 files count; files of lost or repeated attempts are in no index and are never read. Archives go to
-the shared folder, by a file system that is opened from its URI.
+the shared folder, by a file system that is opened from its URI. Payloads are never shuffled: which rows
+revisit which page is found from digests and stored by scan partition.
 
 Defined cases: a null html is the empty payload, a null url leaves out the target URI. Equal payloads
 of at least ``least`` bytes, the empty one too at 0, are stored once: the row with the largest
-page_id (null being the smallest) is the response, one row of equal ones. An empty table gives an
-empty index. Other columns are not read.
+page_id (null being the smallest) is the response, one row of equal ones. A long payload is held
+whole, some three times. An empty table gives an empty index. The input must be a table or a checkpoint, whose scan
+deals rows to partitions alike each time. Other columns are not read; they may have any name.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import beside, shared
 from . import textcols as tc
 
 INDEX = "file string, offset long, length long, url string, digest string"
 RECORD = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 #: Neighbouring records whose gap is at most this are fetched by one read, up to the other size.
 GAP_BYTES, READ_BYTES, FILE_BYTES = 64 << 10, 4 << 20, 128 << 20
+#: A reading task has about so many bytes of records.
+TASK_BYTES = 128 << 20
 
 
 def record(page_id: str | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: str | None, revisit: bool) -> bytes:
@@ -69,28 +73,35 @@ def sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def planned(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html and whether the row is a revisit, of what page."""
-    pages = pages.select(F.col("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
-    pages = pages.withColumn("key", F.sha1("html"))
-    groups = pages.where(F.octet_length("html") >= least).groupBy("key").agg(F.max(F.struct("page_id", "row")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    out = pages.join(shared.cut(groups.select("key", "top")), "key", "left")
-    revisit = F.col("top").isNotNull() & ~F.struct("page_id", "row").eqNullSafe(F.col("top"))
-    return out.select(F.col("page_id").cast("string"), "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("top.page_id").cast("string")).alias("refers_to"))
+def store_revisits(pages: DataFrame, at: str, least: int) -> None:
+    """Stores r, a monotonically increasing id, and refers_to of the rows whose payload another row holds."""
+    keyed = shared.cut(pages.where(F.octet_length("html") >= least).select("page_id", "r", F.sha1("html").alias("key")))
+    groups = keyed.groupBy("key").agg(F.max(F.struct("page_id", "r")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top")
+    rows = keyed.join(shared.cut(groups), "key").where(F.col("r") != F.col("top.r"))
+    beside.store(rows.select("r", F.col("top.page_id").cast("string").alias("refers_to")), at)
 
 
 def write_archives(pages: DataFrame, to: str, least: int = 0) -> DataFrame:
     """Writes a record per row below the URI ``to`` and returns the stored index."""
     tc.tune(pages.sparkSession)
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("r"))
+    store_revisits(pages, f"{to}/revisits", least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(to)
         fs.create_dir(base, recursive=True)
-        out, name, offset = None, "", 0
+        out, name, offset, side = None, "", 0, None
         try:
             for batch in tc.sub_batches(batches, "html"):
+                if not batch.num_rows:
+                    continue
+                r = batch.column("r").to_numpy()
+                side = beside.stored(f"{to}/revisits", int(r[0])) if side is None else side
+                found, place = beside.rows_of(side, r)
+                of = dict(zip(place.tolist(), side["refers_to"][found].tolist() if len(found) else [], strict=True))
                 rows = []
-                for page_id, url, html, revisit, refers_to in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "revisit", "refers_to")), strict=True):
+                for k, (page_id, url, html) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)):
+                    revisit, refers_to = k in of, of.get(k)
                     if out is None or offset >= FILE_BYTES:
                         if out is not None:
                             out.close()
@@ -108,7 +119,8 @@ def write_archives(pages: DataFrame, to: str, least: int = 0) -> DataFrame:
             if out is not None:
                 out.close()
 
-    planned(pages, least).mapInArrow(run, INDEX).write.parquet(f"{to}/index")
+    pages.withColumn("page_id", F.col("page_id").cast("string")).mapInArrow(run, INDEX).write.parquet(f"{to}/index")
+    shared.remove(pages.sparkSession, f"{to}/revisits")
     return pages.sparkSession.read.parquet(f"{to}/index")
 
 
@@ -137,4 +149,8 @@ def read_records(index: DataFrame, at: str, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                 k = to
 
-    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+    spark = index.sparkSession
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # by bytes of records, not of index rows; but a few reads for each core
+    tasks = max(1, -(-total // TASK_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-total // READ_BYTES)))
+    return index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
