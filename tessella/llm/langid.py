@@ -6,8 +6,9 @@ All models of a text are one lookup: a table from n-gram bucket to the weights o
 summed over the whole text in one pass.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Repeated rows are each
-predicted by themselves; null doc_ids are kept; an empty table gives no rows. With no labelled
-row at all every text is ``und``. Other columns are not read.
+predicted by themselves; null doc_ids are kept; ties of votes go to the first language by name; a long text is read
+whole, at about 100 bytes of a task's memory a byte; an empty table gives no rows. With no labelled
+row at all every text is ``und``. Other columns are not read; they may have any name.
 """
 
 from __future__ import annotations
@@ -69,34 +70,58 @@ def profile_sums(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.
     return out
 
 
-def profiles(column: pa.Array) -> np.ndarray:
-    """Dense bucket frequencies of each text, for fitting."""
-    buf, offsets = tc.text_parts(column)
-    out = np.zeros((len(column), 1 << BITS), np.float32)
-    for n in ORDERS:
-        b = buckets(buf, n)
-        for d in range(len(column)):
-            part = b[offsets[d] : max(offsets[d], offsets[d + 1] - n + 1)]
-            if len(part):
-                np.add(out[d], np.bincount(part, minlength=1 << BITS) / len(part), out=out[d], casting="unsafe")
-    return out
+class Profiles:
+    """Bucket frequencies of texts, sparse: those of text i are at bounds[i] to bounds[i + 1]."""
 
+    def __init__(self, bounds: np.ndarray, bucket: np.ndarray, value: np.ndarray):
+        self.bounds, self.bucket, self.value = bounds, bucket, value
 
-def fit_svm(x: np.ndarray, sign: np.ndarray, epochs: int = 5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """A linear support vector machine by averaged stochastic subgradients, classes weighted alike."""
+    @classmethod
+    def of(cls, column: pa.Array) -> Profiles:
+        buf, offsets = tc.text_parts(column)
+        found = []
+        for d in range(len(column)):
+            total = np.zeros(1 << BITS)
+            for n in ORDERS:
+                part = buckets(buf[offsets[d] : offsets[d + 1]], n)
+                if len(part):
+                    total += np.bincount(part, minlength=1 << BITS) / len(part)
+            at = np.flatnonzero(total)
+            found.append((at.astype(np.uint16), total[at].astype(np.float32)))
+        empty = (np.zeros(0, np.uint16), np.zeros(0, np.float32))
+        return cls(np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int64), *(np.concatenate([empty[k], *(x[k] for x in found)]) for k in (0, 1)))
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), 1 << BITS), np.float32)
+        for k, i in enumerate(rows):
+            part = slice(self.bounds[i], self.bounds[i + 1])
+            out[k, self.bucket[part]] = self.value[part]
+        return out
+
+    def dot(self, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(self.value * weight[self.bucket], dtype=np.float64)])
+        return total[self.bounds[rows + 1]] - total[self.bounds[rows]]
+
+
+def fit_svm(x: Profiles, use: np.ndarray, sign: np.ndarray, epochs: int = 5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """A linear support vector machine on the texts in ``use`` by averaged stochastic subgradients, classes weighted alike."""
     rng = np.random.default_rng(7)
-    weight, bias, mean_w, mean_b, t = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 0
+    weight, bias, mean_w, mean_b, t = np.zeros(1 << BITS), 0.0, np.zeros(1 << BITS), 0.0, 0
     balance = {s: len(sign) / (2 * max(1, int((sign == s).sum()))) for s in (-1, 1)}
     size = 32
     for _ in range(epochs):
-        order = rng.permutation(len(x))
+        order = rng.permutation(len(use))
         for at in range(0, len(order), size):
             rows = order[at : at + size]
             t += 1
             rate = 1 / (decay * (t + 200))
-            margin = sign[rows] * (x[rows] @ weight + bias)
+            part = x.dense(use[rows])
+            margin = sign[rows] * (part @ weight + bias)
             g = np.where(margin < 1, sign[rows] * np.array([balance[s] for s in sign[rows]]), 0) / len(rows)
-            weight = (1 - rate * decay) * weight + rate * (g @ x[rows])
+            weight = (1 - rate * decay) * weight + rate * (g @ part)
             bias += 0.1 * g.sum()
             mean_w += (weight - mean_w) / t
             mean_b += (bias - mean_b) / t
@@ -116,21 +141,21 @@ def platt(margin: np.ndarray, sign: np.ndarray) -> float:
 class LanguageModel:
     """Families by one-versus-rest, then languages by one-versus-one within each family."""
 
-    def __init__(self, column: pa.Array, langs: list[str]):
-        x, langs = profiles(column), np.array(langs, dtype=object)
+    def __init__(self, x: Profiles, langs: list[str]):
+        langs = np.array(langs, dtype=object)
         # frequencies on a root scale are what the models see at scoring too, through the table
-        self.scale = 1 / (np.sqrt(x.mean(0)) + 1e-4)
-        x *= self.scale.astype(np.float32)
-        norm = float(np.sqrt(np.einsum("ij,ij->", x, x) / len(x))) or 1.0
-        x /= norm
+        self.scale = 1 / (np.sqrt(np.bincount(x.bucket, x.value, 1 << BITS) / len(x)) + 1e-4)
+        value = x.value * self.scale[x.bucket]
+        norm = float(np.sqrt(np.dot(value, value) / len(x))) or 1.0
+        x = Profiles(x.bounds, x.bucket, (value / norm).astype(np.float32))
         families = np.array([family_of(v) for v in langs], dtype=object)
         self.families = sorted(set(families))
         self.langs = {f: sorted(set(langs[families == f])) for f in self.families}
         self.columns, self.bias, self.slope = [], [], []
 
         def add(rows: np.ndarray, sign: np.ndarray) -> int:
-            w, b = fit_svm(x[rows], sign)
-            self.slope.append(platt(x[rows] @ w + b, sign))
+            w, b = fit_svm(x, rows, sign)
+            self.slope.append(platt(x.dot(w, rows) + b, sign))
             self.columns.append((w * self.scale / norm).astype(np.float32))
             self.bias.append(b)
             return len(self.columns) - 1
@@ -171,17 +196,28 @@ class LanguageModel:
         return lang, np.clip(score, 0.0, 1.0)
 
 
-def identify_languages(docs: DataFrame, learn: Column, per_language: int = 400) -> DataFrame:
+def identify_languages(docs: DataFrame, learn: Column, per_language: int = 400, most_texts: int = 8000) -> DataFrame:
     """doc_id, lang_pred and score of each text.
 
-    The models are fitted on about ``per_language`` texts of each language among the rows where
-    ``learn`` holds and lang is not null, a bounded sample by hash of doc_id.
+    The models are fitted on ``per_language`` texts of each language, and ``most_texts`` in all, among the rows
+    where ``learn`` holds and lang is not null: a bounded sample by hash of doc_id. Their n-gram counts,
+    at most 100 KB a text and 20 KB for a usual one, are what the driver gets.
     """
     spark = docs.sparkSession
     tc.tune(spark)
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("doc_id", "lang", "text")
-    picked = bounded_sample(labelled, "doc_id", "lang", per_language).select("lang", "text").toArrow()
-    model = LanguageModel(picked.column("text").combine_chunks(), picked.column("lang").to_pylist()) if picked.num_rows else None
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tc.sub_batches(batches):
+            x = Profiles.of(batch.column("text"))
+            parts = [slice(a, b) for a, b in zip(x.bounds[:-1], x.bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([x.bucket[p].tobytes() for p in parts], pa.binary()), pa.array([x.value[p].tobytes() for p in parts], pa.binary())], names=["lang", "bucket", "value"])
+
+    got = bounded_sample(labelled, "doc_id", "lang", per_language, most_texts).select("lang", "text").mapInArrow(counted, "lang string, bucket binary, value binary").toArrow()
+    rows = sorted(zip(*(got.column(k).to_pylist() for k in ("lang", "bucket", "value")), strict=True))  # the same whichever task ended first
+    sizes = np.cumsum([0, *(len(x[1]) // 2 for x in rows)]).astype(np.int64)
+    x = Profiles(sizes, np.frombuffer(b"".join(x[1] for x in rows), np.uint16), np.frombuffer(b"".join(x[2] for x in rows), np.float32))
+    model = LanguageModel(x, [x[0] for x in rows]) if rows else None
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

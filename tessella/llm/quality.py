@@ -5,7 +5,7 @@ from a root to a node. A logistic model with a lasso penalty picks and weighs fe
 result is compiled into one Spark column expression, so that scoring runs in the JVM.
 
 Defined cases: a null text counts as the empty text and is scored as such. Repeated rows and equal
-doc_ids are each scored by themselves. Without labelled rows every score is 0.5. Labels with a null
+doc_ids are each scored by themselves, ties alike. A long text's words are held whole, in the JVM. Without labelled rows every score is 0.5. Labels with a null
 doc_id or value, or with several values for a doc_id, teach nothing. Other columns are not read.
 """
 
@@ -155,7 +155,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, most: int =
     """doc_id and score of each document, the probability that labels.quality is 1.
 
     Fitted on about ``most`` labelled documents of each class among those where ``learn``, a
-    condition on doc_id, holds. The sample of ids has at most 2.4 * most rows of two numbers, which
+    condition on doc_id, holds. The sample of ids has at most 2 * most rows of two numbers, which
     bounds what is broadcast and, as statistics, sent to the driver.
     """
     sample = label_sample(labels, "quality", learn, most)
