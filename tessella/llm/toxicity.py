@@ -1,16 +1,19 @@
 """Toxicity by a linear-chain conditional random field.
 
-Tokens of labelled documents get labels by distant supervision: a token is toxic where its document
-is and one of its features (the word or a prefix of it) marks toxic documents. A two-state chain
-over these features, trained in numpy by gradient ascent, gives each token's marginal by
-forward-backward; the marginals of a document give its score, and the runs of likely toxic tokens its
+Labels are those of documents. A two-state chain over the features of tokens (the word and prefixes of it) is trained
+in numpy by gradient ascent: it starts from tokens labelled by distant supervision, toxic where their document is
+and one of their features marks toxic documents, and goes on with what the labels say for certain: no token of a
+clean document is toxic, and of a window of a toxic one around such features at least one is. The expected counts
+under that condition come from the same forward-backward pass, as the one path it rules out is all clean. A token's
+marginal is by forward-backward too; the marginals of a document give its score, and the runs of likely toxic tokens its
 offending byte offsets. The chain over millions of tokens is an exact blockwise scan: products of
 2 x 2 matrices in each block, then messages across blocks, then within all blocks at once.
 
 Defined cases: a null text counts as the empty text, which has no spans and the score of a text
-without toxic tokens. Repeated rows are each scored by themselves. Without labelled rows of both
+without toxic tokens. Repeated rows are each scored by themselves, ties alike. A long text is one chain, read whole, at
+about 200 bytes of a task's memory a byte. Without labelled rows of both
 classes every score is the rate of the known class, or 0 if there is none. Labels that are null or
-contradict each other teach nothing. Other columns are not read.
+contradict each other teach nothing. Other columns are not read unless they are to be kept; they may have any name.
 """
 
 from __future__ import annotations
@@ -115,11 +118,13 @@ def marginals(ratio: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.nda
     return odds / (1 + odds)
 
 
-def fit_chain(ids: np.ndarray, gold: np.ndarray, used: np.ndarray, size: int, epochs: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
+def fit_chain(ids: np.ndarray, gold: np.ndarray, used: np.ndarray, toxic: np.ndarray, size: int, epochs: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights of features, bias and transition scores of a two-state chain.
 
-    ids: windows x positions x features (size where none); gold: states; used: real positions.
-    Gradient ascent on the conditional log-likelihood: counts in gold less expected counts.
+    ids: windows x positions x features (size where none); gold: first states; used: real positions; toxic: windows
+    with a toxic token at least. Gradient ascent on the conditional log-likelihood: the counts that the
+    labels tell less expected counts. In the first half of the epochs ``gold`` tells them; then, of toxic windows, the
+    expected counts on condition that not all tokens are clean.
     """
     w, bias, trans = np.zeros(size + 1), -2.0, np.zeros((2, 2))
     m, length = gold.shape
@@ -129,25 +134,33 @@ def fit_chain(ids: np.ndarray, gold: np.ndarray, used: np.ndarray, size: int, ep
         e = np.exp(np.clip(np.stack([np.zeros_like(score), score], 2), -30, 30))
         a = np.exp(trans)
         alpha, beta = np.empty((m, length, 2)), np.ones((m, length, 2))
-        alpha[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
+        norm = e[:, 0].sum(1, keepdims=True)
+        alpha[:, 0], total = e[:, 0] / norm, np.log(norm[:, 0])
         for k in range(1, length):
             x = (alpha[:, k - 1] @ a) * e[:, k]
-            x /= x.sum(1, keepdims=True)
-            alpha[:, k] = np.where(used[:, k, None], x, alpha[:, k - 1])
-        pair = np.zeros((2, 2))
+            norm = x.sum(1, keepdims=True)
+            alpha[:, k] = np.where(used[:, k, None], x / norm, alpha[:, k - 1])
+            total += np.where(used[:, k], np.log(norm[:, 0]), 0.0)
+        clean = np.exp(np.minimum((used.sum(1) - 1) * trans[0, 0] - total, 0))  # probability of the path without toxic tokens
+        freed = toxic & (epoch > epochs // 2)
+        scale = 1 / np.maximum(1 - clean, 1e-6)
+        pair, freed_pair = np.zeros((2, 2)), np.zeros((2, 2))
         for k in range(length - 2, -1, -1):
             right = e[:, k + 1] * beta[:, k + 1]
             x = right @ a.T
             both = alpha[:, k, :, None] * a * right[:, None, :]
             both /= both.sum((1, 2), keepdims=True)
             pair += both[used[:, k + 1]].sum(0)
+            rows = freed & used[:, k + 1]
+            freed_pair += (both[rows] * scale[rows, None, None]).sum(0)
+            freed_pair[0, 0] -= (clean[rows] * scale[rows]).sum()
             beta[:, k] = np.where(used[:, k + 1, None], x / x.sum(1, keepdims=True), 1.0)
         p = alpha * beta
         p = p[:, :, 1] / p.sum(2)
-        miss = np.where(used, gold - p, 0)
+        miss = np.where(used, np.where(freed[:, None], np.minimum(p * scale[:, None], 1), gold) - p, 0)
         g = np.bincount(ids.reshape(-1), np.repeat(miss.reshape(-1), ids.shape[2]), size + 1)
-        told = np.zeros((2, 2))
-        both = used[:, 1:]
+        told = freed_pair.clip(0)
+        both = used[:, 1:] & ~freed[:, None]
         np.add.at(told, (gold[:, :-1][both], gold[:, 1:][both]), 1)
         grad = np.concatenate([g - 0.05 * w, [miss.sum()], (told - pair - 0.5 * trans).reshape(-1)])
         grad[size] = 0
@@ -207,8 +220,9 @@ class Tagger:
 def fit_tagger(known: DataFrame, most_features: int = 4000, window: int = 32, windows_each: int = 2) -> Tagger:
     """Fits the chain on a bounded set of documents with text and label.
 
-    Features that mark toxic documents are found by counting; windows of tokens are then labelled
-    by them, and windows of clean documents are clean throughout.
+    Features that mark toxic documents are found by counting, and the ``most_features`` of largest lift are those of
+    the chain. It learns from ``windows_each`` windows of each document, drawn by a hash of its text: around such
+    features first, and of clean documents anywhere else.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +253,10 @@ def fit_tagger(known: DataFrame, most_features: int = 4000, window: int = 32, wi
     size = len(hashes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(3)
         for batch in tc.sub_batches(batches):
             buf, offsets = tc.text_parts(batch.column("text"))
             starts, ends, bounds = tokens(buf, offsets)
+            own = tc.span_hashes(tc.prefix_hashes(buf), offsets[:-1], offsets[1:]).tolist()
             f = features(buf, starts, ends)
             ids = np.stack([lookup(f[:, k]) for k in range(f.shape[1])], 1)
             label = batch.column("label").to_pylist()
@@ -251,9 +265,9 @@ def fit_tagger(known: DataFrame, most_features: int = 4000, window: int = 32, wi
                 lo, hi = int(bounds[d]), int(bounds[d + 1])
                 if lo == hi:
                     continue
-                hit = np.flatnonzero((ids[lo:hi] < size).any(1)) + lo
+                rng, hit = np.random.default_rng(own[d]), np.flatnonzero((ids[lo:hi] < size).any(1)) + lo
                 centres = list(rng.choice(hit, min(windows_each, len(hit)), replace=False)) if len(hit) else []
-                centres += list(rng.integers(lo, hi, windows_each - len(centres)))
+                centres += list(rng.integers(lo, hi, windows_each - len(centres))) if label[d] == 0 else []
                 for c in centres:
                     a = max(lo, min(int(c) - window // 2, hi - window))
                     b = min(hi, a + window)
@@ -261,25 +275,25 @@ def fit_tagger(known: DataFrame, most_features: int = 4000, window: int = 32, wi
                     block[: b - a] = ids[a:b]
                     state = np.zeros(window, np.int32)
                     state[: b - a] = strong[ids[a:b]].any(1) if label[d] == 1 else 0
-                    rows.append((block.tobytes(), state.astype(np.int8).tobytes(), b - a))
+                    rows.append((block.tobytes(), state.astype(np.int8).tobytes(), b - a, bool(label[d] == 1)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["ids", "gold", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["ids", "gold", "n", "toxic"])
 
-    got = known.mapInArrow(cut, "ids binary, gold binary, n long").toArrow()
+    got = known.mapInArrow(cut, "ids binary, gold binary, n long, toxic boolean").toArrow()
     if got.num_rows == 0 or size == 0:
         return Tagger(Lookup(np.zeros(0, np.uint64)), np.zeros(1), -10.0, np.zeros((2, 2)))
     order = np.argsort(np.array([x.as_py() for x in got.column("ids")], dtype=object), kind="stable")  # the same whichever task ended first
     ids = np.stack([np.frombuffer(x.as_py(), np.int32) for x in got.column("ids")]).reshape(got.num_rows, window, -1)[order]
     gold = np.stack([np.frombuffer(x.as_py(), np.int8) for x in got.column("gold")]).astype(np.int64)[order]
     used = (np.arange(window) < got.column("n").to_numpy()[:, None])[order]
-    return Tagger(lookup, *fit_chain(ids, gold, used, size))
+    return Tagger(lookup, *fit_chain(ids, gold, used, got.column("toxic").to_numpy()[order], size))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", most: int = 3000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", most: int = 3000, keep: tuple[str, ...] = ("doc_id",), most_features: int = 4000, windows_each: int = 2) -> DataFrame:
     """The columns in ``keep`` with score and spans (start and end byte offsets, flat) of each document.
 
     Fitted on about ``most`` labelled documents of each class among those where ``learn``, a
-    condition on doc_id, holds: a sample of at most 2.4 * most ids is broadcast, and fixed numbers
+    condition on doc_id, holds: a sample of at most 2 * most ids is broadcast, and fixed numbers
     of windows and features and one summary of each sampled document reach the driver.
     """
     spark = docs.sparkSession
@@ -287,7 +301,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     sample = label_sample(labels, label, learn, most)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("label").cast("long").alias("label"))
     known = shared.cut(known.where(F.col("text").isNotNull()))
-    tagger = fit_tagger(known)
+    tagger = fit_tagger(known, most_features, windows_each=windows_each)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches):
