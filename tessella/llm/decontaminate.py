@@ -5,15 +5,21 @@ meets after substitutions at ignored places. Hashes of the benchmark's windows a
 those of all training windows; around each hit, on its diagonal, the overlap that tolerates
 substitutions is verified token by token.
 
-The masks miss no overlap of 13 tokens or more at 0.8 or more; with other values, masks have to be given.
+The masks miss no overlap of 13 tokens or more at 0.8 or more; with other values, masks have to be given. Where a text
+and an item share so many seeds that these outnumber the diagonals, as where both repeat a word, all diagonals
+are verified instead of each hit.
 
-The benchmark is handled in slices whose size is checked: each slice's index goes to all tasks, which
-read the documents once for it; a larger benchmark takes more slices, not more memory.
+The benchmark is handled in slices by hash, about ``slice_bytes`` each: a slice's index goes to all tasks, which
+read the documents once for it; a larger benchmark takes more slices, not more memory. Only an item that is larger
+itself makes a larger slice.
 
 Defined cases: null and empty texts on either side have no tokens and meet nothing. Items shorter than
-the least overlap are met as a whole, by masks of the item's own length that miss no substitutions.
-Repeated rows of documents are reported once each; repeated items are each reported. Empty
-tables give no rows. Other columns are not read.
+the least overlap are met as a whole, by masks of the item's own length that miss no substitutions; items of fewer
+than ``least_item`` tokens, which common phrases would meet, are not looked for. Repeated rows of documents are reported
+once each; repeated rows of an item count as one, and different texts under one id are each looked for and reported.
+Of equally long overlaps the one found first, on the lowest diagonal, is reported. A long text is read whole, at
+about 100 bytes of a task's memory a byte. Empty tables give no rows. Other columns are not read; they may have any
+name.
 """
 
 from __future__ import annotations
@@ -34,8 +40,8 @@ from .toxicity import folded, tokens
 #: Spaced seeds; 1 takes a token, 0 ignores it. Each overlap of 13 tokens or more with a similarity
 #: of 0.8 or more meets one of these somewhere, as test_masks_miss_nothing proves by enumeration; found by greedy cover.
 MASKS = ("111011011", "111000010111", "11110111", "110110001101", "1101010111", "1110101000011", "1111111")
-#: A slice of the benchmark has about so many bytes of text at most.
-SLICE_BYTES = 8 << 20
+#: A slice of the benchmark has about so many bytes of text at most; shorter items, in tokens, are not looked for.
+SLICE_BYTES, LEAST_ITEM = 8 << 20, 4
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,19 +77,18 @@ def whole_masks(n: int, similarity: float) -> list[str]:
 class Index:
     """Seed hashes of a slice of the benchmark, with the item and place of each."""
 
-    def __init__(self, items: pa.Array, masks: tuple[str, ...] = MASKS, least: int = 13, similarity: float = 0.8):
+    def __init__(self, items: pa.Array, masks: tuple[str, ...] = MASKS, least: int = 13, similarity: float = 0.8, least_item: int = 1):
         self.h, self.bounds = token_hashes(items)
         doc = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
         shortest = max(least, min(map(len, masks)))
         lengths = np.diff(self.bounds)
-        short = np.unique(lengths[(lengths > 0) & (lengths < shortest)]).tolist()
+        short = np.unique(lengths[(lengths >= max(1, least_item)) & (lengths < shortest)]).tolist()
         self.masks = (*masks, *itertools.chain.from_iterable(whole_masks(n, similarity) for n in short))
         self.seeds = []
         for k, mask in enumerate(self.masks):
             s = seed_hashes(self.h, mask)
             at = np.flatnonzero(doc[: len(s)] == doc[len(mask) - 1 :]) if len(s) else np.zeros(0, int)
-            if k >= len(masks):
-                at = at[lengths[doc[at]] == len(mask)]
+            at = at[lengths[doc[at]] == len(mask)] if k >= len(masks) else at[lengths[doc[at]] >= least_item]
             at = at[np.argsort(s[at], kind="stable")]
             seen = np.zeros(1 << 22, bool)
             seen[s[at] >> np.uint64(42)] = True
@@ -92,16 +97,42 @@ class Index:
     def hits(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Distinct (text, item, diagonal), the diagonal being the place in the text less that in the item."""
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        found = []
-        for mask, (keys, places, items, seen) in zip(self.masks, self.seeds, strict=True):
+        met, pairs, times = [], [], []
+        for mask, (keys, _, items, seen) in zip(self.masks, self.seeds, strict=True):
             s = seed_hashes(h, mask)
             at = np.flatnonzero(seen[s >> np.uint64(42)])
             at = at[doc[at] == doc[at + len(mask) - 1]]
-            first, last = np.searchsorted(keys, s[at], "left"), np.searchsorted(keys, s[at], "right")
+            # the places of one seed in one text stand for each other
+            order = np.lexsort((s[at], doc[at]))
+            at = at[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (s[at[1:]] != s[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
+            one = np.flatnonzero(new)
+            size = np.diff(np.append(one, len(at)))
+            first, last = np.searchsorted(keys, s[at[one]], "left"), np.searchsorted(keys, s[at[one]], "right")
             n = last - first
-            at, first = np.repeat(at, n), np.repeat(first, n)
-            k = first + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([doc[at], items[k], (at - bounds[doc[at]]) - (places[k] - self.bounds[items[k]])], 1))
+            k = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pairs.append(np.repeat(doc[at[one]], n) * len(self.bounds) + items[k])
+            times.append(np.repeat(size, n))
+            met.append((at, np.repeat(one, n), np.repeat(size, n), k))
+        if not pairs:
+            return np.zeros((0, 3), np.int64)
+        pair, back = np.unique(np.concatenate(pairs), return_inverse=True)
+        text, item = pair // len(self.bounds), pair % len(self.bounds)
+        diagonals = np.diff(bounds)[text] + np.diff(self.bounds)[item] - 1
+        many = np.bincount(back, np.concatenate(times), len(pair)) > diagonals
+        at = np.flatnonzero(many)
+        low = -np.diff(self.bounds)[item[at]] + 1  # a diagonal for each offset of the two
+        own = np.repeat(at, diagonals[at])
+        found = [np.stack([text[own], item[own], np.repeat(low - (np.cumsum(diagonals[at]) - diagonals[at]), diagonals[at]) + np.arange(len(own))], 1)]
+        edge = 0
+        for (at, one, size, k), (_, places, items, _) in zip(met, self.seeds, strict=True):
+            few = np.flatnonzero(~many[back[edge : edge + len(k)]])
+            edge += len(k)
+            one, size, k = one[few], size[few], k[few]
+            place = at[np.repeat(one - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            k = np.repeat(k, size)
+            found.append(np.stack([doc[place], items[k], (place - bounds[doc[place]]) - (places[k] - self.bounds[items[k]])], 1))
         return np.unique(np.concatenate(found), axis=0)
 
 
@@ -142,7 +173,7 @@ def overlap_run(same: np.ndarray, least: int, similarity: float, whole: bool) ->
     return (0, len(same)) if whole and _sums(same, similarity)[-1] >= 0 else (0, 0)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8, masks: tuple[str, ...] = MASKS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8, masks: tuple[str, ...] = MASKS, slice_bytes: int = SLICE_BYTES, least_item: int = LEAST_ITEM) -> DataFrame:
     """One row for each document and item with an overlap of at least ``least`` tokens, or the whole item, at the similarity.
 
     An overlap begins and ends with a match, unless it is the whole item. doc_id, item_id, doc_token,
@@ -152,32 +183,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, similar
     """
     spark = docs.sparkSession
     tc.tune(spark)
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = -(-int(total) // slice_bytes)  # passes over the documents
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), *(T.StructField(k, T.LongType()) for k in ("doc_token", "item_token", "n_tokens", "n_substituted")), T.StructField("similarity", T.DoubleType())])
     out = spark.createDataFrame([], schema)
-    for k in range(slices):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).select("item_id", "text").toArrow()
-        if part.num_rows:
-            out = out.union(docs.select("doc_id", "text").mapInArrow(_search(part, masks, least, similarity, schema), schema))
+    for part in _slices(benchmark, slice_bytes):
+        out = out.union(docs.select("doc_id", "text").mapInArrow(_search(part, Index(part.column("text").combine_chunks(), masks, least, similarity, least_item), least, similarity, schema), schema))
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8, masks: tuple[str, ...] = MASKS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[pa.Table]:
+    """The different items in parts of about so many bytes; each takes a pass over the documents."""
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-int(total) // slice_bytes)
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
+        if part.num_rows:
+            yield part.sort_by([("item_id", "ascending"), ("text", "ascending")])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8, masks: tuple[str, ...] = MASKS, slice_bytes: int = SLICE_BYTES, least_item: int = LEAST_ITEM) -> DataFrame:
     """The documents that no item overlaps so, in a chain of passes without a shuffle, one for each slice of the benchmark."""
     tc.tune(docs.sparkSession)
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = -(-int(total) // slice_bytes)
-    for k in range(slices):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).select("item_id", "text").toArrow()
-        if part.num_rows:
-            docs = docs.mapInArrow(_filter(part, masks, least, similarity), docs.schema)
+    for part in _slices(benchmark, slice_bytes):
+        docs = docs.mapInArrow(_filter(Index(part.column("text").combine_chunks(), masks, least, similarity, least_item), least, similarity), docs.schema)
     return docs
 
 
-def _filter(part: pa.Table, masks: tuple[str, ...], least: int, similarity: float):
-    index = Index(part.column("text").combine_chunks(), masks, least, similarity)
-
+def _filter(index: Index, least: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches):
             bad = {d for d, _ in overlaps(index, batch.column("text"), least, similarity)}
@@ -201,8 +233,7 @@ def overlaps(index: Index, column: pa.Array, least: int, similarity: float) -> d
     return best
 
 
-def _search(part: pa.Table, masks: tuple[str, ...], least: int, similarity: float, schema: T.StructType):
-    index = Index(part.column("text").combine_chunks(), masks, least, similarity)
+def _search(part: pa.Table, index: Index, least: int, similarity: float, schema: T.StructType):
     ids = part.column("item_id").to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
