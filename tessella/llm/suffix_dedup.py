@@ -1,31 +1,41 @@
 """Removal of repeated substrings by merging Burrows-Wheeler transforms of shards.
 
-A window is the ``width`` bytes from a place in a text. Windows in a row whose smallest hash of
-``gram`` bytes is equal form a segment under that hash; equal windows are under the same one, so that
-segments of different hashes need not meet, nor need a segment whose hash occurs once. Equal
-segments repeat as a whole and are found by counting. What remains, different segments under
-one hash, is dealt out by the hash: the segments of a task form shards, each shard gets its suffix order
-and Burrows-Wheeler transform, and the transforms are merged by iterative interleave refinement (Holt and
-McMillan): starting with the shards one after another, each step sorts stably by the preceding symbol and
-follows the LF-mapping, so that after k steps all rotations are in the order of their first k
-symbols; where neighbours begin to differ the common prefix ends. The blocks after ``width`` steps are
-the repeated intervals. Suffixes are sorted within shards only. A hash with more than
-``most_segments`` different segments, such as a passage in very many texts, is split down to single
-windows, which are counted by their own hashes, so that no task holds an unbounded group.
-
-Texts are read three times and never shuffled: what tasks learn about a text goes to a stored table by
+A window is the ``width`` bytes from a place in a text; its anchor is the first place in it whose ``gram`` bytes
+have the smallest hash. Windows in a row with one anchor form a segment, filed under the anchor's hash. Equal
+windows have equal anchors at equal distances, so that segments under different hashes need not meet, and under
+one hash only places at the same distance from the anchor: the strings of a task are laid over each other by
+their anchors, and their transforms have one layer for each column of this layout.
+
+The strings of a task form shards. A shard's transform has, for each column, the symbols that stand before
+its suffixes in their order, and where each suffix goes when that symbol is put in front. The transforms are
+merged by iterative interleave refinement (Holt and McMillan): starting with the shards one after another, each
+step sorts stably by the preceding symbol and follows the LF-mapping, so that after k steps the suffixes of
+all shards are in the order of their first k symbols. Common prefixes of neighbours follow from those of the
+step before as the minimum over the range between them, plus one where the symbols agree. Rows between which
+the common prefix never falls under ``width`` are a repeated interval; no suffix is sorted twice, nor
+anything but the preceding symbols. Equal segments are one row with their number, as in a run-length
+transform, and count as often.
+
+A group under one hash is bounded: one with more than ``most_segments`` different segments, such as a passage in
+very many texts, is split by halves of the distances between window and anchor, and filed under a hash of the
+bytes that all windows of such a half share, again and again while it is too large. In the end a group is a
+single window. Nothing is dropped, and every group's repeats come from merged transforms.
+
+Texts are read in place and never shuffled: what tasks learn about a text goes to a stored table by
 scan partition, from which the task that scans this partition reads it.
 
-Defined cases: null and empty texts have no bytes; texts shorter than the width keep all of theirs.
-Rows that repeat are separate texts, so each loses what it shares with the other. Equal and null
-doc_ids are kept apart. An empty table gives no rows. The input must be a table or a
-checkpoint, whose scan deals rows to partitions alike each time. Other columns are not read.
+Defined cases: null and empty texts have no bytes; texts shorter than the width keep all of theirs. Long
+texts are cut into segments in pieces of a few MB that overlap by a window, so that a task's memory follows the
+longest text only with its bytes and marks, about 30 times its size. Rows that repeat are separate texts, so
+each loses what it shares with the other. Equal and null doc_ids are kept apart. An empty table gives no rows.
+The input must be a table or a checkpoint, whose scan deals rows to partitions alike each time. Other columns
+are not read; they may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,29 +46,28 @@ from pyspark.sql import types as T
 from . import beside, shared
 from . import textcols as tc
 
-WIDTH, GRAM, MOST_SEGMENTS = 200, 32, 4096
-#: Longest segment in windows; bytes of segments that are merged at once; shards of these.
-SEGMENT, CHUNK_BYTES, SHARDS = 256, 2 << 20, 4
+WIDTH, GRAM, MOST_SEGMENTS = 200, 32, 256
+#: Segments that are merged at once; shards of these; bytes of text that are cut into segments at once.
+CHUNK, SHARDS, PIECE = 16384, 4, 1 << 20
+_PAD = 255
+_ROW = "_scan_row"
 
 
 def segments(buf: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text, start, windows, smallest hash, content hash, and whether the smallest occurs again, of each segment.
-
-    Equal windows in one segment, as of a periodic text, need two places of its smallest hash.
-    """
+    """Text, start, windows, anchor's distance from the start, anchor's hash, content hash and repeats in a row of each segment."""
     none = np.zeros(0, np.int64)
     n = len(buf) - width + 1
     if n <= 0:
-        return none, none, none, none, none, none > 0
-    prefix = tc.prefix_hashes(buf)
-    at = np.arange(len(buf) - gram + 1)
-    own, size, span = tc.span_hashes(prefix, at, at + gram), 1, width - gram + 1
-    low = own
+        return (none,) * 7
+    own, size, span = tc.rolling_hashes(buf, gram), 1, width - gram + 1
+    # the place in the low bits makes the first of equal hashes the smallest
+    low = (own & ~np.uint64(0xFFFFFF)) | np.arange(len(own), dtype=np.uint64)
     while size * 2 <= span:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if span > size:
         low = np.minimum(low[: size - span], low[span - size :])
+    low = (low & np.uint64(0xFFFFFF)).astype(np.int32)
     long = np.diff(offsets) >= width
     step = np.zeros(n + 1, np.int8)
     np.add.at(step, offsets[:-1][long], 1)
@@ -70,119 +79,140 @@ def segments(buf: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tup
     start = np.flatnonzero(first)
     windows = np.flatnonzero(valid)
     length = np.diff(np.append(np.searchsorted(windows, start), len(windows)))
-    pieces = -(-length // SEGMENT)  # long runs, as of periodic texts, in pieces
-    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start, length = np.repeat(start, pieces) + piece * SEGMENT, np.minimum(np.repeat(length, pieces) - piece * SEGMENT, SEGMENT)
+    anchor = low[start].astype(np.int64)
     text = np.searchsorted(offsets, start, "right") - 1
-    high, size = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)]), 1
-    while size * 2 <= span:
-        high = np.maximum(high[:-size], high[size:])
-        size *= 2
-    high = np.maximum(high[: size - span], high[span - size :]) if span > size else high
-    place = np.flatnonzero(own == high)  # the places that are smallest in some window
-    lo, hi = np.searchsorted(place, start), np.searchsorted(place, start + length + span - 1)
-    segment = np.repeat(np.arange(len(start)), hi - lo)
-    k = np.repeat(lo, hi - lo) + np.arange(len(segment)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-    again = np.bincount(segment[own[place[k]] == low[start][segment]], minlength=len(start)) > 1
-    return text, start - offsets[text], length, low[start].view(np.int64), tc.span_hashes(prefix, start, start + length + width - 1).view(np.int64), again
+    content = tc.span_hashes(tc.prefix_hashes(buf), start, start + length + width - 1).view(np.int64)
+    # equal segments on end, as of a periodic text, are one row
+    new = np.ones(len(start), bool)
+    new[1:] = (content[1:] != content[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + length[:-1])
+    at = np.flatnonzero(new)
+    runs = np.diff(np.append(at, len(start)))
+    return text[at], start[at] - offsets[text[at]], length[at], (anchor - start)[at], own[anchor[at]].view(np.int64), content[at], runs
+
+
+def halves(buf: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, size: int, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Segments cut at distances from the anchor that are multiples of ``size``: owner, first window, windows, anchor, hash of the bytes all windows at these distances share, content hash."""
+    most = width - gram
+    lo, hi = (anchor - n + 1) // size, anchor // size
+    owner = np.repeat(np.arange(len(n)), hi - lo + 1)
+    part = np.repeat(lo, hi - lo + 1) + np.arange(len(owner)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1)
+    near, far = part * size, np.minimum(part * size + size - 1, most)  # distances of the last and the first window
+    place = begin[owner] + anchor[owner]
+    skip = anchor[owner] - np.minimum(far, anchor[owner])
+    windows = anchor[owner] - np.maximum(near, (anchor - n + 1)[owner]) - skip + 1
+    prefix, start = tc.prefix_hashes(buf), begin[owner] + skip
+    core = tc.span_hashes(prefix, place - near, place - far + width)
+    return owner, skip, windows, anchor[owner] - skip, core.view(np.int64), tc.span_hashes(prefix, start, start + windows + width - 1).view(np.int64)
 
 
 class Shard:
-    """Suffix order and Burrows-Wheeler transform of strings laid end to end, as rotations."""
-
-    def __init__(self, strings: list[bytes]):
-        size = sum(map(len, strings)) + len(strings)
-        text = np.zeros(size, np.int64)  # 0 ends a string, 257 the shard, and bytes are 1 to 256
-        at, self.first = 0, np.zeros(len(strings), np.int64)
-        for k, s in enumerate(strings):
-            self.first[k] = at
-            text[at : at + len(s)] = np.frombuffer(s, np.uint8)
-            text[at : at + len(s)] += 1
-            at += len(s) + 1
-        text[-1] = 257
-        key, h = np.zeros(size, np.int64), 7
-        for j in range(h):
-            key = key * 258 + np.roll(text, -j)
-        while True:
-            order = np.argsort(key, kind="stable")
-            s = key[order]
-            rank = np.empty(size, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-            if rank[order[-1]] == size - 1:
-                break
-            key, h = rank * size + np.roll(rank, -h), 2 * h
-        self.order, self.rank = order.astype(np.int32), rank.astype(np.int32)
-        self.bwt = (text[order - 1] - 1).astype(np.uint8)
-        self.lf = self.rank[order - 1]
-
-
-def repeated_windows(strings: list[bytes], width: int = WIDTH, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
-    """String and place of each window that occurs twice or more in the strings."""
-    dealt = [np.arange(k, len(strings), shards) for k in range(min(shards, len(strings)))]
-    built = [Shard([strings[i] for i in d]) for d in dealt]
-    base = np.cumsum([0, *(len(s.bwt) for s in built)])
-    bwt = np.concatenate([s.bwt for s in built])
-    lf = np.concatenate([s.lf + b for s, b in zip(built, base, strict=False)]).astype(np.int32)
-    order = np.concatenate([s.order for s in built])
-    # a window is reached from the rotation behind it by as many steps as it is wide; others aren't followed
-    rows = []
-    for s, d, b in zip(built, dealt, base, strict=False):
-        n = np.array([max(0, len(strings[i]) - width + 1) for i in d])
-        place = np.repeat(s.first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + width
-        rows.append(np.sort(s.rank[place]) + b)
-    rows = np.concatenate(rows).astype(np.int32)
-    block = np.zeros(len(rows), np.int32)
-    for k in range(1, width + 1):
-        symbol = bwt[rows]
-        merged = np.argsort(symbol, kind="stable")
-        rows, symbol, block = lf[rows[merged]], symbol[merged], block[merged]
-        new = np.ones(len(rows) + 1, bool)
-        new[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        if k in (4, 6, 8, 12, 16, 24, 32, 64, 96, 128, 160, width):
-            # the common prefix with both neighbours has ended: nothing before it in the text can repeat either
-            keep = ~(new[:-1] & new[1:])
-            rows, first = rows[keep], new[:-1][keep]
-            if not len(rows):
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            block = np.cumsum(first, dtype=np.int32)
-        else:
-            block = np.cumsum(new[:-1], dtype=np.int32)
-    shard = np.searchsorted(base, rows, "right") - 1
-    string, place = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-    for k, (s, d) in enumerate(zip(built, dealt, strict=True)):
-        mine = shard == k
-        at = order[rows[mine]].astype(np.int64)
-        j = np.searchsorted(s.first, at, "right") - 1
-        string[mine], place[mine] = d[j], at - s.first[j]
-    return string, place
+    """Burrows-Wheeler transform of strings laid over each other: layers[t] has the strings' symbols at one column, from the right."""
+
+    def __init__(self, layers: np.ndarray):
+        steps, n = layers.shape
+        self.bwt, self.lf = np.empty((steps, n), np.uint8), np.empty((steps, n), np.int32)
+        order, place = np.arange(n), np.arange(n, dtype=np.int32)
+        for t in range(steps):
+            self.bwt[t] = symbol = layers[t][order]
+            turn = np.argsort(symbol, kind="stable")
+            self.lf[t][turn] = place
+            order = order[turn]
+
+
+def _lowest(values: np.ndarray, left: np.ndarray, right: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """The minimum of values[left + 1 : right + 1] for each pair."""
+    k = log[right - left]
+    table = [values]
+    for j in range(int(k.max(initial=0))):
+        x = table[-1].copy()
+        np.minimum(x[: -(1 << j)], x[1 << j :], out=x[: -(1 << j)])
+        table.append(x)
+    flat, n = np.concatenate(table), len(values)
+    return np.minimum(flat[k * n + left + 1], flat[k * n + right + 1 - (1 << k)])
+
+
+def repeated_windows(data: np.ndarray, bounds: np.ndarray, n: np.ndarray, anchor: np.ndarray, copies: np.ndarray, width: int = WIDTH, gram: int = GRAM, shards: int = SHARDS) -> np.ndarray:
+    """strings x windows: which windows occur twice or more in strings that occur ``copies`` times.
+
+    String j is data[bounds[j] : bounds[j + 1]], of n[j] windows, its anchor at anchor[j]. Windows that are not at
+    one distance from their anchors are taken to differ.
+    """
+    size, most = len(n), width - gram
+    steps, kind = width + most, np.min_scalar_type(width)
+    length = np.diff(bounds)
+    layers = np.full((steps, size), _PAD, np.uint8)
+    string = np.repeat(np.arange(size), length)
+    column = np.arange(len(string)) - np.repeat(bounds[:-1] - bounds[0] + anchor, length)  # from the anchor
+    layers.reshape(-1)[(width - 1 - column) * size + string] = data
+    cuts = np.linspace(0, size, min(shards, size) + 1).astype(int)
+    built = [Shard(layers[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    bwt = np.concatenate([s.bwt for s in built], 1)
+    lf = np.concatenate([s.lf + np.int32(a) for s, a in zip(built, cuts[:-1], strict=True)], 1)
+    log = np.zeros(size + 1, np.int64)
+    for k in range(1, size.bit_length()):
+        log[1 << k :] = k
+    rows, who, common = np.arange(size), np.arange(size), np.zeros(size, kind)
+    out = np.zeros((size, most + 1), bool)
+    for t in range(steps):
+        symbol = bwt[t][rows]
+        turn = np.argsort(symbol, kind="stable")
+        symbol, rows, who = symbol[turn], lf[t][rows[turn]], who[turn]
+        same = np.flatnonzero(symbol[1:] == symbol[:-1])
+        low, common = _lowest(common, turn[same], turn[same + 1], log), np.zeros(size, kind)
+        common[same + 1] = np.minimum(low, width - 1) + 1
+        if t >= width - 1:  # windows begin at this column
+            at = anchor[who] + width - 1 - t
+            real = (at >= 0) & (at < n[who])
+            block = np.cumsum(common < width) - 1
+            total = np.bincount(block, np.where(real, copies[who], 0))
+            found = np.flatnonzero(real & (total[block] > 1))
+            out[who[found], at[found]] = True
+    return out
+
+
+def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of each run of marks."""
+    edge = np.diff(np.pad(mark, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+_SEGMENT = "r long, start long, n int, a int, m long, s long, w long"
+_FETCHED = "m long, r long, start long, n int, a int, w long, s long, split boolean, bytes binary"
+_MERGED = "r long, start long, end long, s long"
+
+
+def _cut(docs: DataFrame, at: str, width: int, gram: int) -> DataFrame:
+    """Stores all segments, those of equal content on end as one row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tc.sub_batches(batches):
+            r = batch.column("r").to_numpy()
+            buf, offsets = tc.text_parts(batch.column("text"))
+            for lo in range(0, max(1, len(buf) - width + 1), PIECE):  # more than one only for a single long text
+                piece = buf[lo : lo + PIECE + width - 1]
+                part = offsets if len(piece) == len(buf) else np.array([0, len(piece)])
+                text, start, n, a, m, s, w = segments(piece, part, width, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(r[text]), pa.array(start + lo), pa.array(n.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(m), pa.array(s), pa.array(w)], names=["r", "start", "n", "a", "m", "s", "w"])
 
-def repeated_spans(docs: DataFrame, at: str, width: int = WIDTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS) -> None:
-    """Stores below ``at``/spans the byte spans (r, start, end) of texts that are covered by repeated windows.
+    docs.mapInArrow(run, _SEGMENT).write.parquet(at)
+    return docs.sparkSession.read.parquet(at)
 
-    docs has r, a monotonically increasing id, and text.
-    """
-    spark = docs.sparkSession
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tc.sub_batches(batches):
-            text, start, length, low, content, again = segments(*tc.text_parts(batch.column("text")), width, gram)
-            r = batch.column("r").to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r, start, length, low, content, again)], names=["r", "start", "n", "m", "s", "again"])
+def _strings(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes of spans, which may overlap."""
+    edges = np.concatenate([[0], np.cumsum(size)])
+    data = buf[np.arange(edges[-1]) + np.repeat(begin - edges[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
 
-    docs.mapInArrow(scan, "r long, start long, n long, m long, s long, again boolean").select("r", F.col("start").cast("int"), F.col("n").cast("int"), "m", "s", "again").write.parquet(f"{at}/segments")
-    every = spark.read.parquet(f"{at}/segments")
-    kinds = every.groupBy("m", "s", "n", "again").agg(F.count("*").alias("copies"), F.max("r").alias("r"), F.max_by("start", "r").alias("start"))
-    kinds.write.parquet(f"{at}/kinds")
-    kinds = spark.read.parquet(f"{at}/kinds")
-    groups = kinds.groupBy("m").agg(F.count("*").alias("different"), F.max("again").alias("any")).where("different > 1 or any").drop("any")
-    groups.write.parquet(f"{at}/groups")
-    chosen = kinds.join(spark.read.parquet(f"{at}/groups"), "m").select("r", "start", "n", "m", "copies", (F.col("different") > most_segments).alias("hot"))
+
+def _fetch(docs: DataFrame, chosen: DataFrame, at: str, width: int) -> DataFrame:
+    """Stores chosen segments (m, r, start, n, a, w, s, split) with their bytes, from the texts."""
     beside.store(chosen, f"{at}/chosen")
+    names = ["m", "r", "start", "n", "a", "w", "s", "split"]
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = None
-        names = ["m", "r", "start", "copies", "bytes", "w", "n"]
         for batch in tc.sub_batches(batches):
             r = batch.column("r").to_numpy()
             if not len(r):
@@ -192,73 +222,111 @@ def repeated_spans(docs: DataFrame, at: str, width: int = WIDTH, gram: int = GRA
             if not len(rows):
                 continue
             buf, offsets = tc.text_parts(batch.column("text"))
-            m, start, n, copies, hot = (side[k][rows] for k in ("m", "start", "n", "copies", "hot"))
-            begin = offsets[text] + start
-            data = buf.tobytes()
-            cold = np.flatnonzero(~hot)
-            strings = pa.array([data[b:e] for b, e in zip(begin[cold].tolist(), (begin + n + width - 1)[cold].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(m[cold]), pa.array(r[text[cold]]), pa.array(start[cold].astype(np.int64)), pa.array(copies[cold]), strings, pa.nulls(len(cold), pa.int64()), pa.nulls(len(cold), pa.int64())], names=names)
-            warm = np.flatnonzero(hot)
-            if len(warm):
-                k = n[warm].astype(np.int64)
-                place = np.repeat(begin[warm], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                w = tc.span_hashes(tc.prefix_hashes(buf), place, place + width).view(np.int64)
-                owner = np.repeat(warm, k)
-                # windows that repeat within the batch are settled here, and counted further as one row
-                _, at_first, back = np.unique(w, return_index=True, return_inverse=True)
-                total = np.bincount(back, copies[owner]).astype(np.int64)
-                alone = np.flatnonzero(total[back] == 1)
-                shown = at_first[total > 1]
-                rows_of = np.concatenate([alone, shown])
-                count = np.concatenate([np.ones(len(alone), np.int64), total[total > 1]])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows_of), pa.int64()), pa.array(r[text[owner[rows_of]]]), pa.array(place[rows_of] - offsets[text[owner[rows_of]]]), pa.array(count), pa.nulls(len(rows_of), pa.binary()), pa.array(w[rows_of]), pa.array(np.ones(len(rows_of), np.int64))], names=names)
-                again = np.flatnonzero((total[back] > 1) & (copies[owner] == 1))
-                if len(again):
-                    new = np.ones(len(again) + 1, bool)
-                    new[1:-1] = (owner[again][1:] != owner[again][:-1]) | (place[again][1:] != place[again][:-1] + 1)
-                    first, last = again[np.flatnonzero(new[:-1])], again[np.flatnonzero(new[1:])]
-                    t = text[owner[first]]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.array(r[t]), pa.array(place[first] - offsets[t]), pa.array(np.ones(len(first), np.int64)), pa.nulls(len(first), pa.binary()), pa.nulls(len(first), pa.int64()), pa.array(place[last] - place[first] + width)], names=names)
-
-    docs.mapInArrow(fetch, "m long, r long, start long, copies long, bytes binary, w long, n long").write.parquet(f"{at}/fetched")
-    fetched = spark.read.parquet(f"{at}/fetched")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
-        size = 0
+            begin, size = offsets[text] + side["start"][rows], side["n"][rows].astype(np.int64) + width - 1
+            first = buf[begin[0] : begin[0] + size[0]]
+            if tc.span_hashes(tc.prefix_hashes(first), np.array([0]), np.array([len(first)])).view(np.int64)[0] != side["s"][rows[0]]:
+                raise ValueError("the scan dealt rows otherwise than before; store the input as a table first")
+            for lo in range(0, len(rows), 8192):
+                part = slice(lo, lo + 8192)
+                yield pa.RecordBatch.from_arrays([*(pa.array(side[k][rows[part]]) for k in names), _strings(buf, begin[part], size[part])], names=[*names, "bytes"])
+
+    docs.mapInArrow(run, _FETCHED).write.parquet(f"{at}/fetched")
+    shared.remove(docs.sparkSession, f"{at}/chosen")
+    return docs.sparkSession.read.parquet(f"{at}/fetched")
+
+
+def _split(fetched: DataFrame, at: str, size: int, width: int, gram: int) -> DataFrame:
+    """Stores the halves of the fetched segments that are to be split; up is the content hash of the whole one."""
 
-        def done(rows: list) -> pa.RecordBatch:
-            string, place = repeated_windows([x[4] for x in rows], width)
-            copies, r, start = (np.array([x[k] for x in rows], np.int64) for k in (3, 1, 2))
-            once = copies[string] == 1  # segments with copies are covered whole
-            key = np.unique(string[once] * (SEGMENT + 1) + place[once])
-            string, place = key // (SEGMENT + 1), key % (SEGMENT + 1)
-            new = np.ones(len(key) + 1, bool)
-            new[1:-1] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)
-            first, last = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
-            string, begin = string[first], start[string[first]]
-            return pa.RecordBatch.from_arrays([pa.array(r[string]), pa.array(begin + place[first]), pa.array(begin + place[last] + width)], names=["r", "start", "end"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tc.sub_batches(batches, "bytes"):
+            if batch.num_rows:
+                r, start, n, a, w, s = (batch.column(k).to_numpy() for k in ("r", "start", "n", "a", "w", "s"))
+                buf, bounds = tc.text_parts(batch.column("bytes"))
+                owner, skip, windows, anchor, m, own = halves(buf, bounds[:-1], n.astype(np.int64), a.astype(np.int64), size, width, gram)
+                arrays = [pa.array(x) for x in (r[owner], start[owner] + skip, windows.astype(np.int32), anchor.astype(np.int32), m, own, w[owner], s[owner])]
+                yield pa.RecordBatch.from_arrays([*arrays, _strings(buf, bounds[:-1][owner] + skip, windows + width - 1)], names=["r", "start", "n", "a", "m", "s", "w", "up", "bytes"])
+
+    fetched.where("split").mapInArrow(run, f"{_SEGMENT}, up long, bytes binary").write.parquet(f"{at}/halves")
+    return fetched.sparkSession.read.parquet(f"{at}/halves")
+
+
+def _merge(fetched: DataFrame, at: str, width: int, gram: int) -> DataFrame:
+    """Stores repeated spans (r, start, end) of segments that occur once, and the content hash s of those that occur more often."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        r, start, n, a, w, s = (table.column(k).to_numpy() for k in ("r", "start", "n", "a", "w", "s"))
+        data, bounds = tc.text_parts(table.column("bytes"))
+        mark = repeated_windows(data, bounds, n, a, w, width, gram)
+        often = w > 1
+        whole = np.flatnonzero(often & mark.any(1))  # and then all of their windows
+        row, first, last = _runs(mark & ~often[:, None])
+        none = pa.nulls(len(whole), pa.int64())
+        lists = [(pa.array(r[row]), none), (pa.array(start[row] + first), none), (pa.array(start[row] + last + width), none), (pa.nulls(len(row), pa.int64()), pa.array(s[whole]))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in lists], names=["r", "start", "end", "s"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("m", "r", "start", "copies", "bytes")), strict=True):
-                if size >= CHUNK_BYTES and row[0] != held[-1][0]:
-                    yield done(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield done(held)
-
-    spans = "r long, start long, end long"
-    near = fetched.where("bytes is not null").select("m", "r", "start", "copies", "bytes").repartition("m").sortWithinPartitions("m").mapInArrow(merge, spans)
-    single = fetched.where("w is not null").select("w", "r", "start", "copies")
-    often = single.groupBy("w").agg(F.sum("copies").alias("total")).where("total > 1").select("w")
-    often.write.parquet(f"{at}/often")
-    single = single.where("copies = 1").join(spark.read.parquet(f"{at}/often"), "w").select("r", "start", (F.col("start") + width).alias("end"))
-    kinds.where("copies > 1").select("m", "s", "n").write.parquet(f"{at}/copied")
-    whole = every.join(spark.read.parquet(f"{at}/copied"), ["m", "s", "n"]).select("r", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + width - 1).cast("long").alias("end"))
-    settled = fetched.where("bytes is null and w is null").select("r", "start", (F.col("start") + F.col("n")).alias("end"))
-    beside.store(near.unionByName(single).unionByName(settled).unionByName(whole), f"{at}/spans")
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK:
+                table = pa.Table.from_batches(held)
+                m = table.column("m").to_numpy()
+                cut = int(np.searchsorted(m, m[-1]))  # the last group may go on
+                if cut:
+                    yield done(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+                    size -= cut
+        if size:
+            yield done(pa.Table.from_batches(held))
+
+    rows = fetched.where("not split").select("m", "r", "start", "n", "a", "w", "s", "bytes")
+    rows.repartition("m").sortWithinPartitions("m").mapInArrow(run, _MERGED).write.parquet(f"{at}/merged")
+    return fetched.sparkSession.read.parquet(f"{at}/merged")
+
+
+def _solve(found: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], at: str, size: int, width: int, gram: int, most_segments: int) -> tuple[DataFrame, DataFrame]:
+    """Repeated spans (r, start, end) of the found segments, and the rows of ``found`` that repeat as a whole.
+
+    found: the rows of _cut or _split, whose windows are less than ``size`` apart in their distances from the
+    anchor. fetch(chosen, at) stores chosen ones with their bytes.
+    """
+    spark = found.sparkSession
+    kinds = found.groupBy("m", "s").agg(F.sum("w").alias("w"), F.max("r").alias("r"), F.max_by("start", "r").alias("start"), F.first("n").alias("n"), F.first("a").alias("a"))
+    kinds.write.parquet(f"{at}/kinds")
+    kinds = spark.read.parquet(f"{at}/kinds")
+    kinds.groupBy("m").agg(F.count("*").alias("different"), F.sum("w").alias("all")).where("all > 1").select("m", (F.col("different") > most_segments).alias("split")).write.parquet(f"{at}/groups")
+    groups = spark.read.parquet(f"{at}/groups")
+    fetched = fetch(kinds.join(groups, "m"), at)
+    merged = _merge(fetched, at, width, gram)
+    spans, repeat = merged.where("r is not null").drop("s"), merged.where("s is not null").select("s")
+    if size > 1 and groups.where("split").limit(1).count():
+        halved = _split(fetched, at, size // 2, width, gram)
+        shared.remove(spark, f"{at}/fetched")
+
+        def own(chosen: DataFrame, below: str) -> DataFrame:
+            halved.drop("w", "n", "a").join(chosen, ["m", "s", "r", "start"]).write.parquet(f"{below}/fetched")
+            return spark.read.parquet(f"{below}/fetched")
+
+        smaller, whole = _solve(halved, own, f"{at}/more", size // 2, width, gram, most_segments)
+        spans, repeat = spans.union(smaller), repeat.union(whole.where("w > 1").select("up").distinct())
+    shared.remove(spark, f"{at}/fetched")
+    whole = found.join(repeat, "s")
+    ends = F.col("start") + F.col("n") * (F.col("w") if "up" not in found.columns else F.lit(1)) + width - 1
+    return spans.union(whole.select("r", "start", ends.alias("end"))), whole
+
+
+def repeated_spans(docs: DataFrame, at: str, width: int = WIDTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS) -> None:
+    """Stores below ``at``/spans the byte spans (r, start, end) of texts that are covered by repeated windows.
+
+    docs has r, a monotonically increasing id, and text.
+    """
+    size = 1 << (width - gram).bit_length()
+    spans, _ = _solve(_cut(docs, f"{at}/segments", width, gram), lambda chosen, below: _fetch(docs, chosen, below, width), f"{at}/first", size, width, gram, most_segments)
+    beside.store(spans, f"{at}/spans")
+    shared.remove(docs.sparkSession, f"{at}/segments", f"{at}/first")
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS, keep: tuple[str, ...] = ("doc_id",), text: bool = False) -> DataFrame:
@@ -269,16 +337,16 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_segm
     spark = docs.sparkSession
     tc.tune(spark)
     at = shared.fresh(spark, "repeats")
-    base = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("r", F.monotonically_increasing_id())
-    repeated_spans(base.select("r", "text"), at, width, gram, most_segments)
+    names = [k for k in keep if k in docs.columns and k != "text"]
+    base = docs.select(*(F.col(k).alias(f"keep{i}") for i, k in enumerate(names)), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias(_ROW))
+    repeated_spans(base.select(F.col(_ROW).alias("r"), "text"), at, width, gram, most_segments)
     longs = ("n_bytes", "n_removed", "n_spans")
-    others = [f for f in docs.schema.fields if f.name in keep and f.name != "text"]
-    schema = T.StructType([*others, *(T.StructField(k, T.LongType()) for k in longs), T.StructField("kept_sha256", T.StringType()), *([T.StructField("text", T.StringType())] if text else [])])
+    schema = T.StructType([*(T.StructField(f"keep{i}", docs.schema[k].dataType) for i, k in enumerate(names)), *(T.StructField(k, T.LongType()) for k in longs), T.StructField("kept_sha256", T.StringType()), *([T.StructField("left", T.StringType())] if text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = None
         for batch in tc.sub_batches(batches):
-            r = batch.column("r").to_numpy()
+            r = batch.column(_ROW).to_numpy()
             if not len(r):
                 continue
             side = beside.stored(f"{at}/spans", int(r[0])) if side is None else side
@@ -288,12 +356,13 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_segm
             if len(rows):
                 np.add.at(step, offsets[doc] + side["start"][rows], 1)
                 np.add.at(step, offsets[doc] + side["end"][rows], -1)
-            gone = np.cumsum(step[:-1]) > 0
+            gone = np.cumsum(step[:-1], dtype=np.int32) > 0
             _, _, bounds = tc.spans(gone, offsets)
             n = tc.per_text(gone, offsets)
             kept = [buf[a:b].tobytes() if not g else buf[a:b][~gone[a:b]].tobytes() for a, b, g in zip(offsets[:-1], offsets[1:], n, strict=True)]
-            arrays = [*(batch.column(f.name) for f in others), pa.array(np.diff(offsets)), pa.array(n), pa.array(np.diff(bounds)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+            arrays = [*(batch.column(f"keep{i}") for i in range(len(names))), pa.array(np.diff(offsets)), pa.array(n), pa.array(np.diff(bounds)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
             arrays += [pa.array([x.decode(errors="ignore") for x in kept])] if text else []
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return base.select("r", "text", *(f.name for f in others)).mapInArrow(run, schema)
+    out = base.select(_ROW, "text", *(f"keep{i}" for i in range(len(names)))).mapInArrow(run, schema)
+    return out.select(*(F.col(f"keep{i}").alias(k) for i, k in enumerate(names)), *longs, "kept_sha256", *([F.col("left").alias("text")] if text else []))
