@@ -50,6 +50,31 @@ def words(t):
 # ---- text kernels
 
 
+def thue_morse(steps):
+    word = "a"
+    for _ in range(steps):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("steps", [10, 12])
+def test_no_hash_of_a_thue_morse_word_is_its_complements(spark, steps):
+    word, other = thue_morse(steps)
+    buf, n = np.frombuffer((word + other).encode(), np.uint8), len(word)
+    h = textcols.span_hashes(textcols.prefix_hashes(buf), np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+    docs = spark.createDataFrame([(1, f"{word}\n{other}"), (2, word), (3, other)], "doc_id long, text string")
+    assert {r.doc_id: r.n_dup_lines for r in repetition.repetition_rules(docs).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {r.n_known for r in language_model.score_texts(docs, F.col("doc_id") == 2, steps=1).where("doc_id = 3").collect()} == {1}
+    items = spark.createDataFrame([(1, other)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, items, least_item=1).collect()} == {1, 3}
+    path = shared.fresh(spark, "words")
+    docs.where("doc_id > 1").write.parquet(path)
+    seen = Counter(t[i : i + 200] for t in (word, other) for i in range(n - 199))
+    want = sum(any(seen[t[j : j + 200]] > 1 for j in range(max(0, i - 199), min(i, n - 200) + 1)) for t in (word, other) for i in range(n))
+    assert sum(r.n_removed for r in suffix_dedup.deduplicate(spark.read.parquet(path)).collect()) == want
+
+
 def test_spans_and_hashes():
     column = pa.array(["ab  cd\n", None, "", " cd", "é"])
     buf, offsets = textcols.text_parts(column)
@@ -108,6 +133,22 @@ def test_rules_compile_to_the_model(spark):
     assert np.allclose(np.sort(got), np.sort(p))
 
 
+def test_chain_learns_from_documents():
+    rng = np.random.default_rng(15)
+    n, length, size = 400, 12, 30  # feature 0 is toxic; 1 stands beside it and in clean windows
+    ids = rng.integers(2, size, (n, length, 1))
+    toxic = np.arange(n) % 2 == 0
+    at = rng.integers(0, length - 1, n)
+    for k in range(n):
+        ids[k, at[k] + 1, 0] = 1
+        if toxic[k]:
+            ids[k, at[k], 0] = 0
+    gold = np.isin(ids[:, :, 0], (0, 1)) & toxic[:, None]  # the first labels take both for toxic
+    used = np.ones((n, length), bool)
+    w, bias, trans = toxicity.fit_chain(ids, gold.astype(int), used, toxic, size, epochs=120)
+    assert w[0] > w[1] + 1 and w[0] + bias > 0
+
+
 def test_marginals_by_brute_force():
     rng = np.random.default_rng(1)
     trans, n = np.exp(rng.normal(size=(2, 2))), 300
@@ -196,6 +237,64 @@ def test_components_of_links(spark, chunk):
     assert [got.get(i, i) for i in range(len(fp))] == root
 
 
+def test_shared_planes():
+    rng = np.random.default_rng(12)
+    for sizes in ([5, 2, 64, 3, 3, 1, 40] * 3, [2], [64, 64], [1, 1]):
+        group = rng.permutation(np.repeat(np.arange(len(sizes)), sizes))
+        fp = rng.integers(0, 1 << 63, len(group), dtype=np.uint64)
+        for i in range(0, len(fp) - 1, 2):  # copies with a few bits changed
+            fp[i + 1] = fp[i] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 9)).astype(np.uint64), initial=np.uint64(0))
+        size = np.bincount(group)[group]
+        for radius in (0, 3, 4):
+            u, v = simhash._small_links(fp, np.arange(len(fp)), group, size, radius)
+            want = {(i, j) for i in range(len(fp)) for j in range(i) if group[i] == group[j] and int(fp[i] ^ fp[j]).bit_count() <= radius}
+            assert {(max(p), min(p)) for p in zip(u.tolist(), v.tolist())} == want
+
+
+@pytest.mark.parametrize("blocks", [5, 6, 8])
+def test_any_blocks_find_all_links(spark, blocks):
+    rng = np.random.default_rng(13)
+    fp = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    fp = np.unique(np.concatenate([fp, *(fp ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (4, 30)).astype(np.uint64)) for _ in range(2))]))
+    points = spark.createDataFrame([(int(x.astype(np.int64)), i) for i, x in enumerate(fp)], "fp long, node long")
+    got = {r.node: r.root for r in components.components(simhash.links(points, 4, blocks=blocks)).collect()}
+    root = list(range(len(fp)))
+    for _ in fp:
+        for i in range(len(fp)):
+            for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 4):
+                root[i] = root[j] = min(root[i], root[j])
+    assert [got.get(i, i) for i in range(len(fp))] == root
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n, 4) for n in (1_000, 10**6)] == [5, 6] and simhash.blocks_for(10**11, 4) > 6
+
+
+def brute_components(ids, fps, radius=4):
+    root = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return [min((ids[j] for j in range(len(ids)) if root[j] == r and ids[j] is not None), default=None) for r in root]
+
+
+def test_component_ids_by_brute_force(spark, awkward):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    big = 1 << 62
+    rows = [(r.doc_id, r.text) for r in docs] + [(big + 9, "some words of a large id"), (big + 5, "some words of a large id"), (-7, docs[3].text), (None, docs[5].text), (None, "alone without an id"), (big + 6, None), (4, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fps = [fingerprint(t) for _, t in rows]
+    want = Counter(zip([d for d, _ in rows], [f"{f:016x}" for f in fps], brute_components([d for d, _ in rows], fps), strict=True))
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
+
+
+def test_unsettled_components_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long"), most_rounds=2)
+
+
 def test_components_of_a_chain(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (5, 5)], "u long, v long")
@@ -203,12 +302,6 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(1, n + 1)} | {101: 100}
 
 
-def test_one_row_of_each_group_stays(spark, awkward):
-    kept = simhash.one_of_each(awkward).collect()
-    assert len([r for r in kept if r.text == LONG]) == 1 and len([r for r in kept if r.text == TEXTS[5]]) == 1
-    assert len([r for r in kept if not words(r.text)]) == 1
-
-
 # ---- near copies
 
 
@@ -295,10 +388,48 @@ def test_overlaps_tolerate_substitutions(spark):
     docs = spark.createDataFrame([(1, "a b " + " ".join(item).upper() + "."), (2, "c " + " ".join(bent)), (3, " ".join(item[:12])), (4, " ".join(item[3:18])), (5, "nothing here"), (6, "Short, item!")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(item)), (8, "short item")], "item_id long, text string")
     for size in (1 << 20, 40):  # one slice, or several
-        got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_substituted) for r in decontaminate.contaminated(docs, bench, slice_bytes=size).collect()}
+        got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_substituted) for r in decontaminate.contaminated(docs, bench, slice_bytes=size, least_item=1).collect()}
         assert set(got) == {(1, 7), (2, 7), (4, 7), (6, 8)}
         assert got[1, 7] == (30, 0) and got[4, 7] == (15, 0) and got[2, 7] == (26, 2)
-    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {3, 5}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench, least_item=2).collect()} == {3, 5}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {3, 5, 6}  # two tokens are not looked for
+
+
+def brute_overlaps(texts, items, least=13):
+    """(text, item) of all that overlap, by all diagonals."""
+    out = set()
+    for d, a in enumerate(texts):
+        for i, b in enumerate(items):
+            for diagonal in range(-len(b) + 1, len(a)):
+                lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal)
+                same = [a[k + diagonal] == b[k] for k in range(lo, hi)]
+                if sum(same) and (brute_run(same, least) >= least or (hi - lo == len(b) and 5 * sum(same) >= 4 * len(b))):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_overlaps_by_brute_force(spark):
+    rng = np.random.default_rng(14)
+    items = [[f"w{k}" for k in rng.integers(0, 40, n)] for n in (4, 6, 13, 16, 25, 30)] + [["ho"] * 20, ["a", "b"] * 12]
+    texts = [[f"w{k}" for k in rng.integers(0, 40, 60)] for _ in range(20)] + [["ho"] * 300, ["a", "b"] * 150 + ["c"], ["b", "a", "x", "y"] * 9]
+    for k, t in enumerate(texts[:20]):
+        item = list(items[k % 6])
+        for at in rng.integers(0, len(item), k % 4):
+            item[at] = "zz"
+        t[10 : 10 + len(item)] = item
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)] + [(0, " ".join(items[0]))], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_overlaps(texts, items)
+
+
+def test_repeated_words_are_no_square(spark):
+    index = decontaminate.Index(pa.array(["ho " * 1000, "a b " * 500]))
+    for text in ("ho " * 20_000, "a b " * 10_000):
+        assert len(decontaminate.overlaps(index, pa.array([text]), 13, 0.8)) == 1
+        h, bounds = decontaminate.token_hashes(pa.array([text]))
+        assert len(index.hits(h, bounds)) < 25_000
 
 
 def brute_run(same, least, share=0.8):
@@ -376,7 +507,8 @@ def test_base_scores_by_brute_force(spark, awkward):
     assert all(r.score < 0 for r in got)
 
 
-def test_model_is_causal_and_sums_to_one():
+@pytest.mark.parametrize("joined", [False, True])
+def test_model_is_causal_and_sums_to_one(joined):
     n, s = 12, attention.S
     net = attention.Model(n, np.arange(n) % 3, np.log(np.full(n, 0.25)), d=8, hidden=8)
     net.fold()
@@ -384,6 +516,10 @@ def test_model_is_causal_and_sums_to_one():
     ids = rng.integers(0, n - 1, 2 * s + 5).astype(np.int32)
     lengths = np.array([len(ids) - 3, 3])
     x, target, follows, text = attention.blocks(ids, lengths, n - 1)
+    if joined:
+        table = rng.random((n, n)).astype(np.float32)
+        net.join(table / table.sum(1, keepdims=True), x, target, follows)
+        assert 0 < net.partner[1] < 1
     lp = net.log_probs(x, target, follows)
     assert (target >= 0).sum() == len(ids) and (lp[target < 0] == 0).all()
     total = sum(np.exp(net.log_probs(x, np.full_like(target, k), follows)) for k in range(n))
@@ -399,9 +535,8 @@ def test_model_is_causal_and_sums_to_one():
 def test_training_lowers_the_loss():
     ids = np.tile(np.arange(8, dtype=np.int32), 400)
     x, target, follows, _ = attention.blocks(ids, np.array([len(ids)]), 8)
-    keep = np.flatnonzero(follows)
     net = attention.Model(9, np.arange(9) % 3, np.log(np.full(9, 1 / 3)), d=8, hidden=16)
-    losses = net.fit(x[keep - 1], x[keep], target[keep], steps=120, batch=32)
+    losses = net.fit(np.roll(x, 1, 0), x, target, follows, steps=120, batch=32)
     assert np.mean(losses[-10:]) < 0.5 * np.mean(losses[:10])
 
 
@@ -420,17 +555,27 @@ def brute_spans(texts, width):
     return out
 
 
-def test_merged_transforms_by_brute_force():
+@pytest.mark.parametrize(("width", "gram", "shards"), [(6, 2, 1), (6, 2, 3), (20, 5, 4), (300, 30, 2)])
+def test_merged_transforms_by_brute_force(width, gram, shards):
     rng = np.random.default_rng(5)
-    strings = [rng.integers(0, 3, n).astype(np.uint8).tobytes() for n in (90, 120, 40, 9, 77)]
-    strings += [strings[0][10:70] + b"\x00\xff" + strings[1][50:100], b"ab" * 60]
-    for width, shards in ((6, 1), (6, 3), (20, 4)):
-        count = Counter(s[i : i + width] for s in strings for i in range(len(s) - width + 1))
-        want = {(k, i) for k, s in enumerate(strings) for i in range(len(s) - width + 1) if count[s[i : i + width]] > 1}
-        assert set(zip(*map(np.ndarray.tolist, suffix_dedup.repeated_windows(strings, width, shards)))) == want
-
-
-@pytest.mark.parametrize("most_segments", [1, 4096])
+    texts = [rng.integers(0, 3, n).astype(np.uint8).tobytes() for n in (90, 120, 40, 9, 77, 700)]
+    texts += [texts[0][10:70] + b"\x00\xff" + texts[1][50:100], b"ab" * 60, b"\xff" * 400, b"", texts[5][90:600] + b"z" + texts[5][:350]]
+    count = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
+    want = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - width + 1) if count[t[i : i + width]] > 1}
+    buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    text, start, n, a, _, s, w = suffix_dedup.segments(buf, offsets, width, gram)
+    assert (n * w).sum() == sum(max(0, len(t) - width + 1) for t in texts)
+    total = dict(zip(s.tolist(), np.bincount(np.unique(s, return_inverse=True)[1], w)[np.unique(s, return_inverse=True)[1]].astype(int).tolist(), strict=True))
+    _, one = np.unique(s, return_index=True)  # equal segments are one row with their number
+    strings = [texts[text[k]][start[k] : start[k] + n[k] + width - 1] for k in one]
+    data, bounds = np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+    mark = suffix_dedup.repeated_windows(data, bounds, n[one], a[one], np.array([total[int(s[k])] for k in one]), width, gram, shards)
+    of = {int(s[k]): mark[j] for j, k in enumerate(one)}
+    got = {(int(text[k]), int(start[k] + j * n[k] + i)) for k in range(len(s)) for j in range(int(w[k])) for i in np.flatnonzero(of[int(s[k])]).tolist()}
+    assert got == want
+
+
+@pytest.mark.parametrize("most_segments", [1, 3, 1024])
 def test_removal_by_brute_force(spark, most_segments):
     rng = np.random.default_rng(6)
     vocabulary = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(400)]
@@ -457,7 +602,8 @@ def test_raked_marginals_meet_targets():
     cells = {"source": np.repeat(["a", "b"], 6), "lang": np.tile(["x", "y", "z"], 4), "topic": np.tile(["p", "p", "p", "q", "q", "q"], 2)}
     tokens = rng.integers(10, 1000, 12).astype(float)
     goals = {k: mixing.target_shares(v, tokens, 0.3) for k, v in cells.items()}
-    share = mixing.rake(cells, tokens, goals)
+    share, gap = mixing.rake(cells, tokens, goals)
+    assert gap < 1e-8
     for k, goal in goals.items():
         for name, want in goal.items():
             assert abs(share[cells[k] == name].sum() - want) < 1e-8
@@ -466,6 +612,30 @@ def test_raked_marginals_meet_targets():
     assert mixing.probabilities(share, tokens, 1e12).min() == 1
 
 
+def test_targets_that_contradict_are_told():
+    cells = {"source": np.array(["a", "b"]), "lang": np.array(["x", "y"])}
+    with pytest.warns(UserWarning, match="can't all be met"):
+        _, gap = mixing.rake(cells, np.array([5.0, 5.0]), {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.5, "y": 0.5}})
+    assert gap > 0.1
+
+
+def test_mixture_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rows = mixing.mix_documents(docs, {"source": 0.0}, keep=0.4, topic=F.col("doc_id") % 3).collect()
+    tokens, cells = np.array([r.n_tokens for r in rows], float), {k: np.array([r[k] for r in rows]) for k in ("source", "lang", "topic")}
+    assert sorted(r.n_tokens for r in rows) == sorted(len(words(r.text)) for r in docs.collect())
+    weight = np.array([r.weight for r in rows])
+    for k, power in (("source", 0.0), ("lang", 0.7), ("topic", 0.7)):
+        names, at = np.unique(cells[k], return_inverse=True)
+        seen = np.bincount(at, tokens) / tokens.sum()
+        got = np.bincount(at, weight * tokens) / (weight * tokens).sum()
+        assert np.allclose(got, seen**power / (seen**power).sum(), atol=1e-6)
+    p = np.array([r.probability for r in rows])
+    assert abs((p * tokens).sum() - 0.4 * tokens.sum()) < 1e-3 * tokens.sum() and ((p == 1) | (weight * p.min() / weight.min() <= 1 + 1e-9)).all()
+    drawn = [int(hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[:12], 16) / 2**48 < r.probability for r in rows]
+    assert drawn == [r.sampled for r in rows]
+
+
 def test_mixture_of_awkward_rows(awkward):
     rows = mixing.mix_documents(awkward).collect()
     assert all(0 <= r.probability <= 1 for r in rows)
