@@ -59,6 +59,17 @@ def stem(word: Column) -> Column:
     return out
 
 
+#: Determiners, of which one may lead a phrase.
+DETERMINERS = ("a", "an", "the", "this", "that", "these", "those")
+
+
+def plain_form(text: Column) -> Column:
+    """Straight quotes, single spaces, no outer '.;,', lower case, one leading determiner less; compatibility characters stay as they are."""
+    t = F.translate(F.coalesce(text, F.lit("")), "‘’“”", "''\"\"")
+    t = F.lower(F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, r"\s+", " ")), "^[.;,]+|[.;,]+$", "")))
+    return F.regexp_replace(t, rf"^(?:{'|'.join(DETERMINERS)})\s+(?=\S)", "")
+
+
 def article_root(iri: Column) -> Column:
     return F.split(iri, "/par_")[0]
 
@@ -92,7 +103,7 @@ def shorten(iri: Column, namespaces: dict[str, str]) -> Column:
     """A compact name by the first namespace that fits."""
     out = iri
     for prefix, base in reversed(list(namespaces.items())):
-        out = F.when(iri.startswith(base), F.concat(F.lit(f"{prefix}:"), F.substring(iri, len(base) + 1, 10_000))).otherwise(out)
+        out = F.when(iri.startswith(base), F.concat(F.lit(f"{prefix}:"), F.substr(iri, F.lit(len(base) + 1)))).otherwise(out)
     return out
 
 
@@ -113,4 +124,4 @@ def serialize(subject: Column, modal: Column, predicate: Column, obj: Column, co
     """'S modal P O, where C.' with a capital first and no empty parts."""
     body = F.concat_ws(" ", F.array_join(subject, " and "), modal, F.array_join(predicate, " and "), F.array_join(obj, " and "))
     body = F.when(F.coalesce(F.trim(condition), F.lit("")) != "", F.concat(body, F.lit(", where "), condition)).otherwise(body)
-    return F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 1_000_000), F.lit("."))
+    return F.concat(F.upper(F.substring(body, 1, 1)), F.substr(body, F.lit(2)), F.lit("."))
