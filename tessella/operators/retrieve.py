@@ -14,19 +14,23 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 5, score: Column | None = None) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 5, score: Column | None = None, at_once: int = 10_000) -> DataFrame:
     """query_id, vec_id, score and rank: the k best vectors of each query, ties by id.
 
-    Queries (query_id, q) are a stated set that goes to every task, checked to be within 10,000
-    rows; the ranking keeps k rows of each query and task before anything is shuffled.
+    Queries (query_id, q) are a stated set that goes to every task in slices of about ``at_once``, by hash of
+    their id and checked by count; each slice is a pass over the vectors, and keeps k rows of each query and task before
+    anything is shuffled.
     """
-    n = queries.limit(10_001).count()
-    if n > 10_000:
-        raise ValueError("more than 10,000 queries at once; call top_k for slices of them")
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")) if score is None else score, digits))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("q", "embedding")
+    n = max(1, -(-queries.count() // at_once))
+    out = None
+    for part in range(n):
+        some = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == part)
+        pairs = vectors.join(F.broadcast(some), F.col("vec_id") != F.col("query_id"))
+        scored = pairs.withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")) if score is None else score, digits))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        best = scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("q", "embedding")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def recall_at(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFrame:
