@@ -1,112 +1,192 @@
-"""Cross-references: spans by ordered passes in a table function, resolution by joins."""
+"""Cross-references: citations found by a table of ordered patterns, resolved by joins.
+
+What a text cites is found in Arrow batches of texts, without knowing the corpus. Which paragraph that is, is a matter of
+joins: by unit, by the marker a target has and by the markers above it, with fallbacks by priority.
+"""
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
-#: Regulations that have a corpus of their own.
+from tessella.functions import text as X
+
+#: Regulations that have a corpus of their own; how an act is cited.
 KNOWN = {"Regulation (EU) 2016/679": "gdpr", "Regulation (EU) 2024/1689": "aiact"}
-_ACT = r"(?:(?:Regulation|Directive|Decision)\s+(?:\((?:EU|EC|EEC)\)\s+)?(?:No\s+)?\d+/\d+(?:/\w+)?)"
-_MORE_NUMBERS = r"((?:\s*(?:,|and|or|to)\s+\d+)*)"
-_ARTICLE = re.compile(rf"\bArticles?\s+(\d+)((?:\([0-9a-z]+\))*){_MORE_NUMBERS}(?:\s+of\s+({_ACT}))?", re.I)
-_ANNEX = re.compile(rf"\bAnnex(?:es)?\s+([IVXLC]+)\b(?:\s+to\s+({_ACT}))?", re.I)
-_PARAGRAPH = re.compile(rf"\bparagraphs?\s+(\d+)((?:\([a-z]+\))*){_MORE_NUMBERS}", re.I)
-_POINT = re.compile(r"\bpoints?\s+(\([a-z]+\))((?:\s*(?:,|and|or)\s+\([a-z]+\))*)(?:\s+of\s+Article\s+(\d+)((?:\([0-9a-z]+\))*))?", re.I)
-_PLAIN = (("regulation", re.compile(r"\bRegulation\s+\((?:EU|EC|EEC)\)\s+(?:No\s+)?\d+/\d+")), ("directive", re.compile(r"\bDirective\s+(?:\((?:EU|EC|EEC)\)\s+)?\d+/\d+(?:/\w+)?")), ("structural", re.compile(r"\b(?:Chapter|Section|Title)\s+[IVXLC\d]+\b")))
-
-
-def chained(first: int, tail: str) -> list[int]:
-    """Numbers after the first of a list such as ', 17 and 19 to 21', ranges written out."""
-    out, last = [], first
-    for word, number in re.findall(r"(,|and|or|to)\s+(\d+)", tail):
-        n = int(number)
-        out += list(range(last + 1, n + 1)) if word == "to" and n > last else [n]
-        last = n
+ACT = r"Regulation\s+\((?:EU|EC|EEC)\)(?:\s+No)?\s+\d+/\d+|Directive\s+(?:\((?:EU|EC|EEC)\)\s+)?\d+/\d+/\w+|Decision\s+(?:\((?:EU|EC|EEC)\)\s+)?(?:No\s+)?\d+/\d+(?:/\w+)?"
+_NUMBERS = r"(?P<more>(?:\s*(?:,|and|or|to)\s*\d+)*)"
+#: The citations, in the order in which they claim their places.
+PATTERNS = (
+    ("article", rf"\bArticles?\s+(?P<n>\d+)(?P<marks>(?:\(\d+\))?(?:\([a-z]\))?(?:\((?:{X.ROMAN})\))?){_NUMBERS}(?:\s+of\s+(?P<act>{ACT}))?"),
+    ("annex", rf"\bAnnex(?:es)?\s+(?P<n>[IVXLCDM]+|\d+)(?:\s+of\s+(?P<act>{ACT}))?"),
+    ("paragraph", rf"\b[Pp]aragraphs?\s+(?P<n>\d+){_NUMBERS}"),
+    ("point", rf"\b[Pp]oints?\s+(?P<marks>\([a-z]\)(?:\((?:{X.ROMAN})\))?)(?P<more>(?:\s*(?:,|and|or)\s*\([a-z]\))*)(?:\s+of\s+Article\s+(?P<n>\d+)(?P<under>\(\d+\))?)?"),
+    ("regulation", r"\bRegulation\s+\((?:EU|EC|EEC)\)(?:\s+No)?\s+\d+/\d+"),
+    ("directive", r"\bDirective\s+(?:\((?:EU|EC|EEC)\)\s+)?\d+/\d+/\w+"),
+    ("structural", r"\b(?P<name>Chapter|Section|Title)\s+(?:[IVXLCDM]+|\d+)"),
+)
+_COMPILED = tuple((kind, re.compile(pattern)) for kind, pattern in PATTERNS)
+_FIELDS = "place int, raw string, short_raw string, kind string, member boolean, act string, unit_number string, markers array<string>, surface string"
+
+
+def numbers_in(first: int, chain: str) -> Iterator[int]:
+    """The numbers after the first in a chain such as ', 17 and 19 to 21', with all of a range."""
+    ends = [(word, int(n)) for word, n in re.findall(r"(,|and|or|to)\s*(\d+)", chain)]
+    for (_, before), (word, n) in itertools.pairwise([("", first), *ends]):
+        yield from range(before + 1, n + 1) if word == "to" else (n,)
+
+
+def _paragraph_marks(marks: str) -> list[str]:
+    """'(1)(a)(i)' as the markers of paragraphs and points, '1.', '(a)' and '(i)'."""
+    return [f"{m[1:-1]}." if m[1:-1].isdigit() else m for m in re.findall(r"\([^()]*\)", marks)]
+
+
+def _members(kind: str, m: re.Match) -> Iterator[tuple[str, str, str | None, list[str]]]:
+    """raw, raw without the article, unit and markers of the others in a chain."""
+    part = m.groupdict()
+    if kind == "point":
+        for letter in re.findall(r"\([a-z]\)", part["more"]):
+            own = [*_paragraph_marks(part["under"] or ""), letter]
+            yield f"point {letter}" + (f" of Article {part['n']}" if part["n"] else ""), f"point {letter}", part["n"], own
+    elif kind in ("article", "paragraph"):
+        for n in numbers_in(int(part["n"]), part["more"]):
+            yield f"{kind.capitalize() if kind == 'article' else kind} {n}", "", str(n) if kind == "article" else None, [] if kind == "article" else [f"{n}."]
+
+
+def references(text: str | None) -> list[tuple]:
+    """place, raw, raw without the article, kind, member of a chain, act, unit number, markers and surface of each citation, in the order of the patterns.
+
+    A citation inside one of an earlier pattern, or with a raw text that has been, is passed over and claims no place; members of a
+    chain share the place of its head.
+    """
+    text, seen, taken, out = text or "", set(), [], []
+    for kind, pattern in _COMPILED:
+        for m in pattern.finditer(text):
+            part, span = m.groupdict(), m.span()
+            inside = any(a <= span[0] and span[1] <= b for a, b in taken)
+            act = re.sub(r"\bNo\s+", "", " ".join((part.get("act") or m[0]).split())) if part.get("act") or kind == "regulation" else None
+            name = part["name"].lower() if kind == "structural" else kind
+            marks = [*_paragraph_marks(part.get("under") or ""), *_paragraph_marks(part.get("marks") or "")] if kind != "paragraph" else [f"{part['n']}."]
+            if inside and kind not in ("article", "annex"):
+                continue
+            if m[0] not in seen and not inside:
+                seen.add(m[0])
+                taken.append(span)
+                out.append((len(out), m[0], m[0], name, False, act, part.get("n") if kind != "paragraph" else None, marks, m[0]))
+            for raw, short, unit, own in _members(kind, m):
+                out.append((len(out), raw, short or raw, name, True, act, unit, own, m[0]))
     return out
 
 
-def references(text: str | None) -> list[tuple[str, str, str | None, list[str], str | None, str]]:
-    """raw, kind, unit number, markers, act and surface of each reference, in the order of the passes.
+def extract(paragraphs: DataFrame) -> DataFrame:
+    """source, unit_id, paragraph_index and the citations of each paragraph, as they are found."""
+    keys = ("source", "unit_id", "paragraph_index")
+    rows = paragraphs.select(*keys, "text")
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, r) for i, t in enumerate(batch.column("text").to_pylist()) for r in references(t)]
+            if found:
+                at = pa.array([i for i, _ in found])
+                arrays = [pa.array(x, t) for x, t in zip(zip(*(r for _, r in found), strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *arrays], names=[*keys, *(f.split()[0] for f in _FIELDS.split(", "))])
+
+    return rows.mapInArrow(run, f"{kinds}, {_FIELDS}")
+
+
+def paragraph_index(paragraphs: DataFrame) -> DataFrame:
+    """One row for each source, unit and index, with the marker of its text and those above it; of repeated rows the last by text.
 
-    A reference inside the span of an earlier one is passed over; members of a chain only need a new
-    raw text; articles that a point names more closely are left out.
+    paragraphs: source, unit_id, paragraph_index, iri, text and parent_text.
     """
-    text = text or ""
-    seen: set[str] = set()
-    taken: list[tuple[int, int]] = []
-    out: list[tuple] = []
-
-    def emit(raw: str, kind: str, number: str | None, markers: list[str], act: str | None, surface: str, span: tuple[int, int] | None) -> None:
-        if raw in seen or span and any(a <= span[0] and span[1] <= b for a, b in taken):
-            return
-        seen.add(raw)
-        if span:
-            taken.append(span)
-        out.append((raw, kind, number, markers, act, surface))
-
-    marks = lambda s: re.findall(r"\([0-9a-z]+\)", s or "", re.I)
-    for m in _ARTICLE.finditer(text):
-        act = " ".join(m[4].split()).replace("No ", "") if m[4] else None
-        raw = f"Article {m[1]}{m[2]}" + (f" of {act}" if act else "")
-        emit(raw, "article", m[1], marks(m[2]), act, m[0], m.span())
-        if act is None or act in KNOWN:
-            for n in chained(int(m[1]), m[3]):
-                emit(f"Article {n}", "article", str(n), [], act, m[0], None)
-    for m in _ANNEX.finditer(text):
-        emit(f"Annex {m[1]}", "annex", m[1], [], m[2], m[0], m.span())
-    for m in _PARAGRAPH.finditer(text):
-        emit(f"paragraph {m[1]}{m[2]}", "paragraph", None, [f"{m[1]}.", *marks(m[2])], None, m[0], m.span())
-        for n in chained(int(m[1]), m[3]):
-            emit(f"paragraph {n}", "paragraph", None, [f"{n}."], None, m[0], None)
-    for m in _POINT.finditer(text):
-        tail = f" of Article {m[3]}{m[4]}" if m[3] else ""
-        for k, letter in enumerate([m[1], *marks(m[2])]):
-            emit(f"point {letter}{tail}", "point", m[3], [*marks(m[4]), letter], None, m[0], m.span() if k == 0 else None)
-    for kind, pattern in _PLAIN:
-        for m in pattern.finditer(text):
-            emit(" ".join(m[0].split()), kind, None, [], " ".join(m[0].split()).replace("No ", ""), m[0], m.span())
-    pointed = {(r[2], tuple(r[3][:-1])) for r in out if r[1] == "point" and r[2]}
-    return [r for r in out if not (r[1] == "article" and (r[2], tuple(r[3])) in pointed)]
+    key = ["source", "unit_id", "paragraph_index"]
+    one = paragraphs.groupBy(*key).agg(F.max(F.struct("text", "iri", "parent_text", *(["screen_keep"] if "screen_keep" in paragraphs.columns else []))).alias("p"))
+    out = one.select(*key, "p.*")
+    chain = X.marker_chain(F.col("parent_text"))
+    return out.withColumns({"marker": X.leading_marker(F.col("text")), "chain": chain})
 
 
-@udtf(returnType="raw string, kind string, unit_number string, markers array<string>, act string, surface string")
-class References:
-    def eval(self, text: str) -> Iterator[tuple]:
-        yield from references(text)
+def text_index(paragraphs: DataFrame) -> DataFrame:
+    """source, unit_id, text and the last index at which a unit has this text."""
+    return paragraphs.groupBy("source", "unit_id", "text").agg(F.max("paragraph_index").alias("paragraph_index"))
 
 
-def extract(paragraphs: DataFrame) -> DataFrame:
-    """source, unit_id, paragraph_index and the references of each paragraph."""
-    spark = paragraphs.sparkSession
-    spark.udtf.register("text_references", References)
-    paragraphs.select("source", "unit_id", "paragraph_index", "text").createOrReplaceTempView("paragraphs_to_cite")
-    return spark.sql("SELECT source, unit_id, paragraph_index, x.* FROM paragraphs_to_cite, LATERAL text_references(text) x")
+def parent_chain(paragraphs: DataFrame) -> DataFrame:
+    """source, unit_id, paragraph_index and parents, an array of struct(iri, text) in the order of the lead-ins.
+
+    A lead-in is the paragraph of the unit that has its text, if any. A continuation without lead-ins is below the
+    paragraph whose identifier its own continues.
+    """
+    key = ["source", "unit_id", "paragraph_index"]
+    lines = paragraphs.where("parent_text is not null and parent_text <> ''").select(*key, F.posexplode(F.split("parent_text", "\n")).alias("at", "line"))
+    named = text_index(paragraphs).withColumnRenamed("paragraph_index", "found").join(paragraphs.select("source", "unit_id", F.col("paragraph_index").alias("found"), "iri"), ["source", "unit_id", "found"])
+    met = lines.join(named.select("source", "unit_id", F.col("text").alias("line"), "iri"), ["source", "unit_id", "line"], "left")
+    chains = met.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "iri", "line"))), lambda x: F.struct(x["iri"].alias("iri"), x["line"].alias("text"))).alias("parents"))
+    above = paragraphs.where("(parent_text is null or parent_text = '') and iri like '%/cont\\\\_%'").select(*key, F.regexp_replace("iri", r"/cont_(?!.*/cont_).*$", "").alias("up"))
+    above = above.join(paragraphs.select(F.col("iri").alias("up"), "text"), "up").select(*key, F.array(F.struct(F.col("up").alias("iri"), "text")).alias("parents"))
+    return paragraphs.select(*key).join(chains.union(above), key, "left")
+
+
+def _find(tries: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
+    """key and iri: of each key the paragraph found by the try of least priority, the first in its unit.
+
+    tries: key, t_source, t_unit, priority and markers; the last marker is the paragraph's own, and the chain above it ends
+    with the others.
+    """
+    last, rest = F.element_at("markers", -1), F.slice("markers", 1, F.size("markers") - 1)
+    tries = tries.where("size(markers) > 0").withColumns({"marker": last, "above": rest})
+    p = index.select(F.col("source").alias("t_source"), F.col("unit_id").alias("t_unit"), "marker", "chain", F.col("paragraph_index").alias("t_index"), F.col("iri").alias("t_iri"))
+    met = tries.join(p, ["t_source", "t_unit", "marker"])
+    tail = F.slice("chain", F.greatest(F.size("chain") - F.size("above") + 1, F.lit(1)), F.size("above"))
+    met = met.where((F.size("above") == 0) | ((F.size("chain") >= F.size("above")) & (tail == F.col("above"))))
+    return met.groupBy(*key).agg(F.min_by("t_iri", F.struct("priority", "t_index")).alias("found"))
 
 
 def resolve(found: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """The references with resolved_iri, by priority: the markers as they are, 'N.' as '(N)', the implicit first paragraph, the unit's first row.
+    """The citations with resolved_iri and the text of what they cite: source, unit_id, paragraph_index, place, raw, kind, surface, resolved_iri, text.
 
-    paragraphs: source, unit_id, paragraph_index, iri. An identifier ends in the segments of its markers.
+    An article or annex is its first paragraph, or the one that its markers name: as they are, 'N.' as '(N)', and in units
+    without paragraph markers with a leading first paragraph left out. A point without an article is one of the unit, as its markers are.
+    Citations of unknown acts, or units that are not there, name nothing, nor do others of their chain, which are left out. Of equal raw
+    texts the first stays, and an article goes where a point below it is cited. The text is there for
+    paragraphs of the same corpus that were kept (screen_keep, where the paragraphs have it).
     """
-    spark = found.sparkSession
-    known = spark.createDataFrame(list(KNOWN.items()), "act string, to string")
-    target = found.join(F.broadcast(known), "act", "left")
-    unit = F.when(F.col("kind") == "annex", F.concat(F.lit("anx_"), "unit_number")).when(F.col("unit_number").isNotNull(), F.concat(F.lit("art_"), "unit_number")).when(F.col("kind").isin("paragraph", "point"), F.col("unit_id"))
-    corpus = F.when(F.col("act").isNull(), F.col("source")).otherwise(F.col("to"))
-    segment = lambda m: F.when(m.rlike(r"^\(?\d+[.)]$"), F.concat(F.lit("par_"), F.regexp_extract(m, r"\d+", 0))).otherwise(F.concat(F.lit("pt_"), F.regexp_extract(m, r"[a-z]+", 0)))
-    path = F.array_join(F.transform("markers", segment), "/")
-    target = target.withColumns({"t_source": corpus, "t_unit": unit, "path": path})
-    base = F.concat("t_source", F.lit(":"), "t_unit", F.lit("/"))
-    ways = F.array(F.concat(base, "path"), F.concat(base, F.lit("par_1/"), "path"))
-    key = ["source", "unit_id", "paragraph_index", "raw"]
-    by_path = target.where("path <> ''").select(*key, F.posexplode(ways).alias("priority", "iri")).join(paragraphs.select("iri"), "iri").groupBy(*key).agg(F.min_by("iri", "priority").alias("exact"))
-    first = paragraphs.groupBy(F.col("source").alias("t_source"), F.col("unit_id").alias("t_unit")).agg(F.min_by("iri", "paragraph_index").alias("first_iri"))
-    out = target.join(by_path, key, "left").join(first, ["t_source", "t_unit"], "left")
-    whole = F.when(F.col("path") == "", F.col("first_iri"))
-    named = F.when((F.col("kind") == "regulation") & F.col("to").isNotNull(), F.concat("to", F.lit(":")))
-    return out.select(*key, "kind", "surface", F.coalesce("exact", whole, named).alias("resolved_iri"))
+    spark, key = found.sparkSession, ["source", "unit_id", "paragraph_index", "place"]
+    index = paragraph_index(paragraphs)
+    known = F.broadcast(spark.createDataFrame(list(KNOWN.items()), "act string, to string"))
+    there = index.groupBy(F.col("source").alias("t_source"), F.col("unit_id").alias("t_unit")).agg(F.max(F.coalesce(F.col("marker").rlike(r"^(?:\d+\.|\(\d+\))$"), F.lit(False))).alias("numbered"), F.min_by("iri", "paragraph_index").alias("first_iri"), F.max(F.when(F.col("paragraph_index") == 0, F.col("iri"))).alias("zero_iri"))
+    rows = found.join(known, "act", "left").withColumn("t_source", F.when(F.col("act").isNull(), F.col("source")).otherwise(F.col("to")))
+    named = F.when(F.col("kind") == "annex", F.concat(F.lit("anx_"), "unit_number")).when(F.col("kind").isin("article", "point"), F.concat(F.lit("art_"), "unit_number")).when(F.col("kind") == "paragraph", F.col("unit_id"))
+    rows = rows.withColumn("t_unit", named).join(there, ["t_source", "t_unit"], "left").withColumn("exists", F.col("zero_iri").isNotNull() | F.col("first_iri").isNotNull())
+    # a point of an article that isn't there is one of the own unit
+    local = (F.col("kind") == "point") & ~F.col("exists")
+    rows = rows.withColumns({"local": local, "raw": F.when(local, F.col("short_raw")).otherwise(F.col("raw")), "t_source": F.when(local, F.col("source")).otherwise(F.col("t_source")), "t_unit": F.when(local, F.col("unit_id")).otherwise(F.col("t_unit")), "markers": F.when(local, F.filter("markers", lambda m: ~m.rlike(r"^\d+\.$"))).otherwise(F.col("markers"))})
+    head = rows.where("not member and kind = 'article'").select("source", "unit_id", "paragraph_index", "surface", (F.col("exists") | F.lit(False)).alias("head_exists")).groupBy("source", "unit_id", "paragraph_index", "surface").agg(F.max("head_exists").alias("head_exists"))
+    rows = rows.join(head, ["source", "unit_id", "paragraph_index", "surface"], "left").where(~(F.col("member") & (F.col("kind") == "article") & ~F.coalesce("head_exists", F.lit(False))))
+    rows = rows.withColumn("once", F.min("place").over(Window.partitionBy("source", "unit_id", "paragraph_index", "raw"))).where("place = once")
+    first = F.get("markers", F.lit(0))
+    none = F.lit(None).cast("array<string>")
+    swapped = F.when(first.rlike(r"^\d+\.$"), F.concat(F.array(F.regexp_replace(first, r"^(\d+)\.$", "($1)")), F.slice("markers", 2, F.size("markers"))))
+    implicit = first.isin("1.", "(1)") & ~F.coalesce("numbered", F.lit(False))
+    shorter = F.when(implicit & (F.size("markers") > 1), F.slice("markers", 2, F.size("markers")))
+    marked = rows.where("size(markers) > 0 and t_unit is not null")
+    tries = marked.select(*key, "t_source", "t_unit", F.posexplode(F.array(F.col("markers"), F.when(F.col("local"), none).otherwise(swapped), F.when(F.col("local"), none).otherwise(shorter))).alias("priority", "markers")).where("markers is not null")
+    out = rows.join(_find(tries, index, key), key, "left")
+    whole = F.when((F.size("markers") == 0) & F.col("kind").isin("article", "annex"), F.col("zero_iri"))
+    chapeau = F.when(implicit & (F.size("markers") == 1) & ~F.col("local") & F.col("kind").isin("article", "paragraph", "point"), F.col("first_iri"))
+    act = F.when((F.col("kind") == "regulation") & F.col("to").isNotNull(), F.concat("to", F.lit(":")))
+    out = out.withColumn("resolved_iri", F.coalesce("found", chapeau, whole, act))
+    # an article that only says where a cited point is
+    points = out.where("kind = 'point' and resolved_iri is not null").groupBy("source", "unit_id", "paragraph_index").agg(F.collect_set("resolved_iri").alias("points"))
+    out = out.join(points, ["source", "unit_id", "paragraph_index"], "left")
+    covered = (F.col("kind") == "article") & F.coalesce(F.exists("points", lambda p: p.startswith(F.concat("resolved_iri", F.lit("/")))), F.lit(False))
+    kept = index.where("screen_keep") if "screen_keep" in index.columns else index
+    out = out.where(~covered).join(kept.select(F.col("source").alias("k_source"), F.col("iri").alias("k_iri"), F.col("text")), (F.col("k_iri") == F.col("resolved_iri")) & (F.col("k_source") == F.col("source")), "left")
+    return out.select(*key, "raw", "kind", "surface", "resolved_iri", "text")

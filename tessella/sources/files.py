@@ -5,22 +5,59 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.utils import AnalysisException
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, limit: int | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, limit: int | None = None, order: str | None = None) -> DataFrame:
+    """Rows of JSON lines; with a limit the first ones by ``order``, or else by file and place in it."""
     reader = spark.read.schema(schema) if schema else spark.read
-    out = reader.json(path)
-    return out.limit(limit) if limit is not None else out
+    if limit is None:
+        return reader.json(path)
+    out = reader.json(path).withColumns({"_file": F.input_file_name(), "_place": F.monotonically_increasing_id()})
+    return out.orderBy(*([order] if order else ["_file", "_place"])).limit(limit).drop("_file", "_place")
+
+
+def _run_number() -> Column:
+    return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(F.input_file_name(), r"run(\d+)", 1), F.lit("")), F.lit("999999")).cast("int"), F.lit(1))
 
 
 def read_runs(spark: SparkSession, path: str, suffix: str = ".extracted.jsonl", schema: str | None = None) -> DataFrame:
-    """All runN files of a directory, or one file, with run_id."""
+    """All runN files of a directory, or one file, with run_id; a directory without such files gives all its JSON lines."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    if not path.endswith(".jsonl"):
+        found = reader.option("pathGlobFilter", f"run*{suffix}")
+        try:
+            return found.json(path).withColumn("run_id", _run_number())
+        except AnalysisException:
+            reader = (spark.read.schema(schema) if schema else spark.read).option("pathGlobFilter", "*.jsonl")
+    return reader.json(path).withColumn("run_id", _run_number())
+
+
+def read_mapped(spark: SparkSession, path: str, suffix: str, schema: str | None = None) -> DataFrame:
+    """The mapped runs of a directory, or one file, which must have the suffix of its stage; with run_id."""
     reader = spark.read.schema(schema) if schema else spark.read
-    out = reader.option("pathGlobFilter", f"*{suffix}").json(path)
-    return out.withColumn("run_id", F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(F.input_file_name(), r"run(\d+)", 1), F.lit("")), F.lit("999999")).cast("int"), F.lit(1)))
+    if path.endswith(".jsonl"):
+        if not path.endswith(suffix):
+            raise ValueError(f"{path} is not a file of the stage that writes *{suffix}")
+        return reader.json(path).withColumn("run_id", _run_number())
+    return reader.option("pathGlobFilter", f"*{suffix}").json(path).withColumn("run_id", _run_number())
+
+
+def read_pages(spark: SparkSession, path: str, registry: list[str]) -> DataFrame:
+    """source and html of saved pages of regulations. They are fetched out of band; the source is the registry key in a file's name."""
+    return spark.read.text(path, wholetext=True).select(source_of(registry).alias("source"), F.col("value").alias("html"))
+
+
+def read_routing(spark: SparkSession, path: str) -> DataFrame:
+    """slot, regulation, vocab, by, value and sequence of a routing file: slot -> regulation -> list of selectors with values."""
+    text = spark.read.text(path, wholetext=True)
+    slots = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("slot", "body")).where(~F.col("slot").startswith("_"))
+    regs = slots.select("slot", F.explode(F.from_json("body", "map<string,string>")).alias("regulation", "body")).where(~F.col("regulation").startswith("_"))
+    each = regs.select("slot", "regulation", F.posexplode(F.from_json("body", "array<struct<vocab:string,by:string,values:array<string>>>")).alias("sequence", "s"))
+    return each.select("slot", "regulation", "s.vocab", "s.by", F.explode_outer("s.values").alias("value"), "sequence")
 
 
 def read_map(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
@@ -46,58 +83,85 @@ def append_log(df: DataFrame, path: str) -> None:
     df.withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").json(path)
 
 
+def append_review(results: DataFrame, path: str) -> None:
+    """Appends the results whose verdict is that too little is known to a review queue."""
+    append_log(results.where("verdict.verdict = 'INSUFFICIENT'"), path)
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """Writes a small result, such as metrics or a worksheet, as one JSON document, an array of its rows in their order."""
+    rows = df.select(F.struct(*df.columns).alias("r")).agg(F.collect_list("r").alias("rows"))
+    rows.select(F.to_json("rows", {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_index(vectors: DataFrame, version: str, path: str) -> None:
+    """Stores vectors below their version, by which later runs know whether they are still those of the entries."""
+    vectors.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def read_index(spark: SparkSession, version: str, path: str) -> DataFrame | None:
+    """The vectors stored for a version, or None where there are none and they have to be made anew."""
+    try:
+        return spark.read.parquet(f"{path}/version={version}")
+    except AnalysisException:
+        return None
+
+
 _TOKEN = re.compile(r'"""(?P<long>.*?)"""(?:@[\w-]+|\^\^\S+)?|"(?P<text>(?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^[^\s;,.]+)?|<(?P<iri>[^>]*)>|(?P<mark>[;,.\[\]()])(?=\s|$|[\[\]();,])|#[^\n]*|(?P<name>[^\s;,\[\]()"<]+)', re.S)
 
 
-@udtf(returnType="subject string, predicate string, object string, kind string")
-class Triples:
+def triples(text: str | None) -> Iterator[tuple[str, str, str, str]]:
     """Triples of a Turtle file: names, IRIs and literals, with lists by ';' and ','; nested nodes are passed over."""
-
-    def eval(self, text: str) -> Iterator[tuple]:
-        subject = predicate = None
-        depth = directive = 0
-        for m in _TOKEN.finditer(text or ""):
-            kind, value = m.lastgroup, m[m.lastgroup] if m.lastgroup else None
-            if kind is None:
-                continue
-            if kind == "name" and value.endswith(".") and not value.endswith(".."):
-                value, ends = value[:-1], True
-            else:
-                ends = False
-            if kind == "mark" and value in "[(":
-                depth += 1
-            elif kind == "mark" and value in "])":
-                depth -= 1
-            elif depth:
-                continue
-            elif kind == "mark":
-                if value == ".":
-                    subject = predicate = None
-                    directive = 0
-                elif value == ";":
-                    predicate = None
-            elif value in ("@prefix", "@base", "PREFIX", "BASE"):
-                directive = 1
-            elif directive:
-                pass
-            elif subject is None:
-                subject = value
-            elif predicate is None:
-                predicate = "rdf:type" if value == "a" else value
-            else:
-                yield subject, predicate, value, "literal" if kind in ("text", "long") else "name"
-            if ends:
+    subject = predicate = None
+    depth = directive = 0
+    for m in _TOKEN.finditer(text or ""):
+        kind, value = m.lastgroup, m[m.lastgroup] if m.lastgroup else None
+        if kind is None:
+            continue
+        if kind == "name" and value.endswith(".") and not value.endswith(".."):
+            value, ends = value[:-1], True
+        else:
+            ends = False
+        if kind == "mark" and value in "[(":
+            depth += 1
+        elif kind == "mark" and value in "])":
+            depth -= 1
+        elif depth:
+            continue
+        elif kind == "mark":
+            if value == ".":
                 subject = predicate = None
                 directive = 0
+            elif value == ";":
+                predicate = None
+        elif value in ("@prefix", "@base", "PREFIX", "BASE"):
+            directive = 1
+        elif directive:
+            pass
+        elif subject is None:
+            subject = value
+        elif predicate is None:
+            predicate = "rdf:type" if value == "a" else value
+        else:
+            yield subject, predicate, value, "literal" if kind in ("text", "long") else "name"
+        if ends:
+            subject = predicate = None
+            directive = 0
+
+
+def _read_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            rows = list(triples(text))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], names=["subject", "predicate", "object", "kind"])
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """subject, label, types and parents of the classes and concepts of Turtle files, properties left out."""
-    spark.udtf.register("turtle_triples", Triples)
-    spark.read.text(path, wholetext=True).createOrReplaceTempView("turtle_texts")
-    triples = spark.sql("SELECT t.* FROM turtle_texts, LATERAL turtle_triples(value) t")
+    found = spark.read.text(path, wholetext=True).mapInArrow(_read_triples, "subject string, predicate string, object string, kind string")
     p, o = F.col("predicate"), F.col("object")
-    terms = triples.groupBy("subject").agg(
+    terms = found.groupBy("subject").agg(
         F.max(F.when(p == "skos:prefLabel", o)).alias("pref"),
         F.max(F.when(p == "rdfs:label", o)).alias("name"),
         F.array_sort(F.collect_set(F.when(p == "rdf:type", o))).alias("types"),

@@ -19,3 +19,8 @@ def windowed(rows: DataFrame, time: str, key: str, width: str = "1 hour", late:
     """Counts by window and key; rows later than the watermark are left out on a stream."""
     rows = rows.withWatermark(time, late) if rows.isStreaming else rows
     return rows.groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+
+
+def in_batches(stream: DataFrame, work, at: str, seconds: int = 60):
+    """Runs ``work(rows, number)`` on each micro-batch of a stream, one every so many seconds; a batch that failed is done again from the checkpoint ``at``."""
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", at).trigger(processingTime=f"{seconds} seconds").start()
