@@ -5,10 +5,11 @@ similarity share one of the first n - ceil(least * n) + 1 of each. The order is
 shingles that a sample of the texts shows to be frequent put last; the sample changes what the search
 costs, never what it finds. Equal sets form one class, of which one row is compared. First SimHash (see
 simhash) gives candidates, whose fingerprints over the sets differ in few bits; as 64 bits can't tell a similarity of
-0.8 from a lower one, of each shared shingle every class is compared with the smallest one too, and then, after
-joining what is linked, classes of different components with each other, so that a large group of copies
-doesn't square. Candidates whose sizes or parities (see parities) rule the similarity out are dropped, and
-each one left is decided by its whole sets.
+0.8 from a lower one, every class is compared with the hub of each shingle it shares too, the class that shares most
+of its own, as the origin of many copies does. After joining what is linked, all that share a hub form a family, which
+holds every pair that meets in one of its shingles; classes of one family and different components are compared in
+the task that holds them, by sizes and parities (see parities), so that pairs that these rule out are nowhere rows.
+Each candidate left is decided by its whole sets.
 
 Defined cases: words are split at ASCII white space and compared in ASCII lower case. A text of fewer
 words than a shingle has one, all of it; null, empty and blank texts have none and are equal.
@@ -31,7 +32,7 @@ from .components import components
 
 #: Frequent shingles that are put last, at most; 8 bytes each in every task.
 FREQUENT = 1 << 20
-#: Components of one shingle that are compared in a task, at most.
+#: Classes of one family that are compared in a task, at most.
 CHUNK = 2048
 
 
@@ -112,7 +113,7 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _met(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """h, node and top, the smallest such node, of each prefix shingle that several classes have."""
+    """h and node of each prefix shingle that several classes have."""
     frequent, ratio = _frequent(docs, width), _ratio(least)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +138,12 @@ def _met(docs: DataFrame, width: int, least: float) -> DataFrame:
             new = np.ones(len(work), bool)
             new[1:] = (work[1:] != work[:-1]).any(1)
             work = work[new]
-            _, first, size = np.unique(work[:, 0], return_index=True, return_counts=True)
-            top, size = np.repeat(work[first, 1], size), np.repeat(size, size)
-            work, top = work[size > 1], top[size > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(work[:, 0]), pa.array(work[:, 1]), pa.array(top)], names=["h", "node", "top"])
+            _, size = np.unique(work[:, 0], return_counts=True)
+            work = work[np.repeat(size, size) > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(work[:, 0]), pa.array(work[:, 1])], names=["h", "node"])
 
     rows = docs.select("text").mapInArrow(prefixes, "h long, node long").repartition("h").sortWithinPartitions("h", "node")
-    return shared.cut(rows.mapInArrow(groups, "h long, node long, top long"))
+    return shared.cut(rows.mapInArrow(groups, "h long, node long"))
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -214,26 +214,84 @@ def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, le
     return out
 
 
+def _apart(n: np.ndarray, bits: list[bytes], component: np.ndarray, left: np.ndarray, right: np.ndarray, ratio: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a left and a right set, of different components, whose sizes and parities allow the similarity."""
+    size, found = np.array([len(x) for x in bits]), []
+    of = {p: np.flatnonzero(size == p) for p in np.unique(size).tolist()}
+    for p, q in itertools.product(of, of):
+        a, b = (np.intersect1d(of[k], side) for k, side in ((p, left), (q, right)))
+        if not len(a) or not len(b):
+            continue
+        b = b[np.argsort(n[b], kind="stable")]
+        x, y = (folded([bits[k] for k in rows.tolist()], min(p, q)) for rows in (a, b))
+        lo = np.searchsorted(n[b] * ratio.denominator, n[a] * ratio.numerator, "left")
+        hi = np.searchsorted(n[b] * ratio.numerator, n[a] * ratio.denominator, "right")
+        for i, (s, e) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+            near = s + np.flatnonzero(component[b[s:e]] != component[a[i]])
+            m = n[b[near]]
+            differ = np.maximum(np.bitwise_count(y[near] ^ x[i]).sum(1, dtype=np.int64), np.abs(m - n[a[i]]))
+            # common = (n + m - differ) / 2 at most, and the union n + m - common
+            good = near[(n[a[i]] + m - differ) * ratio.denominator >= (n[a[i]] + m + differ) * ratio.numerator]
+            found.append(np.stack([np.full(len(good), a[i]), b[good]], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _across(families: DataFrame, classes: DataFrame, least: float, chunk: int) -> DataFrame:
+    """Pairs (u, v) of classes of one family and different components that may be similar. families: hub, node and c, the component."""
+    ratio = _ratio(least)
+    many = shared.cut(families.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub", F.ceil(F.col("k") / chunk).cast("int").alias("chunks")))
+    dealt = families.join(many, "hub").join(classes.select("node", "n", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    tiles = tiles.select("hub", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("right"), "node", "n", "bits", "c")
+    tiles = tiles.repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            hub, a, b, right, node, n, c = (table.column(k).to_numpy() for k in ("hub", "a", "b", "right", "node", "n", "c"))
+            bits = table.column("bits").to_pylist()
+            new = np.ones(len(hub) + 1, bool)
+            new[1:-1] = (hub[1:] != hub[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            for s, e in itertools.pairwise(np.flatnonzero(new).tolist()):
+                at = np.arange(e - s)
+                one = a[s] == b[s]
+                left, other = (at, at) if one else (at[~right[s:e]], at[right[s:e]])
+                x, y = _apart(n[s:e], bits[s:e], c[s:e], left, other, ratio)
+                u, v = node[s:e][x], node[s:e][y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            last = [table.column(k)[-1].as_py() for k in ("hub", "a", "b")] if table.num_rows else None
+            same = np.logical_and.reduce([table.column(k).to_numpy() == x for k, x in zip(("hub", "a", "b"), last, strict=True)]) if last else np.zeros(0, bool)
+            cut = int(np.argmax(same)) if len(same) else 0  # the last group may go on
+            if cut >= 4096:
+                yield from done(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+        tc.release()
+
+    return shared.cut(tiles.mapInArrow(run, "u long, v long").distinct())
+
+
 def links(rows: DataFrame, docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int = CHUNK, radius: int = 4) -> DataFrame:
     """Links (u, v) that join all classes of rows whose similarity is at least ``least``; not all pairs."""
-    ratio = _ratio(least)
     classes = shared.cut(rows.groupBy("node").agg(F.min("_scan_row").alias("_scan_row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp")))
     points = shared.cut(classes.groupBy("fp").agg(F.min("node").alias("node")))
     same = classes.select("fp", F.col("node").alias("v")).join(points.withColumnRenamed("node", "u"), "fp").select("u", "v")
     met = _met(docs, width, least)
-    close = same.union(simhash.links(points, radius)).union(met.select(F.col("top").alias("u"), F.col("node").alias("v")))
+    shares = met.groupBy("node").agg(F.count("*").alias("shares"))
+    hubs = met.join(shares, "node").groupBy("h").agg(F.max_by("node", F.struct("shares", "node")).alias("hub"))
+    family = shared.cut(met.select("h", "node").join(hubs, "h").select("hub", "node").distinct())
+    close = same.union(simhash.links(points, radius)).union(family.select(F.col("hub").alias("u"), F.col("node").alias("v")))
     stars = shared.cut(close.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     found = _alike(stars, classes, docs, width, least)
-    parts = met.select("h", "node").join(components(found), "node", "left").withColumn("c", F.coalesce("root", "node"))
-    many = parts.groupBy("h").agg(F.countDistinct("c").alias("k")).where("k > 1").select("h", F.ceil(F.col("k") / chunk).cast("int").alias("chunks"))
-    parts = parts.join(many, "h").join(classes.select("node", "n"), "node")
-    parts = shared.cut(parts.groupBy("h", "chunks", "c").agg(F.collect_list(F.struct("node", "n")).alias("members")))
-    a = parts.select("h", F.col("c").alias("ca"), F.col("members").alias("a"), F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int").alias("own"))
-    b = parts.select("h", F.col("c").alias("cb"), F.col("members").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("own"))
-    pairs = a.join(b, ["h", "own"]).where("ca < cb").select(F.explode("a").alias("x"), "b").select("x", F.explode("b").alias("y"))
-    pairs = pairs.where((F.col("x.n") * ratio.denominator >= F.col("y.n") * ratio.numerator) & (F.col("y.n") * ratio.denominator >= F.col("x.n") * ratio.numerator))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
-    pairs = shared.cut(pairs.join(stars, ["u", "v"], "left_anti"))
+    named = shared.cut(family.join(components(found), "node", "left").select("hub", "node", F.coalesce("root", "node").alias("c")))
+    pairs = shared.cut(_across(named, classes, least, chunk).join(stars, ["u", "v"], "left_anti"))
     return found.union(_alike(pairs, classes, docs, width, least))
 
 
