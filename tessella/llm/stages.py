@@ -1,4 +1,11 @@
-"""The operators as stages over documents: each takes documents and returns those that stay, changed where that is its work."""
+"""The operators as stages over documents: each takes documents and returns those that stay, changed where that is its work.
+
+Defined cases of all stages: null and empty texts are documents like others, without words: they are not toxic, all near
+copies of each other, have nothing to cut and meet no benchmark. Repeated rows and equal or null doc_ids are each
+judged by themselves, and of equal ones near_duplicates keeps one. Long texts are read whole, as the operators state. An
+empty table gives no rows. Columns other than those of documents are left out, whatever their names. Inputs
+must be tables or checkpoints.
+"""
 
 from __future__ import annotations
 

@@ -17,8 +17,8 @@ anything but the preceding symbols. Equal segments are one row with their number
 transform, and count as often.
 
 A group under one hash is bounded: one with more than ``most_segments`` different segments, such as a passage in
-very many texts, is split by halves of the distances between window and anchor, and filed under a hash of the
-bytes that all windows of such a half share, again and again while it is too large. In the end a group is a
+very many texts, is split by quarters of the distances between window and anchor, and filed under a hash of the
+bytes that all windows of such a quarter share, again and again while it is too large. In the end a group is a
 single window. Nothing is dropped, and every group's repeats come from merged transforms.
 
 Texts are read in place and never shuffled: what tasks learn about a text goes to a stored table by
@@ -46,9 +46,9 @@ from pyspark.sql import types as T
 from . import beside, shared
 from . import textcols as tc
 
-WIDTH, GRAM, MOST_SEGMENTS = 200, 32, 256
+WIDTH, GRAM, MOST_SEGMENTS = 200, 32, 1024
 #: Segments that are merged at once; shards of these; bytes of text that are cut into segments at once.
-CHUNK, SHARDS, PIECE = 16384, 4, 1 << 20
+CHUNK, SHARDS, PIECE = 8192, 4, 1 << 20
 _PAD = 255
 _ROW = "_scan_row"
 
@@ -90,7 +90,7 @@ def segments(buf: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tup
     return text[at], start[at] - offsets[text[at]], length[at], (anchor - start)[at], own[anchor[at]].view(np.int64), content[at], runs
 
 
-def halves(buf: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, size: int, width: int, gram: int) -> tuple[np.ndarray, ...]:
+def quarters(buf: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, size: int, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """Segments cut at distances from the anchor that are multiples of ``size``: owner, first window, windows, anchor, hash of the bytes all windows at these distances share, content hash."""
     most = width - gram
     lo, hi = (anchor - n + 1) // size, anchor // size
@@ -141,9 +141,12 @@ def repeated_windows(data: np.ndarray, bounds: np.ndarray, n: np.ndarray, anchor
     steps, kind = width + most, np.min_scalar_type(width)
     length = np.diff(bounds)
     layers = np.full((steps, size), _PAD, np.uint8)
-    string = np.repeat(np.arange(size), length)
-    column = np.arange(len(string)) - np.repeat(bounds[:-1] - bounds[0] + anchor, length)  # from the anchor
-    layers.reshape(-1)[(width - 1 - column) * size + string] = data
+    place = np.arange(bounds[-1] - bounds[0])
+    place -= np.repeat(bounds[:-1] - bounds[0] + anchor + width - 1, length)  # from the layer of the anchor's window, to the left
+    place *= -size
+    place += np.repeat(np.arange(size), length)
+    layers.reshape(-1)[place] = data
+    del place
     cuts = np.linspace(0, size, min(shards, size) + 1).astype(int)
     built = [Shard(layers[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     bwt = np.concatenate([s.bwt for s in built], 1)
@@ -236,19 +239,19 @@ def _fetch(docs: DataFrame, chosen: DataFrame, at: str, width: int) -> DataFrame
 
 
 def _split(fetched: DataFrame, at: str, size: int, width: int, gram: int) -> DataFrame:
-    """Stores the halves of the fetched segments that are to be split; up is the content hash of the whole one."""
+    """Stores the quarters of the fetched segments that are to be split; up is the content hash of the whole one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches, "bytes"):
             if batch.num_rows:
                 r, start, n, a, w, s = (batch.column(k).to_numpy() for k in ("r", "start", "n", "a", "w", "s"))
                 buf, bounds = tc.text_parts(batch.column("bytes"))
-                owner, skip, windows, anchor, m, own = halves(buf, bounds[:-1], n.astype(np.int64), a.astype(np.int64), size, width, gram)
+                owner, skip, windows, anchor, m, own = quarters(buf, bounds[:-1], n.astype(np.int64), a.astype(np.int64), size, width, gram)
                 arrays = [pa.array(x) for x in (r[owner], start[owner] + skip, windows.astype(np.int32), anchor.astype(np.int32), m, own, w[owner], s[owner])]
                 yield pa.RecordBatch.from_arrays([*arrays, _strings(buf, bounds[:-1][owner] + skip, windows + width - 1)], names=["r", "start", "n", "a", "m", "s", "w", "up", "bytes"])
 
-    fetched.where("split").mapInArrow(run, f"{_SEGMENT}, up long, bytes binary").write.parquet(f"{at}/halves")
-    return fetched.sparkSession.read.parquet(f"{at}/halves")
+    fetched.where("split").mapInArrow(run, f"{_SEGMENT}, up long, bytes binary").write.parquet(f"{at}/quarters")
+    return fetched.sparkSession.read.parquet(f"{at}/quarters")
 
 
 def _merge(fetched: DataFrame, at: str, width: int, gram: int) -> DataFrame:
@@ -281,6 +284,7 @@ def _merge(fetched: DataFrame, at: str, width: int, gram: int) -> DataFrame:
                     size -= cut
         if size:
             yield done(pa.Table.from_batches(held))
+        tc.release()
 
     rows = fetched.where("not split").select("m", "r", "start", "n", "a", "w", "s", "bytes")
     rows.repartition("m").sortWithinPartitions("m").mapInArrow(run, _MERGED).write.parquet(f"{at}/merged")
@@ -303,14 +307,14 @@ def _solve(found: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], at: s
     merged = _merge(fetched, at, width, gram)
     spans, repeat = merged.where("r is not null").drop("s"), merged.where("s is not null").select("s")
     if size > 1 and groups.where("split").limit(1).count():
-        halved = _split(fetched, at, size // 2, width, gram)
+        parted = _split(fetched, at, size // 4, width, gram)
         shared.remove(spark, f"{at}/fetched")
 
         def own(chosen: DataFrame, below: str) -> DataFrame:
-            halved.drop("w", "n", "a").join(chosen, ["m", "s", "r", "start"]).write.parquet(f"{below}/fetched")
+            parted.drop("w", "n", "a").join(chosen, ["m", "s", "r", "start"]).write.parquet(f"{below}/fetched")
             return spark.read.parquet(f"{below}/fetched")
 
-        smaller, whole = _solve(halved, own, f"{at}/more", size // 2, width, gram, most_segments)
+        smaller, whole = _solve(parted, own, f"{at}/more", size // 4, width, gram, most_segments)
         spans, repeat = spans.union(smaller), repeat.union(whole.where("w > 1").select("up").distinct())
     shared.remove(spark, f"{at}/fetched")
     whole = found.join(repeat, "s")
@@ -323,7 +327,7 @@ def repeated_spans(docs: DataFrame, at: str, width: int = WIDTH, gram: int = GRA
 
     docs has r, a monotonically increasing id, and text.
     """
-    size = 1 << (width - gram).bit_length()
+    size = 4 ** -(-(width - gram).bit_length() // 2)
     spans, _ = _solve(_cut(docs, f"{at}/segments", width, gram), lambda chosen, below: _fetch(docs, chosen, below, width), f"{at}/first", size, width, gram, most_segments)
     beside.store(spans, f"{at}/spans")
     shared.remove(docs.sparkSession, f"{at}/segments", f"{at}/first")

@@ -6,6 +6,7 @@ whole-buffer numpy operations, so that no Python loop runs over words or documen
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +83,14 @@ def text_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system, as a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SUB_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` text bytes, or of one row."""
     for batch in batches:
@@ -91,6 +100,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
