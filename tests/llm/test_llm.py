@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import attention, beside, components, decontaminate, langid, language_model, mixing, near_copies, quality, repetition, shared, simhash, stages, suffix_dedup, textcols, toxicity, warc
+from tessella.llm import attention, beside, components, decontaminate, langid, language_model, mixing, near_copies, quality, repetition, sampling, shared, simhash, stages, suffix_dedup, textcols, toxicity, warc
 from tessella.llm.queries import ORACLE_SQL, QUERIES
 from tessella.llm.sampling import fold
 
@@ -658,6 +658,59 @@ def test_matches_sql(spark, name):
     assert key == sorted(want.columns) and clean(got) == clean(want)
 
 
+def test_stages_on_awkward_rows(spark, awkward, empty, labels):
+    bench = spark.createDataFrame([(1, None), (2, "word5 the5 word6 the6")], "item_id long, text string")
+    runs = {"toxic": lambda d: stages.drop_toxic(d, labels), "copies": stages.one_of_each_group, "repeats": stages.cut_repeats, "leaks": lambda d: stages.drop_contaminated(d, bench), "mixture": stages.sample_mixture}
+    for name, run in runs.items():
+        got = run(awkward)
+        assert got.columns[:5] == list(stages.COLUMNS) and got.columns[5:] == (["weight", "probability"] if name == "mixture" else [])
+        assert run(empty).count() == 0
+        if name == "repeats":
+            assert got.count() == awkward.count()
+        if name == "leaks":
+            assert sorted(r.doc_id for r in got.where("doc_id is not null").collect()) == sorted(r.doc_id for r in awkward.where("doc_id is not null").collect() if r.text != LONG)
+    assert runs["copies"](awkward).where("doc_id = 7").count() + runs["copies"](awkward).where("doc_id = 8").count() == 1
+    nothing = labels.where("false")
+    assert stages.drop_toxic(awkward, nothing).count() == awkward.count()
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").where("false").coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"word{k % 50_021} and" for k in range(1_300_000))  # about 20 MB
+    path = shared.fresh(spark, "long")
+    spark.createDataFrame([(1, text), (2, text[5_000_000:5_000_400]), (3, "short")], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.deduplicate(docs).collect()}
+    assert got[1] == (len(text), len(text)) and got[2] == (400, 400) and got[3] == (5, 0)  # it repeats itself every 50,021 words
+    assert {r.doc_id: r.n_words for r in repetition.repetition_rules(docs).collect()}[1] == 2_600_000
+    assert {r.doc_id for r in decontaminate.contaminated(docs, spark.createDataFrame([(9, text[6_000_003:6_000_200])], "item_id long, text string")).collect()} >= {1}
+
+
+def test_bounded_sample(spark):
+    rows = spark.range(5000).selectExpr("id", "id % 10 = 0 as label").union(spark.range(30).selectExpr("7 as id", "true as label"))
+    got = sampling.bounded_sample(rows, "id", "label", 200).collect()
+    assert sum(r.label for r in got) == 200 == sum(not r.label for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, sampling.bounded_sample(rows.repartition(7), "id", "label", 200).collect()))
+    assert len(sampling.bounded_sample(rows, "id", "label", 200, 100).collect()) == 100
+
+
+def test_reads_are_dealt_by_bytes(spark):
+    pages = spark.range(40).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 100) as html")
+    path = shared.fresh(spark, "pages")
+    pages.write.parquet(path)
+    at = shared.fresh(spark, "warc")
+    index = warc.write_archives(spark.read.parquet(path), at)
+    many = index.withColumn("length", F.col("length") + 200_000_000)  # as if records were large
+    assert warc.read_records(many, at).rdd.getNumPartitions() >= 30
+    assert warc.read_records(index, at).count() == 40
+
+
 def test_pipeline_by_stage(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
