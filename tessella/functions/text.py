@@ -78,10 +78,6 @@ def regulation(iri: Column) -> Column:
     return F.split(iri, ":")[0]
 
 
-def statement_paragraph(statement_id: Column) -> Column:
-    return F.regexp_replace(statement_id, r"#(s\d+|na)$", "")
-
-
 def normalise_citation(text: Column) -> Column:
     """Single spaces, and no 'No' before the number."""
     return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\bNo ", "")
@@ -115,11 +111,6 @@ def contains_any(text: Column, markers: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(m.lower())) for m in markers), F.lit(False))
 
 
-def expand_range(first: Column, last: Column) -> Column:
-    """The numbers after the first up to the last, none if that isn't larger."""
-    return F.when(last > first, F.sequence(first + 1, last)).otherwise(F.array().cast("array<int>"))
-
-
 def serialize(subject: Column, modal: Column, predicate: Column, obj: Column, condition: Column) -> Column:
     """'S modal P O, where C.' with a capital first and no empty parts."""
     body = F.concat_ws(" ", F.array_join(subject, " and "), modal, F.array_join(predicate, " and "), F.array_join(obj, " and "))

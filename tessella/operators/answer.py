@@ -34,11 +34,6 @@ def covered(statements: DataFrame, sources: DataFrame, provisions: DataFrame) ->
     return used.join(provisions, "provision", "left").select("provision", "text")
 
 
-def of_provisions(sources: DataFrame, named: DataFrame) -> DataFrame:
-    """query_id and id of the statements that come from named provisions (query_id, provision)."""
-    return named.join(sources, "provision").select("query_id", "id").distinct()
-
-
 def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, provision, score and rank of the k nearest provisions. questions: query_id and q; vectors: provision and embedding, both of length one."""
     named = vectors.select(F.col("provision").alias("vec_id"), "embedding")
