@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +24,26 @@ def folder(spark: SparkSession) -> str:
     return at if "://" in at or at.startswith("file:") else f"file://{at}"
 
 
+_named: ContextVar[list[str] | None] = ContextVar("named", default=None)
+
+
 def fresh(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
-    return f"{folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = f"{folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if (named := _named.get()) is not None:
+        named.append(path)
+    return path
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Removes in the end what :func:`fresh` has named inside; results that read it must be written by then."""
+    token = _named.set(named := [])
+    try:
+        yield
+    finally:
+        _named.reset(token)
+        remove(spark, *named)
 
 
 def cut(df: DataFrame) -> DataFrame:
