@@ -594,6 +594,15 @@ def test_removal_by_brute_force(spark, most_segments):
         assert got[i].text == kept.decode(errors="ignore")
 
 
+def test_repeated_passages_stage_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    raw = [(r.text or "").encode() for r in rows]
+    want = {r.doc_id: np.frombuffer(t, np.uint8)[~gone].tobytes().decode(errors="ignore") for r, t, gone in zip(rows, raw, brute_spans(raw, 200), strict=True)}
+    got = stages.cut_repeats(docs).collect()
+    assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
 # ---- mixing
 
 
@@ -731,7 +740,12 @@ def test_pipeline_by_stage(spark):
         if name == "decontamination":
             assert decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     assert seen[3] == seen[2]
+    import pathlib
+
+    at = pathlib.Path(shared.folder(spark).removeprefix("file://"))
+    there = {p.name for p in at.iterdir() if p.name.startswith(("repeats-", "kept-", "classes-"))}
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == seen[-1]
+    assert {p.name for p in at.iterdir() if p.name.startswith(("repeats-", "kept-", "classes-"))} == there  # nothing is left behind
 
 
 def test_side_rows(spark, awkward):
