@@ -33,9 +33,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents of the last stage; what the stages before have written is removed when the next one has read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     at = shared.fresh(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+        with shared.swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
+        shared.remove(spark, *before)
+        before = [f"{at}/{k}-{name}"]
+        docs = spark.read.parquet(before[0])
     return docs
