@@ -25,10 +25,11 @@ def _graph(spark: SparkSession, at: str) -> verify.Graph:
 def check(spark: SparkSession, at: str, out: str, synthetic: bool = True, hold_out: bool = True, reviewed: str | None = None) -> None:
     """Writes verdicts, edges and dispositions of the graph stored at ``at``, a table for each field of Graph."""
     g = _graph(spark, at)
-    g = g if synthetic else verify.without_synthetic(g)
+    g = verify.inject(g, verify.synthetic_pair(spark)) if synthetic else verify.without_synthetic(g)
     pairs = verify.contradictions(verify.polar_pairs(g)).withColumn("check", F.lit("contradiction"))
     same = verify.redundancies(g).withColumnRenamed("modality", "a_modality").withColumn("check", F.lit("redundancy"))
-    verdicts = storage.cut(pairs.unionByName(same, allowMissingColumns=True))
+    across = verify.conflict_pairs(verify.conflict_sides(g, verify.patterns(spark))).select("a", "b", "pattern").withColumns({"check": F.lit("cross_regulation"), "verdict": F.lit("conflict")})
+    verdicts = storage.cut(pairs.unionByName(same, allowMissingColumns=True).unionByName(across, allowMissingColumns=True))
     labels = spark.read.json(reviewed).select("a", "b", F.col("human_label").alias("label")) if reviewed else None
     verdicts.write.mode("overwrite").parquet(f"{out}/verdicts")
     verify.verification_edges(verdicts, labels).write.mode("overwrite").parquet(f"{out}/edges")

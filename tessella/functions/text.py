@@ -88,10 +88,14 @@ def defined_terms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("\\([^()]*?['\"\u2018\u201c]([^'\"\u2019\u201d]{2,80})['\"\u2019\u201d][^()]*?\\)"), F.lit(1))
 
 
+#: Where a camel-case name is split, after a small letter or digit, and before the last capital of several.
+CAMEL = (r"(?<=[a-z0-9])(?=[A-Z])", r"(?<=[A-Z])(?=[A-Z][a-z])")
+
+
 def delabel(curie: Column) -> Column:
     """Words of a camel-case local name in lower case."""
     local = F.regexp_replace(curie, r"^[^:]*:", "")
-    spaced = F.regexp_replace(F.regexp_replace(local, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    spaced = F.regexp_replace(F.regexp_replace(local, CAMEL[0], " "), CAMEL[1], " ")
     return F.lower(F.regexp_replace(spaced, "_", " "))
 
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessella import __main__ as cli
-from tessella.operators import answer, candidates, evaluate, extract, gold, structure, verify, worksheets
+from tessella.operators import answer, candidates, evaluate, extract, gold, models, structure, verify, worksheets
 from tessella.streaming import logs
 
 SF = "/root/testdata/sf0.001"
@@ -107,6 +107,29 @@ def test_timed_batches(spark, tmp_path):
     assert seen == [(0, 1), (1, 1), (2, 1)]
 
 
+def test_known_conflicts(spark):
+    none = spark.createDataFrame([], "id string, statement_class string, modality string, paragraph_iri string, conditions array<string>, term string, synthetic boolean")
+    empty = verify.Graph(none, spark.createDataFrame([], "id string, rel string, iri string"), spark.createDataFrame([], "id string, provision string"), spark.createDataFrame([], "id string, target string"), spark.createDataFrame([], "child string, parent string"))
+    g = verify.inject(verify.inject(empty, verify.synthetic_pair(spark)), verify.synthetic_pair(spark))
+    assert g.statements.count() == 2 and g.slots.count() == 5
+    got = verify.conflict_pairs(verify.conflict_sides(g, verify.patterns(spark))).collect()
+    assert [tuple(r) for r in got] == [("logging_vs_storage_limitation", "syn:aiact:art_12/par_1#s1", "syn:gdpr:art_5/par_1/pt_e#s1", True)]
+    assert verify.without_synthetic(g).slots.count() == 0
+
+
+def test_models_with_a_deadline(spark):
+    def slow(prompt):
+        import time
+
+        if prompt == "slow":
+            time.sleep(20)
+        return prompt.upper()
+
+    rows = spark.createDataFrame([("a",), ("slow",), ("b",)], "prompt string").coalesce(1)
+    got = {r.prompt: (r.answer, r.error) for r in models.ask(rows, slow, waits=(), at_once=3, deadline=2.0).collect()}
+    assert got["a"] == ("A", None) and got["b"] == ("B", None) and got["slow"][0] is None and "TimeoutError" in got["slow"][1]
+
+
 def test_command_line(spark, tmp_path, capsys):
     cli.main(["list"])
     assert "contradiction_pairs" in capsys.readouterr().out.split()
