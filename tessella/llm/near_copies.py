@@ -12,7 +12,9 @@ the task that holds them, by sizes and parities (see parities), so that pairs th
 Each candidate left is decided by its whole sets.
 
 Defined cases: words are split at ASCII white space and compared in ASCII lower case. A text of fewer
-words than a shingle has one, all of it; null, empty and blank texts have none and are equal.
+words than a shingle has one, all of it; null, empty and blank texts have none and are equal. A long text is read whole, at about
+60 bytes of a task's memory a byte. Of equal doc_ids the row scanned first stays; a null doc_id comes after all others. An empty table gives no rows.
+Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .components import components
 FREQUENT = 1 << 20
 #: Classes of one family that are compared in a task, at most.
 CHUNK = 2048
+#: Partners of one class that are compared in a task, about.
+PARTNERS = 512
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +76,7 @@ def _frequent(docs: DataFrame, width: int, share: int = 16, times: int = 8) -> n
     return np.sort(counts.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _read(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The shingle sets of all texts, their bounds, and a hash of each set."""
     h, bounds = shingle_sets(column, width)
     at = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tc.mix(h), dtype=np.uint64)])
@@ -104,7 +108,7 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches):
-            h, bounds, node = _read(batch.column("text"), width)
+            h, bounds, node = read_sets(batch.column("text"), width)
             bits = pa.array(parities(h, bounds), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_scan_row"), pa.array(node), pa.array(np.diff(bounds)), bits, pa.array(simhash.majority(h, np.diff(bounds)).view(np.int64))], names=["doc_id", "_scan_row", "node", "n", "bits", "fp"])
 
@@ -118,7 +122,7 @@ def _met(docs: DataFrame, width: int, least: float) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.sub_batches(batches):
-            h, bounds, node = _read(batch.column("text"), width)
+            h, bounds, node = read_sets(batch.column("text"), width)
             n = np.diff(bounds)
             text = np.repeat(np.arange(len(n)), n)
             h = h[np.lexsort((np.isin(h, frequent), text))]  # stable: by hash among the early and the late
@@ -127,27 +131,29 @@ def _met(docs: DataFrame, width: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(node[text[keep]])], names=["h", "node"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 2), np.int64)
+        last, joined = np.zeros((0, 2), np.int64), False  # the row before, and whether one before it has its shingle
         for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held = np.concatenate([held, np.stack([batch.column(k).to_numpy() for k in ("h", "node")], 1)])
-            if not len(held):
+            if batch is not None and not batch.num_rows:
+                continue
+            work = last if batch is None else np.concatenate([last, np.stack([batch.column(k).to_numpy() for k in ("h", "node")], 1)])
+            if not len(work):
                 continue
-            end = len(held) if batch is None else int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last group may go on
-            work, held = held[:end], held[end:]
             new = np.ones(len(work), bool)
             new[1:] = (work[1:] != work[:-1]).any(1)
             work = work[new]
-            _, size = np.unique(work[:, 0], return_counts=True)
-            work = work[np.repeat(size, size) > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(work[:, 0]), pa.array(work[:, 1])], names=["h", "node"])
+            same = work[1:, 0] == work[:-1, 0]
+            keep = np.append(False, same) | np.append(same, False)
+            keep[0] |= joined
+            last, joined = work[-1:], keep[-1]
+            keep[-1] &= batch is None
+            yield pa.RecordBatch.from_arrays([pa.array(work[keep, 0]), pa.array(work[keep, 1])], names=["h", "node"])
 
     rows = docs.select("text").mapInArrow(prefixes, "h long, node long").repartition("h").sortWithinPartitions("h", "node")
     return shared.cut(rows.mapInArrow(groups, "h long, node long"))
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sizes and parities allow the similarity; no similar pair is lost."""
+def possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sizes and parities allow the similarity, and in how many shingles they differ at least; no similar pair is lost."""
     ratio = _ratio(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,20 +169,25 @@ def _possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                     differ[at] = np.maximum(differ[at], np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
                 # common = (n + m - differ) / 2 at most, and the union n + m - common
                 good = (n + m - differ) * ratio.denominator >= (n + m + differ) * ratio.numerator
-                yield batch.select(["u", "v"]).filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(differ)], names=["u", "v", "differ"]).filter(pa.array(good))
 
     for k in ("u", "v"):
         pairs = pairs.join(classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
-    return shared.cut(pairs.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(run, "u long, v long"))
+    return shared.cut(pairs.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(run, "u long, v long, differ long"))
+
 
+def alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of the pairs of classes (u, v) whose whole sets have the similarity; the set of v goes to that of u.
 
-def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of the pairs of classes (u, v) whose whole sets have the similarity; the set of v goes to that of u."""
+    The partners of a class are dealt into parts of about ``PARTNERS``, to each of which its set goes too.
+    """
     spark, ratio = docs.sparkSession, _ratio(least)
-    pairs = _possible(pairs, classes, least)
-    needed = pairs.select("u", F.col("v").alias("node")).union(pairs.select("u", "u").distinct())
+    pairs = possible(pairs, classes, least)
+    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / PARTNERS).alias("shares"))
+    dealt = shared.cut(pairs.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("shares")).alias("share")))
+    needed = dealt.select("u", "share", F.col("v").alias("node")).union(dealt.select("u", "share", "u").distinct())
     at = shared.fresh(spark, "classes")
-    beside.store(needed.join(classes.select("node", F.col("_scan_row").alias("r")), "node").select("r", "u", "node"), at)
+    beside.store(needed.join(classes.select("node", F.col("_scan_row").alias("r")), "node").select("r", "u", "share", "node"), at)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = None
@@ -191,7 +202,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, le
                 for k in range(0, len(rows), 256):
                     part = rows[k : k + 256]
                     u, node = side["u"][part], side["node"][part]
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(node), pa.array(u != node), pa.array([own[x] for x in back[k : k + 256].tolist()], pa.binary())], names=["u", "node", "later", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(side["share"][part]), pa.array(node), pa.array(u != node), pa.array([own[x] for x in back[k : k + 256].tolist()], pa.binary())], names=["u", "share", "node", "later", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = None
@@ -208,7 +219,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, le
                     good.append(k)
             yield pa.RecordBatch.from_arrays([u.take(pa.array(good, pa.int64())), v.take(pa.array(good, pa.int64()))], names=["u", "v"])
 
-    rows = docs.select("_scan_row", "text").mapInArrow(sets, "u long, node long, later boolean, s binary").repartition("u").sortWithinPartitions("u", "later")
+    rows = docs.select("_scan_row", "text").mapInArrow(sets, "u long, share long, node long, later boolean, s binary").repartition("u", "share").sortWithinPartitions("u", "share", "later")
     out = shared.cut(rows.mapInArrow(compare, "u long, v long"))
     shared.remove(spark, at)
     return out
@@ -237,7 +248,7 @@ def _apart(n: np.ndarray, bits: list[bytes], component: np.ndarray, left: np.nda
     return pairs[:, 0], pairs[:, 1]
 
 
-def _across(families: DataFrame, classes: DataFrame, least: float, chunk: int) -> DataFrame:
+def across(families: DataFrame, classes: DataFrame, least: float, chunk: int) -> DataFrame:
     """Pairs (u, v) of classes of one family and different components that may be similar. families: hub, node and c, the component."""
     ratio = _ratio(least)
     many = shared.cut(families.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub", F.ceil(F.col("k") / chunk).cast("int").alias("chunks")))
@@ -289,10 +300,10 @@ def links(rows: DataFrame, docs: DataFrame, width: int = 5, least: float = 0.8,
     family = shared.cut(met.select("h", "node").join(hubs, "h").select("hub", "node").distinct())
     close = same.union(simhash.links(points, radius)).union(family.select(F.col("hub").alias("u"), F.col("node").alias("v")))
     stars = shared.cut(close.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    found = _alike(stars, classes, docs, width, least)
+    found = alike(stars, classes, docs, width, least)
     named = shared.cut(family.join(components(found), "node", "left").select("hub", "node", F.coalesce("root", "node").alias("c")))
-    pairs = shared.cut(_across(named, classes, least, chunk).join(stars, ["u", "v"], "left_anti"))
-    return found.union(_alike(pairs, classes, docs, width, least))
+    pairs = shared.cut(across(named, classes, least, chunk).join(stars, ["u", "v"], "left_anti"))
+    return found.union(alike(pairs, classes, docs, width, least))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
@@ -301,20 +312,24 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int
     The input must be a table or a checkpoint.
     """
     tc.tune(docs.sparkSession)
-    docs_at = beside.numbered(docs, "_scan_row")
-    rows = shared.cut(classes_of(docs_at, width))
-    roots = components(links(rows, docs_at, width, least, chunk))
-    group = F.coalesce("root", "node")
-    best = rows.select("doc_id", "_scan_row", "node").join(roots, "node", "left").groupBy(group.alias("component")).agg(F.coalesce(F.min_by("_scan_row", "doc_id"), F.min("_scan_row")).alias("r"))
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    docs_at = beside.numbered(docs, name)
+    narrow = docs_at.select("doc_id", "text", F.col(name).alias("_scan_row"))
+    rows = shared.cut(classes_of(narrow, width))
+    roots = components(links(rows, narrow, width, least, chunk))
+    group, first = F.coalesce("root", "node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_scan_row"))
+    best = rows.select("doc_id", "_scan_row", "node").join(roots, "node", "left").groupBy(group.alias("component")).agg(first.alias("first"))
     at = shared.fresh(docs.sparkSession, "kept")
-    beside.store(best.select("r"), at)
+    beside.store(best.select(F.col("first._scan_row").alias("r")), at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = None
         for batch in batches:
-            r = batch.column("_scan_row").to_numpy()
+            r = batch.column(name).to_numpy()
             if len(r):
                 side = beside.stored(at, int(r[0])) if side is None else side
-                yield batch.filter(pa.array(np.isin(r, side.get("r", r[:0])))).drop_columns(["_scan_row"])
+                yield batch.filter(pa.array(np.isin(r, side.get("r", r[:0])))).drop_columns([name])
 
     return docs_at.mapInArrow(run, docs.schema)
