@@ -8,7 +8,7 @@ decide (see near_copies). s grows with the number of rows, so that chance entrie
 similarity itself has no common entry with a chance of ``missed`` (1e-9), and more similar ones far less.
 
 Every class of equal sets is compared with the hub of each of its entries, the two most promising first; then classes that share a hub
-but are in different components are compared by sizes and parities where they are held. Links so found join all
+but are in different components are compared by sizes and parities where they are held, first the closest of each two components, then all. Links so found join all
 that a comparison of all pairs would; pairs inside a component are not listed.
 
 Defined cases: words are split at ASCII white space and compared in ASCII lower case. A text of fewer words than a shingle
@@ -107,10 +107,12 @@ def links(rows: DataFrame, docs: DataFrame, chunks: int, size: int, width: int,
     best = stars.groupBy("v").agg(F.slice(F.array_sort(F.collect_list(F.struct("differ", "u"))), 1, 2).alias("best"))  # of at most one hub an entry
     first = shared.cut(best.select(F.explode("best.u").alias("u"), "v"))
     found = near_copies.alike(first, classes, docs, width, least)
-    named = shared.cut(family.join(components(found), "node", "left").select("hub", "node", F.coalesce("root", "node").alias("c")))
     tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = shared.cut(near_copies.across(named, classes, least, chunk).join(tried, ["u", "v"], "left_anti"))
-    return found.union(near_copies.alike(rest, classes, docs, width, least))
+    for few in (4, None):  # links among the closest pairs of two components first, so that few components are left for all pairs
+        named = shared.cut(family.join(components(found), "node", "left").select("hub", "node", F.coalesce("root", "node").alias("c")))
+        rest = shared.cut(near_copies.across(named, classes, least, chunk, few).join(tried, ["u", "v"], "left_anti"))
+        found, tried = found.union(near_copies.alike(rest, classes, docs, width, least)), tried.union(rest)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, least: float = 0.8, missed: float = 1e-9) -> DataFrame:

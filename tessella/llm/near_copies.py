@@ -225,8 +225,8 @@ def alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, lea
     return out
 
 
-def _apart(n: np.ndarray, bits: list[bytes], component: np.ndarray, left: np.ndarray, right: np.ndarray, ratio: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a left and a right set, of different components, whose sizes and parities allow the similarity."""
+def _apart(n: np.ndarray, bits: list[bytes], component: np.ndarray, left: np.ndarray, right: np.ndarray, ratio: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a left and a right set, of different components, whose sizes and parities allow the similarity, and in how much they differ at least."""
     size, found = np.array([len(x) for x in bits]), []
     of = {p: np.flatnonzero(size == p) for p in np.unique(size).tolist()}
     for p, q in itertools.product(of, of):
@@ -242,14 +242,28 @@ def _apart(n: np.ndarray, bits: list[bytes], component: np.ndarray, left: np.nda
             m = n[b[near]]
             differ = np.maximum(np.bitwise_count(y[near] ^ x[i]).sum(1, dtype=np.int64), np.abs(m - n[a[i]]))
             # common = (n + m - differ) / 2 at most, and the union n + m - common
-            good = near[(n[a[i]] + m - differ) * ratio.denominator >= (n[a[i]] + m + differ) * ratio.numerator]
-            found.append(np.stack([np.full(len(good), a[i]), b[good]], 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1]
+            good = (n[a[i]] + m - differ) * ratio.denominator >= (n[a[i]] + m + differ) * ratio.numerator
+            found.append(np.stack([np.full(good.sum(), a[i]), b[near[good]], differ[good]], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    return pairs[:, 0], pairs[:, 1], pairs[:, 2]
 
 
-def across(families: DataFrame, classes: DataFrame, least: float, chunk: int) -> DataFrame:
-    """Pairs (u, v) of classes of one family and different components that may be similar. families: hub, node and c, the component."""
+def _closest(low: np.ndarray, high: np.ndarray, differ: np.ndarray, best: int) -> np.ndarray:
+    """The rows of each pair of components that differ least, ``best`` at most."""
+    order = np.lexsort((differ, high, low))
+    low, high = low[order], high[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - first < best]
+
+
+def across(families: DataFrame, classes: DataFrame, least: float, chunk: int, best: int | None = None) -> DataFrame:
+    """Pairs (u, v) of classes of one family and different components that may be similar. families: hub, node and c, the component.
+
+    With ``best`` only so many for each two components of a tile, those that differ least: links among them join components,
+    before all other pairs are asked for.
+    """
     ratio = _ratio(least)
     many = shared.cut(families.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub", F.ceil(F.col("k") / chunk).cast("int").alias("chunks")))
     dealt = families.join(many, "hub").join(classes.select("node", "n", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -269,7 +283,11 @@ def across(families: DataFrame, classes: DataFrame, least: float, chunk: int) ->
                 at = np.arange(e - s)
                 one = a[s] == b[s]
                 left, other = (at, at) if one else (at[~right[s:e]], at[right[s:e]])
-                x, y = _apart(n[s:e], bits[s:e], c[s:e], left, other, ratio)
+                x, y, differ = _apart(n[s:e], bits[s:e], c[s:e], left, other, ratio)
+                if best:
+                    p, q = c[s:e][x], c[s:e][y]
+                    some = _closest(np.minimum(p, q), np.maximum(p, q), differ, best)
+                    x, y = x[some], y[some]
                 u, v = node[s:e][x], node[s:e][y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
