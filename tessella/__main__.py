@@ -23,17 +23,28 @@ def _graph(spark: SparkSession, at: str) -> verify.Graph:
 
 
 def check(spark: SparkSession, at: str, out: str, synthetic: bool = True, hold_out: bool = True, reviewed: str | None = None) -> None:
-    """Writes verdicts, edges and dispositions of the graph stored at ``at``, a table for each field of Graph."""
+    """Writes verdicts, worksheet, edges, flags and dispositions of the graph stored at ``at``, a table for each field of Graph.
+
+    Conflicts and equal definitions are written as sides and classes; pairs that meet in the predicate alone as predicate_sides.
+    """
     g = _graph(spark, at)
     g = verify.inject(g, verify.synthetic_pair(spark)) if synthetic else verify.without_synthetic(g)
-    pairs = verify.contradictions(verify.polar_pairs(g)).withColumn("check", F.lit("contradiction"))
-    same = verify.redundancies(g).withColumnRenamed("modality", "a_modality").withColumn("check", F.lit("redundancy"))
-    across = verify.conflict_pairs(verify.conflict_sides(g, verify.patterns(spark))).select("a", "b", "pattern").withColumns({"check": F.lit("cross_regulation"), "verdict": F.lit("conflict")})
-    verdicts = storage.cut(pairs.unionByName(same, allowMissingColumns=True).unionByName(across, allowMissingColumns=True))
-    labels = spark.read.json(reviewed).select("a", "b", F.col("human_label").alias("label")) if reviewed else None
+    facts = verify.facts_of(g)
+    pairs = verify.contradictions(verify.polar_pairs(g, facts=facts)).withColumn("check", F.lit("contradiction"))
+    same = verify.redundancies(g, facts).withColumnRenamed("modality", "a_modality").withColumn("check", F.lit("redundancy"))
+    verdicts = storage.cut(pairs.unionByName(same, allowMissingColumns=True))
+    sides = storage.cut(verify.conflict_sides(g, verify.patterns(spark)))
+    terms = g.statements.where("statement_class = 'DEFINITIONAL' and term is not null")
+    classes = storage.cut(verify.equal_terms(terms, F.lower("term"), "id"))
+    labels = spark.read.json(reviewed, multiLine=True).select("check", "a", "b", F.col("human_label").alias("label")) if reviewed else None
     verdicts.write.mode("overwrite").parquet(f"{out}/verdicts")
+    sides.write.mode("overwrite").parquet(f"{out}/conflict_sides")
+    classes.write.mode("overwrite").parquet(f"{out}/definition_classes")
+    verify.predicate_sides(g).write.mode("overwrite").parquet(f"{out}/predicate_sides")
+    verify.worksheet(verdicts).write.mode("overwrite").parquet(f"{out}/worksheet")
     verify.verification_edges(verdicts, labels).write.mode("overwrite").parquet(f"{out}/edges")
-    verify.dispositions(g.statements, verdicts, labels, hold_out).write.mode("overwrite").parquet(f"{out}/dispositions")
+    verify.flag_counts(verdicts, labels, sides, classes).write.mode("overwrite").parquet(f"{out}/flag_counts")
+    verify.dispositions(g.statements, verdicts, labels, hold_out, sides, classes).write.mode("overwrite").parquet(f"{out}/dispositions")
 
 
 def selftest(spark: SparkSession, tables: str) -> None:

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -52,6 +53,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a table that is sent to every task, at most.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The same rows, stored, and marked for a broadcast join where they are at most ``most``; where they are more the join shuffles."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def remove(spark: SparkSession, *uris: str) -> None:
     """Deletes folders, those that are there."""
     for uri in uris:

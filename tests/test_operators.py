@@ -44,10 +44,31 @@ def test_paragraphs(spark):
         (1, "art_5", "article", "Principles", "I", 3, "2. Next.", None), (1, "art_5", "article", "Principles", "I", 4, "(b)", None), (1, "anx_IV", "annex", "Documents", None, 0, "one", None)]
 
 
-def test_identifiers():
+PARAGRAPHS = "source string, unit_id string, unit_type string, paragraph_index int, text string, parent_text string"
+
+
+def minted(spark, rows, unit="art_5", kind="article"):
+    df = spark.createDataFrame([("x", unit, kind, i, *r) for i, r in enumerate(rows)], PARAGRAPHS)
+    return [r.iri.split("/", 1)[1] for r in structure.mint_identifiers(df).orderBy("paragraph_index").collect()]
+
+
+def test_identifiers(spark):
     lead = "1. Data shall be:"
-    rows = pd.DataFrame({"source": "x", "unit_id": "art_5", "unit_type": "article", "paragraph_index": range(5), "text": [lead, "(a) fair;", "tail of a", "2. Two", "more of two"], "parent_text": [None, lead, lead, None, None]})
-    assert structure.mint_unit(rows)["segments"].tolist() == ["par_1", "par_1/pt_a", "par_1/cont_1", "par_2", "par_2/cont_1"]
+    assert minted(spark, [(lead, None), ("(a) fair;", lead), ("tail of a", lead), ("2. Two", None), ("more of two", None)]) == ["par_1", "par_1/pt_a", "par_1/cont_1", "par_2", "par_2/cont_1"]
+
+
+def test_identifiers_follow_the_last_of_equal_lead_ins(spark):
+    # a lead-in that comes again later is looked up there, where nothing has a path yet
+    assert minted(spark, [("(a) items:", None), ("(i) x", "(a) items:"), ("(b) y", None), ("(a) items:", None)])[:2] == ["p_0", "p_1"]
+    assert minted(spark, [("1. One:", None), ("(a) items:", "1. One:"), ("(i) x", "1. One:\n(a) items:"), ("2. Two:", None), ("(a) items:", "2. Two:")]) == ["par_1", "par_1/pt_a", "par_1/pt_i", "par_2", "par_2/pt_a"]
+
+
+def test_identifiers_of_units_without_numbers(spark):
+    lead = "In this Annex:"
+    assert minted(spark, [(lead, None), ("(a) one", lead), ("tail", f"{lead}\n(a) one"), ("(b) two", None)]) == ["par_1", "par_1/pt_a", "par_1/pt_a/cont_1", "par_1/pt_b"]
+    assert minted(spark, [(lead, None), (None, "")]) == ["p_0", "p_1"]  # two that would be par_1
+    assert minted(spark, [("whereas (1) this", None), ("(1) that", None)], "rct_1", "recital") == ["p_0", "p_1"]
+    assert minted(spark, [("1. One", None), ("loose", None)], "anx_I", "annex") == ["par_1", "p_1"]
 
 
 def test_turtle(spark, tmp_path):
@@ -335,3 +356,52 @@ def test_more_queries_than_a_slice(spark):
     q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     whole, sliced = (sorted(map(tuple, retrieve.top_k(q, v, 3, at_once=n).collect())) for n in (1000, 7))
     assert whole == sliced and len(whole) == 180
+
+
+def test_labels_count_for_their_check_alone(spark):
+    verdicts = spark.createDataFrame([("contradiction", "x", "y", "candidate_contradiction", False), ("cross_regulation", "x", "y", "conflict", False)], "check string, a string, b string, verdict string, resolved boolean")
+    s = spark.createDataFrame([("x",), ("y",)], "id string")
+    label = lambda *rows: spark.createDataFrame(list(rows), "check string, a string, b string, label string")
+    one = label(("cross_regulation", "y", "x", "none"))
+    assert {r.status for r in verify.dispositions(s, verdicts, one).collect()} == {"flagged"}
+    assert [r.rel for r in verify.verification_edges(verdicts, one).collect()] == ["CANDIDATE_CONTRADICTION"]
+    both = label(("cross_regulation", "y", "x", "none"), ("cross_regulation", "x", "y", "conflict"), ("contradiction", "y", "x", "none"))
+    assert {r.status for r in verify.dispositions(s, verdicts, both).collect()} == {"verified_after_review"}
+    assert [r.rel for r in verify.verification_edges(verdicts, both).collect()] == ["CONFLICTS_WITH"]
+    # a pair's own row goes before that of the pair turned round, even where it is empty
+    own = label(("cross_regulation", "y", "x", "none"), ("cross_regulation", "x", "y", ""), ("contradiction", "y", "x", "none"))
+    assert {r.status for r in verify.dispositions(s, verdicts, own).collect()} == {"flagged"}
+    last = spark.createDataFrame([("contradiction", "x", "y", "zz", 1), ("contradiction", "x", "y", "none", 2)], "check string, a string, b string, label string, position int")
+    assert {r.label for r in verify.oriented_labels(last).collect()} == {"none"}
+
+
+def test_flags_of_sides_and_classes_are_those_of_their_pairs(spark):
+    sides = [("p", "a", "s0"), ("p", "a", "s1"), ("p", "b", "s2"), ("p", "b", "s3"), ("q", "a", "s2"), ("q", "b", "s4")]
+    others = {(p, e): sum(1 for q, f, _ in sides if q == p and f != e) for p, e, _ in sides}
+    classes = [("s4", "s4", 3), ("s5", "s4", 3), ("s6", "s4", 3)]
+    labels = [("cross_regulation", "s0", "s2", "conflict"), ("cross_regulation", "s3", "s0", "none"), ("cross_regulation", "s2", "s1", ""), ("cross_regulation", "s4", "s2", "none"), ("redundancy", "s5", "s4", "none"), ("redundancy", "s4", "s6", "x"), ("redundancy", "s0", "s2", "none"), ("cross_regulation", "s0", "s1", "none")]
+    reviewed = spark.createDataFrame(labels, "check string, a string, b string, label string")
+    pairs = [("cross_regulation", x, y, "conflict", False) for p, e, x in sides for q, f, y in sides if p == q and (e, f) == ("a", "b")]
+    pairs += [("redundancy", x, y, "duplicate_definition", False) for x, _, _ in classes for y, _, _ in classes if x < y]
+    schema = "check string, a string, b string, verdict string, resolved boolean"
+    expanded, none = spark.createDataFrame(pairs, schema), spark.createDataFrame([], schema)
+    groups = {"sides": spark.createDataFrame([(*r, others[r[:2]]) for r in sides], "pattern string, side string, id string, others long"), "classes": spark.createDataFrame(classes, "id string, class_id string, copies long")}
+    s = spark.createDataFrame([(f"s{k}",) for k in range(8)], "id string")
+    for given in (reviewed, None):
+        assert sorted(map(tuple, verify.flag_counts(none, given, **groups).collect())) == sorted(map(tuple, verify.flag_counts(expanded, given).collect()))
+        assert sorted(map(tuple, verify.dispositions(s, none, given, **groups).collect())) == sorted(map(tuple, verify.dispositions(s, expanded, given).collect()))
+    assert {r.id: r.status for r in verify.dispositions(s, none, reviewed, **groups).collect()} == {"s0": "verified_after_review", "s1": "flagged", "s2": "flagged", "s3": "flagged", "s4": "verified_after_review", "s5": "flagged", "s6": "flagged", "s7": "verified"}
+
+
+def test_near_misses(spark):
+    rows = [("a", "OBLIGATION", "g:art_1/par_1", [], "s", "p", "o1"), ("b", "PROHIBITION", "g:art_2/par_1", ["x"], "s", "p/up", "o2"), ("c", "OBLIGATION", "g:art_1/par_2", ["y"], "s", "p", "o3"), ("d", "OBLIGATION", "g:art_1/par_3", [], "s", "q", "o4"), ("e", "PERMISSION", "g:art_3/par_1", [], "t", "p", "o1")]
+    g = small_graph(spark, rows, [("a", "x")], [("p", "p/up")])
+    same = verify.redundancies(g).withColumn("check", F.lit("redundancy"))
+    assert {(r.a, r.b): (r.verdict, r.pred_equal, r.obj_equal) for r in same.collect()} == {("a", "c"): ("none", True, False), ("a", "d"): ("none", False, False), ("c", "d"): ("none", False, False)}
+    every = verify.contradictions(verify.polar_pairs(g, everything=True)).withColumn("check", F.lit("contradiction"))
+    shown = verify.worksheet(every.unionByName(same, allowMissingColumns=True)).collect()
+    assert [(r.check, r.a, r.b) for r in shown] == [("contradiction", "a", "b"), ("contradiction", "b", "c"), ("redundancy", "a", "c")]
+    sides = verify.predicate_sides(g).collect()
+    met = {tuple(sorted((x.id, y.id))) for x in sides for y in sides if (x.subject, x.concept) == (y.subject, y.concept) and x.named != y.named and {x.modality, y.modality} in [set(p) for p in verify.POLAR]}
+    assert met == {("a", "b"), ("b", "c")}
+    assert {(r.id, r.concept, r.named): r.others for r in sides} == {("a", "p/up", False): 1, ("c", "p/up", False): 1, ("b", "p/up", True): 2}
