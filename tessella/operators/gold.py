@@ -1,14 +1,21 @@
 """Alignment of records with gold ones and across runs, and their comparison field by field.
 
-Records meet in groups, by paragraph and what tells statements of a paragraph apart. A group is what a model says of one
-paragraph; all pairs of one group are scored by a join, and greedy assignment walks down the scores in rounds: every
-round takes all pairs that are the best for both of their ends, which is what a walk through the sorted list takes.
+Records meet in groups, by paragraph and what tells statements of a paragraph apart. Records of one group with equal
+tokens are a class, and classes that share a token are scored by a join; the rest scores nothing and is paired in order. A task then
+walks down the scores of its sorted groups, with the positions of each class as a queue, so that equal records
+cost their number and not its square.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella import storage
 from tessella.functions import predicates
@@ -26,34 +33,101 @@ def discriminator(rows: DataFrame) -> Column:
     return F.when(c == "DEFINITIONAL", F.concat(F.lit("DEF|"), predicates.text_udf("term"))).when(c == "APPLICABILITY", F.concat(F.lit("APP|"), part("scope_type", "polarity"))).when(c == "DEONTIC", F.concat(F.lit("DEO|"), part("modality"))).when(c == "NOT_APPLICABLE", "NA").otherwise(c)
 
 
-def scored_pairs(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """key, l, r and score: the Jaccard of tokens of each pair of a group. left and right: key, position and tokens."""
-    a = left.select(*key, F.col("position").alias("l"), F.array_distinct("tokens").alias("x"))
-    b = right.select(*key, F.col("position").alias("r"), F.array_distinct("tokens").alias("y"))
-    return a.join(b, key).select(*key, "l", "r", X.jaccard(F.col("x"), F.col("y")).alias("score"))
-
-
-def greedy(pairs: DataFrame, key: list[str], most_rounds: int = 1000) -> DataFrame:
-    """The pairs that a walk down the scores takes, each end once; ties by the left and then the right position.
-
-    A pair is taken in the round in which no better one of either end is left.
+def _classes(side: DataFrame, key: list[str], name: str) -> DataFrame:
+    """key, c (the sorted tokens; one null where there are none) and at, the positions in order, of each class of equal records."""
+    tokens = F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))))
+    tokens = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit(None).cast("string")))
+    return side.select(*key, "position", tokens.alias("c")).groupBy(*key, "c").agg(F.array_sort(F.collect_list("position")).alias("at")).withColumn("side", F.lit(name))
+
+
+class _Walk:
+    """The greedy assignment of one group: queues of positions by class, and the class pairs of the score at hand."""
+
+    def __init__(self) -> None:
+        self.queues: dict[tuple[str, Any], list[int]] = {}
+        self.score: float | None = None
+        self.level: dict[Any, list[Any]] = {}
+
+    def take(self) -> Iterator[tuple[int, int, float]]:
+        """Assigns what the class pairs of one score allow: left positions in order, each to the first right one that is free."""
+        heads = [(q[-1], c) for c in self.level if (q := self.queues["l", c])]
+        heapq.heapify(heads)
+        while heads:
+            at, c = heads[0]
+            free = [q for d in self.level[c] if (q := self.queues["r", d])]
+            if not free:
+                heapq.heappop(heads)
+                continue
+            mine = self.queues["l", c]
+            mine.pop()
+            yield at, min(free, key=lambda q: q[-1]).pop(), self.score
+            if mine:
+                heapq.heapreplace(heads, (mine[-1], c))
+            else:
+                heapq.heappop(heads)
+        self.level = {}
+
+    def row(self, side: str | None, c: int, d: int | None, at: list[int] | None, score: float | None) -> Iterator[tuple[int, int, float]]:
+        if side is not None:
+            self.queues[side, c] = at[::-1]
+            return
+        if score != self.score:
+            yield from self.take()
+            self.score = score
+        self.level.setdefault(c, []).append(d)
+
+
+def _streamed(rows: DataFrame, key: list[str], order: list[Column | str], used: list[str], begin: Any, out: list[T.StructField]) -> DataFrame:
+    """Rows sorted in their groups pass a state each, which yields rows as it goes and at the end (``take``)."""
+    schema = T.StructType([*(rows.schema[k] for k in key), *out])
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, kinds = None, None, None
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(k).type for k in key]
+            found: list[tuple] = []
+            for group, row in zip(zip(*(batch.column(k).to_pylist() for k in key), strict=True), zip(*(batch.column(c).to_pylist() for c in used), strict=True), strict=True):
+                if state is None or group != at:
+                    if state is not None:
+                        found += [(*at, *r) for r in state.take()]
+                    at, state = group, begin()
+                found += [(*at, *r) for r in state.row(*row)]
+            if found:
+                yield pack(found, kinds)
+        if state is not None and (found := [(*at, *r) for r in state.take()]):
+            yield pack(found, kinds)
+
+    def pack(found: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        types = [*kinds, *({"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}[f.dataType.simpleString()] for f in out)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+
+
+def matches(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """key, l, r and score: what a walk down the Jaccard scores of all pairs of a group takes, each end once; ties by the left and then the right position.
+
+    left and right: key, position and tokens. Pairs that share no token score 0, come last and are taken in order, so they are
+    zipped and not made.
     """
-    order = [F.desc("score"), "l", "r"]
-    left = storage.cut(pairs)
-    out = None
-    for _ in range(most_rounds):
-        first = lambda end: F.row_number().over(Window.partitionBy(*key, end).orderBy(*order))
-        taken = storage.cut(left.withColumns({"_l": first("l"), "_r": first("r")}).where("_l = 1 and _r = 1").drop("_l", "_r"))
-        out = taken if out is None else out.union(taken)
-        left = storage.cut(left.join(taken.select(*key, "l"), [*key, "l"], "left_anti").join(taken.select(*key, "r"), [*key, "r"], "left_anti").select(*pairs.columns))
-        if not left.limit(1).count():
-            return out
-    raise RuntimeError(f"an assignment is not done after {most_rounds} rounds")
+    a, b = _classes(left, key, "l"), _classes(right, key, "r")
+    number = lambda c: F.xxhash64(c)  # noqa: E731  a class of one group by the hash of its tokens
+    queues = a.union(b).select(*key, "side", number("c").alias("c"), F.lit(None).cast("long").alias("d"), F.transform("at", lambda x: x.cast("long")).alias("at"), F.lit(None).cast("double").alias("score"))
+    word = lambda rows, c: rows.select(*key, number("c").alias(c), F.size("c").alias(f"n_{c}"), F.explode(F.transform("c", lambda w: F.coalesce(F.concat(F.lit("w"), w), F.lit("")))).alias("w"))
+    met = word(a, "c").join(word(b, "d"), [*key, "w"]).groupBy(*key, "c", "d").agg(F.count("*").alias("both"), F.first("n_c").alias("n_c"), F.first("n_d").alias("n_d"))
+    score = F.col("both") / (F.col("n_c") + F.col("n_d") - F.col("both"))
+    scored = met.select(*key, F.lit(None).cast("string").alias("side"), "c", "d", F.lit(None).cast("array<bigint>").alias("at"), score.alias("score"))
+    ends = [T.StructField("l", T.LongType()), T.StructField("r", T.LongType()), T.StructField("score", T.DoubleType())]
+    found = storage.cut(_streamed(queues.unionByName(scored), key, [F.col("side").isNull(), F.desc("score")], ["side", "c", "d", "at", "score"], _Walk, ends))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("at")).alias("rank")
+    rest = [rows.select(*key, F.col("position").cast("long").alias("at")).join(found.select(*key, F.col(end).alias("at")), [*key, "at"], "left_anti").select(*key, F.col("at").alias(end), rank) for rows, end in ((left, "l"), (right, "r"))]
+    return found.unionByName(rest[0].join(rest[1], [*key, "rank"]).select(*key, "l", "r", F.lit(0.0).alias("score")))
 
 
 def align(gold: DataFrame, run: DataFrame, key: list[str]) -> DataFrame:
     """key, kind (pair, missing or extra), l, r and score: the greedy assignment of each group, and what is left on either side."""
-    found = greedy(scored_pairs(gold, run, key), key)
+    found = storage.cut(matches(gold, run, key))
     pairs = found.select(*key, F.lit("pair").alias("kind"), "l", "r", F.round("score", 6).alias("score"))
     rest = lambda side, end, other, kind: side.select(*key, F.col("position").alias(end)).join(found.select(*key, end), [*key, end], "left_anti").select(*key, F.lit(kind).alias("kind"), *((F.col(c) if c == end else F.lit(None).cast(side.schema["position"].dataType)).alias(c) for c in ("l", "r")), F.lit(None).cast("double").alias("score"))
     return pairs.unionByName(rest(gold, "l", "r", "missing")).unionByName(rest(run, "r", "l", "extra"))
@@ -140,23 +214,35 @@ def scored_gold(gold: DataFrame) -> DataFrame:
     return gold.where(~F.coalesce("screen_dependent", F.lit(False)))
 
 
+class _Slots:
+    """The slots of one group: the token sets of their members, and the runs that these come from."""
+
+    def __init__(self) -> None:
+        self.slots: list[tuple[list[frozenset], set]] = []
+
+    def row(self, run: Any, position: int, tokens: list[str] | None) -> Iterator[tuple]:
+        own, best, most = frozenset(tokens or ()), len(self.slots), -1.0
+        for k, (members, runs) in enumerate(self.slots):
+            if run not in runs:
+                like = sum(len(own & m) / len(own | m) if own or m else 1.0 for m in members) / len(members)
+                if like > most:
+                    best, most = k, like
+        if best == len(self.slots):
+            self.slots.append(([], set()))
+        self.slots[best][0].append(own)
+        self.slots[best][1].add(run)
+        yield run, position, best
+
+    def take(self) -> Iterator[tuple]:
+        return iter(())
+
+
 def cluster_runs(records: DataFrame, key: list[str]) -> DataFrame:
     """key, run, position and slot: in run order each record joins the slot without that run whose members are most like it, else it opens one.
 
-    Records of one run take part in the order of their positions, and a slot of equal likeness is the first one. Each
-    round places the next record of every group, which is as many rounds as the longest group has records.
+    Records of one run take part in the order of their positions, and a slot of equal likeness is the first one. One pass
+    over sorted rows places them all; a task holds the token sets of one group.
     """
-    w = Window.partitionBy(*key).orderBy("run", "position")
-    rows = storage.cut(records.select(*key, "run", "position", F.array_distinct("tokens").alias("tokens"), F.row_number().over(w).alias("turn")))
-    last = rows.agg(F.max("turn")).first()[0] or 0
-    first = rows.where("turn = 1").select(*key, "run", "position", "tokens", F.lit(0).cast("long").alias("slot"))
-    placed = storage.cut(first)
-    for turn in range(2, last + 1):
-        new = rows.where(F.col("turn") == turn).drop("turn")
-        met = new.select(*key, F.col("run").alias("own"), F.col("tokens").alias("mine")).join(placed, key)
-        per = met.groupBy(*key, "slot").agg(F.avg(X.jaccard(F.col("mine"), F.col("tokens"))).alias("like"), F.max(F.col("run") == F.col("own")).alias("taken"))
-        best = per.groupBy(*key).agg(F.max_by(F.when(~F.col("taken"), F.col("slot")), F.struct((~F.col("taken")).alias("free"), "like", (-F.col("slot")).alias("s"))).alias("slot"), (F.max("slot") + 1).alias("next"))
-        placed = placed.unionByName(new.join(best, key).select(*key, "run", "position", "tokens", F.coalesce("slot", "next").alias("slot")))
-        if turn % 8 == 0:
-            placed = storage.cut(placed)
-    return placed.select(*key, "run", "position", "slot")
+    rows = records.select(*key, "run", "position", F.array_distinct("tokens").alias("tokens"))
+    out = [T.StructField("run", rows.schema["run"].dataType), T.StructField("position", rows.schema["position"].dataType), T.StructField("slot", T.LongType())]
+    return _streamed(rows, key, ["run", "position"], ["run", "position", "tokens"], _Slots, out)

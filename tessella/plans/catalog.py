@@ -612,15 +612,37 @@ def _sides(spark, d):
     return turns.select("conv_id", "role", F.col("turn").alias("position"), X.content_tokens(F.col("text")).alias("tokens"))
 
 
-# Held against brute force in the tests, as a greedy walk has no SQL
-@_query()
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP) + ")))"
+_JACCARD = lambda a, b: f"(CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct({a} || {b})) END)"
+
+
+# A recursion walks down the scored pairs of each conversation
+@_query(f"""WITH RECURSIVE t AS MATERIALIZED (SELECT conv_id, role, turn AS p, {_TOKENS} AS t FROM conversations WHERE role IN ('user', 'assistant')),
+pairs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, l, r) AS i FROM (SELECT a.conv_id, a.p AS l, b.p AS r, {_JACCARD('a.t', 'b.t')} AS score
+  FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant')),
+walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, []::BIGINT[] AS ls, []::BIGINT[] AS rs FROM t
+  UNION ALL SELECT w.conv_id, p.i, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN ls ELSE list_append(ls, l) END, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN rs ELSE list_append(rs, r) END
+  FROM walk w JOIN pairs p ON p.conv_id = w.conv_id AND p.i = w.i + 1),
+done AS (SELECT conv_id, arg_max(ls, i) AS ls, arg_max(rs, i) AS rs FROM walk GROUP BY conv_id),
+f AS (SELECT conv_id, unnest(ls) AS l, unnest(rs) AS r FROM done)
+SELECT f.conv_id, 'pair' AS kind, f.l, f.r, round(score, 6) AS score FROM f JOIN pairs USING (conv_id, l, r)
+UNION ALL SELECT conv_id, 'missing', p, -1, NULL FROM t WHERE role = 'user' AND (conv_id, p) NOT IN (SELECT (conv_id, l) FROM f)
+UNION ALL SELECT conv_id, 'extra', -1, p, NULL FROM t WHERE role = 'assistant' AND (conv_id, p) NOT IN (SELECT (conv_id, r) FROM f)""")
 def greedy_match(spark, d):
     rows = _sides(spark, d)
-    return gold.align(rows.where("role = 'user'"), rows.where("role = 'assistant'"), ["conv_id"])
-
-
-# Held against brute force in the tests, as each record depends on those placed before
-@_query()
+    out = gold.align(rows.where("role = 'user'"), rows.where("role = 'assistant'"), ["conv_id"])
+    return out.withColumns({end: F.coalesce(end, F.lit(-1).cast("long")) for end in "lr"})
+
+
+# A recursion places one record of each conversation at a time
+@_query(f"""WITH RECURSIVE t AS MATERIALIZED (SELECT conv_id, turn % 3 AS run, turn AS position, {_TOKENS} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3, turn) AS i FROM conversations),
+put AS (SELECT conv_id, i, run, position, 0::BIGINT AS slot, [{{'slot': 0::BIGINT, 'run': run, 't': t}}] AS placed FROM t WHERE i = 1
+  UNION ALL SELECT conv_id, i, run, position, slot, list_append(placed, {{'slot': slot, 'run': run, 't': t}}) FROM (
+    SELECT conv_id, i, run, position, t, placed, coalesce(list_sort(likes)[1].s, n) AS slot FROM (
+      SELECT t.conv_id, t.i, t.run, t.position, t.t, placed, n, list_transform(list_filter(range(n), lambda s: len(list_filter(placed, lambda x: x.slot = s AND x.run = t.run)) = 0),
+        lambda s: {{'far': -list_avg(list_transform(list_filter(placed, lambda x: x.slot = s), lambda x: {_JACCARD('x.t', 't.t')})), 's': s}}) AS likes
+      FROM (SELECT *, list_max(list_transform(placed, lambda x: x.slot)) + 1 AS n FROM put) p JOIN t ON t.conv_id = p.conv_id AND t.i = p.i + 1)))
+SELECT conv_id, run, position, slot FROM put""")
 def cross_run_slots(spark, d):
     rows = _t(spark, d, "conversations").select("conv_id", (F.col("turn") % 3).alias("run"), F.col("turn").alias("position"), X.content_tokens(F.col("text")).alias("tokens"))
     return gold.cluster_runs(rows, ["conv_id"])

@@ -405,3 +405,15 @@ def test_near_misses(spark):
     met = {tuple(sorted((x.id, y.id))) for x in sides for y in sides if (x.subject, x.concept) == (y.subject, y.concept) and x.named != y.named and {x.modality, y.modality} in [set(p) for p in verify.POLAR]}
     assert met == {("a", "b"), ("b", "c")}
     assert {(r.id, r.concept, r.named): r.others for r in sides} == {("a", "p/up", False): 1, ("c", "p/up", False): 1, ("b", "p/up", True): 2}
+
+
+def test_equal_records_are_matched_without_their_square(spark):
+    n = 5000
+    left = spark.range(n).select(F.lit(None).cast("int").alias("g"), F.col("id").alias("position"), F.array(F.lit("a"), F.lit("b")).alias("tokens"))
+    right = spark.range(n + 10).select(F.lit(None).cast("int").alias("g"), F.col("id").alias("position"), F.when(F.col("id") % 2 == 0, F.array(F.lit("b"), F.lit("a"))).when(F.col("id") % 4 == 1, F.array(F.lit("a"))).otherwise(F.lit(None)).alias("tokens"))
+    key = lambda df: df.fillna(0, ["g"])
+    got = {r.l: (r.r, r.score) for r in gold.matches(key(left), key(right), ["g"]).collect()}
+    half, quarter = n // 2 + 5, (n + 10) // 4 + 1
+    assert len(got) == n and all(got[k] == (2 * k, 1.0) for k in range(half))
+    assert all(got[half + k] == (4 * k + 1, 0.5) for k in range(quarter - 1))
+    assert {s for _, s in got.values()} == {1.0, 0.5, 0.0}
