@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import models, retrieve
+from tessella.operators import graph, models, retrieve
 
 #: Seeds of a question, provisions that seed densely and how many more are looked at, and for the last resort, and those shown to a model.
 MOST_SEEDS, DENSE, WIDER, FALLBACK, NARROW = 100, 8, 3, 3, 50
@@ -58,19 +58,11 @@ def dense_provisions(questions: DataFrame, vectors: DataFrame, k: int = DENSE, w
 def seeds_below(statements: DataFrame, sources: DataFrame, prefixes: DataFrame, bounded: bool = False, most: int = MOST_SEEDS) -> DataFrame:
     """query_id and id of the first ``most`` verified statements whose provision starts with one of the question's prefixes (query_id, prefix).
 
-    A prefix is raw, so that art_5 also meets art_50; ``bounded`` ends it at a slash, a hash or the end. Prefixes meet provisions
-    by their first eight characters, and are then compared whole.
+    A prefix is raw, so that art_5 also meets art_50; ``bounded`` ends it at a slash, a hash or the end.
     """
     named = verified(statements).select("id").join(sources, "id")
-    head = lambda c: F.substring(c, 1, 8)
-    long, short = prefixes.where(F.length("prefix") >= 8).withColumn("head", head("prefix")), prefixes.where(F.length("prefix") < 8)
-    met = named.withColumn("head", head("provision")).join(long, "head").where(F.col("provision").startswith(F.col("prefix"))).select("query_id", "id", "provision", "prefix")
-    if short.limit(1).count():
-        met = met.union(named.join(F.broadcast(short), F.col("provision").startswith(F.col("prefix"))).select("query_id", "id", "provision", "prefix"))
-    if bounded:
-        tail = F.substr("provision", F.length("prefix") + 1, F.lit(1))
-        met = met.where(tail.isin("", "/", "#"))
-    return first_seeds(met.select("query_id", "id"), most)
+    met = graph.under_prefixes(named.select("provision"), "provision", prefixes, bounded).join(prefixes.distinct(), "prefix").select("query_id", "provision").distinct()
+    return first_seeds(met.join(named, "provision").select("query_id", "id"), most)
 
 
 def first_seeds(seeds: DataFrame, most: int = MOST_SEEDS) -> DataFrame:

@@ -121,15 +121,21 @@ def lexical_matches(values: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def alias_matches(values: DataFrame, labels: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Routed labels that a curated alias (phrase, iri) in an object names, by the label's summed idf."""
+    """Routed labels that a curated alias (phrase, iri) in an object names, by the label's summed idf.
+
+    A phrase is looked for by the one of its words that fewest phrases have, and verified whole; one without words is in every value.
+    """
     idf = inverse_frequencies(labels)
     weight = labels.select(*KEY, "iri", F.explode_outer(noun_lemmas(F.col("label"))).alias("token")).join(idf, [*KEY, "token"], "left").groupBy(*KEY, "iri").agg(F.round(F.coalesce(F.sum("idf"), F.lit(0.0)), 3).alias("score"))
     v = _values(values).where("slot = 'object'").withColumn("lemmas", noun_lemmas(F.col("value")))
-    # aliases are a curated list, checked to be short
-    if aliases.limit(100_001).count() > 100_000:
-        raise ValueError("more than 100,000 aliases are no curated list; make them labels")
-    met = v.join(F.broadcast(aliases.select("iri", noun_lemmas(F.col("phrase")).alias("own"))), F.size(F.array_except("own", "lemmas")) == 0)
-    return met.join(weight, [*KEY, "iri"]).select(*KEY, "value", "iri", "score", F.lit(1).alias("rank")).distinct()
+    phrases = aliases.select("iri", noun_lemmas(F.col("phrase")).alias("own")).distinct()
+    flat = phrases.select("iri", "own", F.explode("own").alias("token"))
+    rare = flat.join(flat.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("iri", "own").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    met = v.select("*", F.explode("lemmas").alias("token")).join(rare, "token").where(F.size(F.array_except("own", "lemmas")) == 0)
+    named = met.select(*KEY, "value", "iri").distinct().join(weight, [*KEY, "iri"])
+    always = v.join(weight.join(phrases.where("size(own) = 0").select("iri").distinct(), "iri"), list(KEY))
+    columns = [*KEY, "value", "iri", "score", F.lit(1).alias("rank")]
+    return named.select(*columns).union(always.select(*columns)).distinct()
 
 
 def tag_matches(values: DataFrame, labels: DataFrame, tags: DataFrame) -> DataFrame:

@@ -79,6 +79,20 @@ def prefix_any(iri: Column, prefixes: list[str], bounded: bool = False) -> Colum
     return out
 
 
+def under_prefixes(items: DataFrame, column: str, prefixes: DataFrame, bounded: bool = False) -> DataFrame:
+    """The distinct values of the column with each prefix (a column of prefixes) that they start with; ``bounded`` as for :func:`prefix_any`.
+
+    Each value is cut at the lengths that prefixes have and joined on equality, so that no key holds more than its true
+    matches. The lengths, at most as many as the longest prefix has characters, are all that is sent to every task.
+    """
+    wanted = prefixes.select("prefix").where("prefix is not null").distinct()
+    lengths = wanted.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    cuts = items.select(column).where(F.col(column).isNotNull()).distinct().crossJoin(F.broadcast(lengths))
+    cuts = cuts.select(column, F.explode(F.filter("lengths", lambda n: n <= F.length(column))).alias("n"))
+    cuts = cuts.select(column, F.substr(column, F.lit(1), F.col("n")).alias("prefix"), F.substr(column, F.col("n") + 1, F.lit(1)).alias("next"))
+    return (cuts.where(F.col("next").isin("", "/", "#")) if bounded else cuts).join(wanted, "prefix").select(column, "prefix")
+
+
 def last_by_key(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """One row per key, the one with the largest sequence: an idempotent upsert of later rows over earlier ones.
 

@@ -33,6 +33,17 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 5, score
     return out
 
 
+def rerank(ranked: DataFrame, second: Column, k: int, first: int = 20, digits: int = 5) -> DataFrame:
+    """query_id, vec_id, score (the second one), rank and first_rank: of the ``first`` best of each query the k best by a second score, ties by the rank before.
+
+    The second score may be dear, as that of a model that reads question and text: it is asked for ``first`` rows a query alone.
+    """
+    some = ranked.where(F.col("rank") <= first).withColumnRenamed("rank", "first_rank")
+    scored = some.withColumn("score", F.round(second, digits))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first_rank"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank", "first_rank")
+
+
 def recall_at(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """k and recall: the mean over queries of the share of gold rows (query_id, vec_id) among the first k."""
     total = gold.groupBy("query_id").agg(F.count("*").alias("total"))

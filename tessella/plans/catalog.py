@@ -488,6 +488,21 @@ def hybrid_topk(spark, d):
     return _ranked(spark, d, 5, score).select("query_id", "vec_id", "score", "rank")
 
 
+_SECOND = "round(list_inner_product(q.embedding[1:8]::DOUBLE[], e.embedding[1:8]::DOUBLE[]), 5)"
+
+
+# T5: the twenty best of the hybrid score once more by a second score, here the product of the leading dimensions
+@_query(f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id, {_SECOND} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS} + 0.5 * (e.vec_id % 10) / 10.0, 5) DESC, e.vec_id)::INT AS first_rank
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id QUALIFY first_rank <= 20)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank)::INT AS rank, first_rank FROM h QUALIFY rank <= 3""")
+def hybrid_rerank(spark, d):
+    score = retrieve.cosine(F.col("q"), F.col("embedding")) + 0.5 * (F.col("vec_id") % 10) / 10.0
+    best, vectors = _ranked(spark, d, 20, score).select("query_id", "vec_id", "rank"), _t(spark, d, "embeddings")
+    for end, name in (("query_id", "q"), ("vec_id", "e")):
+        best = best.join(vectors.select(F.col("vec_id").alias(end), F.slice("embedding", 1, 8).alias(name)), end)
+    return retrieve.rerank(best, retrieve.dot(F.col("q"), F.col("e")), 3)
+
+
 # A28
 @_query(f"""WITH r AS (SELECT q.vec_id AS query_id, q.label = e.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 5) DESC, e.vec_id) AS rank
   FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),

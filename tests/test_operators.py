@@ -417,3 +417,17 @@ def test_equal_records_are_matched_without_their_square(spark):
     assert len(got) == n and all(got[k] == (2 * k, 1.0) for k in range(half))
     assert all(got[half + k] == (4 * k + 1, 0.5) for k in range(quarter - 1))
     assert {s for _, s in got.values()} == {1.0, 0.5, 0.0}
+
+
+def test_prefixes_are_joined_at_their_lengths(spark):
+    items = spark.createDataFrame([("gdpr:art_5",), ("gdpr:art_50/par_1",), ("gdpr:art_5/par_1",), ("aiact:art_5",), (None,), ("",), ("gdpr:art_5",)], "p string")
+    prefixes = spark.createDataFrame([("gdpr:art_5",), ("gdpr:",), ("",), (None,), ("gdpr:art_5/par_1/pt_a",), ("gdpr:art_5",)], "prefix string")
+    got = sorted(map(tuple, graph.under_prefixes(items, "p", prefixes).select("p", "prefix").collect()))
+    assert got == sorted((p, x) for p in ("gdpr:art_5", "gdpr:art_50/par_1", "gdpr:art_5/par_1", "aiact:art_5", "") for x in ("gdpr:art_5", "gdpr:", "") if p.startswith(x))
+    assert {r.p for r in graph.under_prefixes(items, "p", prefixes, bounded=True).where("prefix = 'gdpr:art_5'").collect()} == {"gdpr:art_5", "gdpr:art_5/par_1"}
+
+
+def test_rerank_asks_for_the_first_alone(spark):
+    ranked = spark.createDataFrame([(1, v, v + 1, float(s)) for v, s in enumerate([1, 5, 5, 2, 9])], "query_id int, vec_id int, rank int, second double")
+    got = retrieve.rerank(ranked, F.col("second"), 2, first=4).orderBy("rank").collect()
+    assert [(r.vec_id, r.rank, r.first_rank, r.score) for r in got] == [(1, 1, 2, 5.0), (2, 2, 3, 5.0)]
