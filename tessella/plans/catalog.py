@@ -72,11 +72,17 @@ def html_chunk(spark, d):
     return pages_source.paragraphs(_unit_pages(spark, d), "page_id", "html")
 
 
-# SRC8
-@_query(f"""WITH {_UNITS_SQL} SELECT page_id, 'art_' || page_id AS unit_id, 'article' AS unit_type, page_id::VARCHAR AS unit_number, 'On ' || any_value(url) AS heading, string_agg(x.t, chr(10) ORDER BY x.i) AS text, count(*)::INT AS paragraphs
-FROM r GROUP BY page_id""")
+# SRC8: whole units, with paragraphs at any depth and none that is laid out as a container
+_ANNEXES = ("<div class='eli-container' id='anx_I'><p class='oj-normal'>in a container</p></div><div class='eli-subdivision' id='anx_2'><p class='oj-ti-chp'>List</p><div><div><p class='oj-normal'>", "</p></div></div></div><div class='eli-subdivision' id='rct_1'><p>no paragraph</p></div>")
+
+
+@_query("""SELECT page_id, 'art_' || page_id AS unit_id, 'article' AS unit_type, page_id::VARCHAR AS unit_number, 'II' AS chapter, '1' AS section, 'On ' || url AS heading,
+  '1. The following apply:' || chr(10) || chr(10) || url || chr(10) || chr(10) || 'deep' AS text, 3 AS paragraphs FROM pages
+UNION ALL SELECT page_id, 'anx_2', 'annex', '2', NULL, NULL, 'List', url, 1 FROM pages""")
 def html_units(spark, d):
-    return pages_source.units(pages_source.paragraphs(_unit_pages(spark, d), "page_id", "html"), "page_id").withColumn("paragraphs", F.size("paragraphs"))
+    pages = _unit_pages(spark, d).join(_t(spark, d, "pages").select("page_id", F.regexp_replace("url", "&", "&amp;").alias("url")), "page_id")
+    pages = pages.withColumn("html", F.concat("html", F.lit(_ANNEXES[0]), "url", F.lit(_ANNEXES[1])))
+    return pages_source.units(pages, "page_id", "html").withColumn("paragraphs", F.size("paragraphs"))
 
 
 # X7, X8, X10

@@ -7,23 +7,25 @@ unit with the lead-ins they stand under. Pages are parsed in Arrow batches, each
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Ids of units, first match wins; classes of a unit's element, of headings, paragraphs and spaced lists.
 UNITS = (("recital", r"^rct_(\d+)$"), ("article", r"^art_(\d+)$"), ("citation", r"^cit_(\d+)$"), ("annex", r"^anx_([IVXLC]+)$"), ("final_provision", r"^fnp_(\d+)$"))
 UNIT_CLASSES = ("eli-subdivision", "eli-container")
 HEADINGS, ANNEX_TITLE, PARAGRAPH, SPACED, TITLE = ("oj-sti-art", "oj-ti-art"), "oj-doc-ti", "oj-normal", "oj-enumeration-spacing", "eli-title"
+#: Fixed values for whole units: annexes have shorter roman numbers or digits; styles of headings, first that is met wins.
+WHOLE_UNITS = tuple((kind, r"^anx_([IVX]+|\d+)$" if kind == "annex" else pattern) for kind, pattern in UNITS)
+WHOLE_HEADINGS = ("oj-sti-art", "oj-ti-art", "oj-sti-chp", "oj-ti-chp")
 _VOID = ("br", "img", "meta", "link", "input", "hr", "col", "wbr", "area", "base", "embed", "source", "track")
 _CLOSES = {"p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "li": ("li",)}
 
 
-def unit_of(identifier: str) -> tuple[str, str] | None:
-    for kind, pattern in UNITS:
+def unit_of(identifier: str, patterns: tuple[tuple[str, str], ...] = UNITS) -> tuple[str, str] | None:
+    for kind, pattern in patterns:
         if m := re.match(pattern, identifier or ""):
             return kind, m[1]
     return None
@@ -173,28 +175,48 @@ def units_of(page: str | None) -> Iterator[tuple]:
                 yield *facts, k, text, "\n".join(leads) or None
 
 
-_COLUMNS = "unit_id string, unit_type string, unit_number string, chapter string, section string, heading string, paragraph_index int, text string, parent_text string"
+def whole_units_of(page: str | None) -> Iterator[tuple]:
+    """unit_id, unit_type, unit_number, chapter, section, heading, text and paragraphs of each unit with text.
 
+    Units are subdivisions only, so annexes laid out as containers are none. Their paragraphs are all below them, however
+    deep, in the order of the page; those that are only a number in brackets are left out.
+    """
+    for e in tree(page).everything():
+        found = unit_of(e.id, WHOLE_UNITS) if e.tag == "div" and UNIT_CLASSES[0] in e.classes else None
+        if found:
+            inside = [x for x in e.everything() if x.tag == "p"]
+            texts = [t for t in (p.text() for p in inside if PARAGRAPH in p.classes) if t and not re.fullmatch(r"\(\d+\)", t)]
+            if texts:
+                heading = next((p.text() for style in WHOLE_HEADINGS for p in inside if style in p.classes), None)
+                yield e.id, *found, _enclosing(e, "cpt"), _enclosing(e, "sct"), heading, "\n\n".join(texts), texts
 
-def paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """The key and the paragraphs of each page."""
+
+_UNIT = "unit_id string, unit_type string, unit_number string, chapter string, section string, heading string"
+_TYPES = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+
+
+def _walked(pages: DataFrame, key: str, html: str, walk: Callable[[str | None], Iterator[tuple]], columns: str) -> DataFrame:
+    """The key and what the walk yields of each page; few pages at once bound what is held."""
     kind = pages.schema[key].dataType.simpleString()
-    names = [key, *(c.split()[0] for c in _COLUMNS.split(", "))]
+    fields = [c.split() for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # few pages at once bound what is held
+            for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = [(k, *r) for k, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in units_of(page)]
+                rows = [(k, *r) for k, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in walk(page)]
                 if rows:
-                    types = [part.schema.types[0], *(pa.int32() if c.endswith(" int") else pa.string() for c in _COLUMNS.split(", "))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    types = [part.schema.types[0], *(_TYPES[t] for _, t in fields)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[key, *(n for n, _ in fields)])
+
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, {columns}")
 
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, {_COLUMNS}")
+
+def paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """The key and the paragraphs of each page."""
+    return _walked(pages, key, html, units_of, f"{_UNIT}, paragraph_index int, text string, parent_text string")
 
 
-def units(rows: DataFrame, key: str) -> DataFrame:
-    """One row per unit with its joined text and paragraphs; units without text are left out."""
-    ordered = F.array_sort(F.collect_list(F.struct("paragraph_index", "text")))
-    out = rows.groupBy(key, "unit_id", "unit_type", "unit_number").agg(F.min("heading").alias("heading"), ordered.alias("parts"))
-    return out.select(key, "unit_id", "unit_type", "unit_number", "heading", F.array_join(F.col("parts.text"), "\n").alias("text"), F.col("parts.text").alias("paragraphs")).where("text <> ''")
+def units(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """The key and the units of each page with their whole text, paragraphs two newlines apart, and the paragraphs; null and empty pages have none."""
+    return _walked(pages, key, html, whole_units_of, f"{_UNIT}, text string, paragraphs array<string>")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella import __main__ as cli
 from tessella.operators import answer, candidates, evaluate, extract, gold, models, structure, verify, worksheets
+from tessella.sources import html
 from tessella.streaming import logs
 
 SF = "/root/testdata/sf0.001"
@@ -142,3 +143,21 @@ def test_command_line(spark, tmp_path, capsys):
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/edges").collect()] == [("EXCEPTION_OF", "b", "a", False)]
     assert {r.status for r in spark.read.parquet(f"{tmp_path}/out/dispositions").collect()} == {"verified"}
     cli.selftest(spark, SF)
+
+
+def test_whole_units(spark):
+    page = (
+        "<div id='cpt_IV.sct_2'><div class='x eli-subdivision' id='art_5'><p class='oj-ti-art'>Article 5</p><p class='oj-normal'>1.  One:</p><p class='oj-normal'>(1)</p>"
+        "<div class='oj-enumeration-spacing'><p>spaced</p></div><div class='eli-title'><p class='oj-normal'>titled</p></div>"
+        "<table><tr><td><p class='oj-normal'>(a)</p></td><td><p class='oj-normal'>deep</p></td></tr></table></div></div>"
+        "<div class='eli-container' id='anx_I'><p class='oj-normal'>left out</p></div><div class='eli-subdivision' id='anx_L'><p class='oj-normal'>left out</p></div>"
+        "<div class='eli-subdivision' id='rct_1'><p>no text</p></div><div class='eli-subdivision' id='anx_3'><p class='oj-ti-chp'>Title</p><p class='oj-normal'>three</p></div>"
+    )
+    pages = spark.createDataFrame([("a", page, 1), ("b", None, 2), ("c", "", 3), ("a", "<div class='eli-subdivision' id='fnp_1'><p class='oj-normal'>end</p></div>", 4)], "key string, page string, text int")
+    got = sorted((tuple(r) for r in html.units(pages, "key", "page").collect()), key=lambda r: r[1])
+    assert got == [
+        ("a", "anx_3", "annex", "3", None, None, "Title", "three", ["three"]),
+        ("a", "art_5", "article", "5", "IV", "2", "Article 5", "1. One:\n\ntitled\n\n(a)\n\ndeep", ["1. One:", "titled", "(a)", "deep"]),
+        ("a", "fnp_1", "final_provision", "1", None, None, None, "end", ["end"]),
+    ]
+    assert html.units(pages.limit(0), "key", "page").collect() == []
