@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tessella import storage
 from tessella.functions import roles
 from tessella.functions import text as X
-from tessella.operators import evaluate, gold, graph, matching, retrieve, structure, verify, worksheets, xref
+from tessella.functions.predicates import IRREGULAR
+from tessella.operators import candidates, evaluate, gold, graph, lemmas, matching, retrieve, structure, verify, worksheets, xref
 from tessella.plans.registry import ORACLE_SQL, QUERIES
 from tessella.plans.registry import query as _query
 from tessella.plans.registry import table as _t
@@ -680,6 +681,32 @@ def grounding_missing(spark, d):
     return evaluate.grounding_counts(flags.join(sources.select("id"), "id", "left_semi"))
 
 
+# Words of replies whose lemma the user has used nowhere in the conversation; all turns are the lexicon
+@_query(f"""WITH w AS (SELECT conv_id, turn, role, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations WHERE role IN ('user', 'assistant')),
+k AS (SELECT w AS base, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations) GROUP BY 1),
+e AS (SELECT * FROM (VALUES ('v', 0, 'ies', 'y'), ('v', 1, 'ied', 'y'), ('v', 2, 's', ''), ('v', 3, 'es', ''), ('v', 4, 'ed', 'e'), ('v', 5, 'ed', ''), ('v', 6, 'ing', 'e'), ('v', 7, 'ing', ''),
+  ('n', 0, 'ies', 'y'), ('n', 1, 's', ''), ('n', 2, 'ses', 's'), ('n', 3, 'xes', 'x'), ('n', 4, 'zes', 'z'), ('n', 5, 'ches', 'ch'), ('n', 6, 'shes', 'sh'), ('n', 7, 'ves', 'f'), ('n', 8, 'ves', 'fe'),
+  ('n', 9, 'men', 'man'), ('n', 10, 'ices', 'ix'), ('n', 11, 'ices', 'ex'), ('n', 12, 'yses', 'ysis'), ('n', 13, 'eria', 'erion')) AS t(kind, place, ending, instead)),
+i AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in IRREGULAR.items())}) AS t(form, base)),
+d AS (SELECT DISTINCT w FROM w),
+bv AS (SELECT w, place, left(w, length(w) - length(ending)) || instead AS base FROM d JOIN e ON kind = 'v' AND ends_with(w, ending) AND length(w) - length(ending) + length(instead) >= 3 AND NOT (ending = 's' AND regexp_matches(w, '[sui]s$'))
+  UNION ALL SELECT w, place + 8, left(w, length(w) - length(ending) - 1) FROM d JOIN e ON kind = 'v' AND place IN (5, 7) AND ends_with(w, ending) AND length(w) - length(ending) > 3
+    AND w[length(w) - length(ending)] = w[length(w) - length(ending) - 1] AND w[length(w) - length(ending)] NOT IN ('a', 'e', 'i', 'o', 'u')),
+v AS (SELECT d.w, coalesce(any_value(i.base), arg_max(k.base, (k.n, -bv.place)), d.w) AS form FROM d LEFT JOIN i ON i.form = d.w LEFT JOIN (bv JOIN k ON k.base = bv.base) ON bv.w = d.w GROUP BY d.w),
+bn AS (SELECT w, place, left(form, length(form) - length(ending)) || instead AS base FROM v JOIN e ON kind = 'n' AND ends_with(form, ending) AND length(form) - length(ending) + length(instead) >= 3 AND NOT (ending = 's' AND regexp_matches(form, '[sui]s$'))),
+l AS (SELECT v.w, coalesce(arg_max(k.base, (k.n, -bn.place)), any_value(v.form)) AS lemma FROM v LEFT JOIN (bn JOIN k ON k.base = bn.base) ON bn.w = v.w GROUP BY v.w),
+u AS (SELECT DISTINCT conv_id, lemma FROM w JOIN l USING (w) WHERE role = 'user'),
+m AS (SELECT DISTINCT conv_id, turn, w FROM w JOIN l USING (w) WHERE role = 'assistant' AND w NOT IN ({', '.join(f"'{x}'" for x in candidates.STOP)}) AND NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = w.conv_id AND u.lemma = l.lemma)),
+c AS (SELECT conv_id, turn, count(*) AS missing, string_agg(w, ' ' ORDER BY w) AS words FROM m GROUP BY ALL)
+SELECT conv_id, turn, coalesce(missing, 0)::INT AS missing, coalesce(words, '') AS words FROM (SELECT conv_id, turn FROM conversations WHERE role = 'assistant') LEFT JOIN c USING (conv_id, turn)""")
+def grounding_lemmas(spark, d):
+    turns = _t(spark, d, "conversations")
+    values = turns.where("role = 'assistant'").select(F.col("conv_id").alias("id"), "turn", F.lit("reply").alias("field"), F.col("text").alias("value"))
+    sources = turns.where("role = 'user'").select(F.col("conv_id").alias("id"), "text")
+    out = lemmas.ungrounded(values, sources, lemmas.lexicon(turns, "text"), candidates.STOP)
+    return out.select(F.col("id").alias("conv_id"), "turn", F.size("missing").alias("missing"), F.array_join(F.array_sort("missing"), " ").alias("words"))
+
+
 # ST2
 @_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def append_log_window(spark, d):

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessella import __main__ as cli
-from tessella.operators import answer, candidates, evaluate, extract, gold, models, structure, verify, worksheets
+from tessella.operators import answer, candidates, evaluate, extract, gold, lemmas, models, structure, verify, worksheets
 from tessella.sources import html
 from tessella.streaming import logs
 
@@ -161,3 +161,43 @@ def test_whole_units(spark):
         ("a", "fnp_1", "final_provision", "1", None, None, None, "end", ["end"]),
     ]
     assert html.units(pages.limit(0), "key", "page").collect() == []
+
+
+#: Forms of legal English with their base, verb before noun.
+FORMS = """ensures ensure|ensured ensure|ensuring ensure|processes process|processed process|processing process|carries carry|carried carry|carrying carry|applies apply|applied apply|applying apply
+provides provide|provided provide|providing provide|provisions provision|authorities authority|bodies body|notified notify|notifies notify|notifying notify|controllers controller|processors processor
+planned plan|planning plan|referred refer|referring refer|committed commit|permitting permit|submitted submit|transferred transfer|controlled control|taken take|took take|given give|laid lay|drawn draw
+measures measure|statuses status|analyses analysis|criteria criterion|indices index|appendices appendix|lives life|women woman|taxes tax|boxes box|branches branch|dishes dish|losses loss|businesses business
+assessed assess|assesses assess|assessing assess|issued issue|issues issue|used use|using use|makes make|making make|kept keep|held hold|monitors monitor|monitored monitor|monitoring monitor
+risks risk|rights right|systems system|data data|basis basis|access access|persons person|freedoms freedom|safeguards safeguard|obligations obligation|interests interest|purposes purpose|categories category
+limited limit|limiting limit|restricted restrict|erased erase|erasing erase|rectified rectify|withdrawn withdraw|informed inform|informing inform|communicated communicate|communicating communicate
+demonstrates demonstrate|demonstrated demonstrate|verified verify|verifying verify|designated designate|designating designate|established establish|establishes establish|establishing establish
+complies comply|complied comply|complying comply|deployed deploy|deployers deployer|placing place|placed place|marketed market|parties party|copies copy|copied copy|children children|gdpr gdpr|2016 2016"""
+
+
+def test_lemmas_are_in_the_lexicon(spark):
+    forms = [x.split() for x in FORMS.replace("\n", "|").split("|")]
+    bases = sorted({b for _, b in forms if b != "children"})
+    lexicon = spark.createDataFrame([(b, 1) for b in bases], "word string, n long")
+    words = spark.createDataFrame([(w, 7) for w, _ in forms] + [(None, 0), ("", 0), ("zzzs", 1)], "word string, lemma int")
+    got = {r.word: r.lemma for r in lemmas.lemma_table(words, lexicon).collect()}
+    assert got == {w: b for w, b in forms} | {"": "", "zzzs": "zzzs"}
+    assert lemmas.lemma_table(words, lexicon.limit(0)).where("word = 'ensures'").first().lemma == "ensures"
+
+
+def test_lexicon_decides_between_bases(spark):
+    words = spark.createDataFrame([("rated",), ("news",)], "word string")
+    lexicon = lambda *rows: spark.createDataFrame(rows, "word string, n long, pos string")
+    lemma = lambda lex: {r.word: r.lemma for r in lemmas.lemma_table(words, lex).collect()}
+    assert lemma(lexicon(("rate", 5, "v"), ("rat", 3, None), ("new", 9, "a")))  == {"rated": "rate", "news": "news"}
+    assert lemma(lexicon(("rate", 5, "v"), ("rat", 30, None), ("new", 9, None))) == {"rated": "rat", "news": "new"}
+    assert lemma(lexicon(("rate", 5, "v"), ("rat", 30, "n"), ("rat", 5, "n"))) == {"rated": "rate", "news": "news"}
+
+
+def test_ungrounded_words(spark):
+    values = spark.createDataFrame([(1, "object", "the Provisions ensured by bodies, provisions", "x"), (1, "object", None, "x"), (2, "object", "data", "x"), (None, "object", "the data", "x"), (1, "object", "", "x"), (2, "object", "data", "y")], "id int, field string, value string, text string")
+    sources = spark.createDataFrame([(1, "A provision ensures it"), (1, None), (3, "data")], "id int, text string")
+    lexicon = spark.createDataFrame([(w, 1) for w in "provision ensure body".split()], "word string, n long")
+    got = sorted((str(r.id), str(r.value), r.text, tuple(r.missing)) for r in lemmas.ungrounded(values, sources, lexicon, candidates.STOP).collect())
+    assert got == [("1", "", "x", ()), ("1", "None", "x", ()), ("1", "the Provisions ensured by bodies, provisions", "x", ("bodies",)), ("2", "data", "x", ("data",)), ("2", "data", "y", ("data",)), ("None", "the data", "x", ("data",))]
+    assert lemmas.ungrounded(values.limit(0), sources, lexicon, candidates.STOP).count() == 0
