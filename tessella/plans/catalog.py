@@ -14,7 +14,7 @@ from tessella import storage
 from tessella.functions import roles
 from tessella.functions import text as X
 from tessella.functions.predicates import IRREGULAR
-from tessella.operators import candidates, evaluate, gold, graph, lemmas, matching, retrieve, structure, verify, worksheets, xref
+from tessella.operators import candidates, changes, evaluate, gold, graph, lemmas, matching, retrieve, structure, verify, worksheets, xref
 from tessella.plans.registry import ORACLE_SQL, QUERIES
 from tessella.plans.registry import query as _query
 from tessella.plans.registry import table as _t
@@ -533,6 +533,17 @@ def latest_per_key(spark, d):
     return logs.latest(_t(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_id", "event_type"])
 
 
+# A16, ST3: first and last time of each user with the last event, from a stream of the event files that is kept in a table by key
+@_query("""SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, (ts, event_id::VARCHAR)) AS event_type FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id""")
+def stream_latest(spark, d):
+    table = _t(spark, d, "events")
+    events = spark.readStream.schema(table.schema).option("pathGlobFilter", "events*.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_id", F.col("event_id").cast("string"))
+    path = storage.fresh(spark, "latest")
+    logs.into_table(logs.first_and_latest(events, "user_id", "ts", ["event_id", "event_type"]), path, ["user_id"], storage.fresh(spark, "stream"), 16).awaitTermination()
+    out = changes.current(spark, path)
+    return out.select("user_id", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "event_type")
+
+
 # W7, X14
 @_query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents), i AS (SELECT doc_id, unnest(range(0, len(ws))) AS pos, ws FROM t),
 m AS (SELECT doc_id, pos, ws[pos + 1] IN ('the','of','and','to','in','is','en','de','la','der','die') AS c FROM i),
@@ -707,6 +718,20 @@ def grounding_lemmas(spark, d):
     return out.select(F.col("id").alias("conv_id"), "turn", F.size("missing").alias("missing"), F.array_join(F.array_sort("missing"), " ").alias("words"))
 
 
+# SNK2, SNK3, V10: edges put by two runs, one of them twice, and those of low orders deleted, in batches that touch their buckets only
+@_query("""WITH e AS (SELECT o_orderkey AS src, o_custkey AS dst, o_orderstatus AS status, o_orderkey % 3 AS run FROM orders)
+SELECT src, dst, CASE WHEN run = 1 THEN 'seen' ELSE status END AS status, CASE WHEN run = 1 THEN 'again' END AS note FROM e WHERE NOT (run = 2 AND status = 'F')""")
+def edge_changes(spark, d):
+    edges = _t(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3).alias("run"))
+    first = edges.select("src", "dst", "status", "run", F.lit("put").alias("op"))
+    path, keys = storage.fresh(spark, "edges"), ["src", "dst"]
+    changes.apply(path, first, keys, 1, 16)
+    changes.apply(path, edges.where("run = 1").select("src", "dst", F.lit("seen").alias("status"), F.lit("again").alias("note"), F.lit("put").alias("op")), keys, 2, 16)
+    changes.delete_where(spark, path, "run = 2 AND status = 'F'", keys, 3, 16)
+    changes.replay(spark, path, 1, keys, 16)
+    return changes.current(spark, path).drop("run")
+
+
 # ST2
 @_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def append_log_window(spark, d):

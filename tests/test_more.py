@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella import __main__ as cli
-from tessella.operators import answer, candidates, evaluate, extract, gold, lemmas, models, structure, verify, worksheets
+from tessella.operators import answer, candidates, changes, evaluate, extract, gold, lemmas, models, structure, verify, worksheets
 from tessella.sources import html
 from tessella.streaming import logs
 
@@ -201,3 +202,61 @@ def test_ungrounded_words(spark):
     got = sorted((str(r.id), str(r.value), r.text, tuple(r.missing)) for r in lemmas.ungrounded(values, sources, lexicon, candidates.STOP).collect())
     assert got == [("1", "", "x", ()), ("1", "None", "x", ()), ("1", "the Provisions ensured by bodies, provisions", "x", ("bodies",)), ("2", "data", "x", ("data",)), ("2", "data", "y", ("data",)), ("None", "the data", "x", ("data",))]
     assert lemmas.ungrounded(values.limit(0), sources, lexicon, candidates.STOP).count() == 0
+
+
+def test_batches_of_changes(spark, tmp_path):
+    import os
+
+    path, keys = f"file://{tmp_path}/edges", ["src", "rel"]
+    frame = lambda *rows: spark.createDataFrame(rows, "src string, rel string, status string, run int, op string")
+    rows = lambda: sorted((tuple(r) for r in changes.current(spark, path).select("src", "rel", "status", "run").collect()), key=str)
+    stamp = lambda: {f: os.stat(f).st_mtime_ns for f in map(str, tmp_path.glob("edges/**/*.parquet"))}
+    put = [(f"s{i}", "to", "new", i % 2, "put") for i in range(40)]
+    changes.apply(path, frame(*put, (None, "to", "x", 1, "put"), ("s1", "to", "new", 1, "put"), ("s0", "to", "a", 0, None), ("s0", "to", None, 0, "delete")), keys, 1, 8)
+    first = rows()
+    assert len(first) == 40 and first[0] == ("s0", "to", "new", 0)
+    changes.apply(path, frame(("s3", "to", None, 9, "put"), ("s99", "to", "late", 1, "put")), keys, 2, 8)
+    second = rows()
+    assert ("s3", "to", "new", 9) in second and len(second) == 41
+    before = stamp()
+    changes.apply(path, frame(("s3", "to", None, None, "delete")), keys, 3, 8)
+    assert len(rows()) == 40 and sum(before.get(f) != t for f, t in stamp().items()) == 1  # one bucket of eight
+    third = rows()
+    for batch in (1, 2, 3):
+        changes.replay(spark, path, batch, keys, 8)
+        assert rows() == third  # neither the deleted row nor old values come back
+    changes.apply(path, frame(("s3", "to", "back", None, "put")), keys, 4, 8)
+    assert ("s3", "to", "back", None) in rows()
+    changes.delete_where(spark, path, "run = 1", keys, 5, 8)
+    assert all(r[3] != 1 for r in rows()) and len(rows()) == 21 and changes.stored(spark, path).count() == 41
+    changes.apply(path, frame(("s0", "to", "x", 0, "put")).limit(0), keys, 6, 8)
+    with pytest.raises(ValueError):
+        changes.apply(path, frame(("s0", "to", "x", 0, "put")), keys, 7, 4)
+
+
+def test_stream_state_restarts_and_expires(spark, tmp_path):
+    schema = "user string, ts timestamp, n int, ts2 string"
+    path, at, source = f"file://{tmp_path}/table", f"file://{tmp_path}/at", tmp_path / "in"
+    source.mkdir()
+
+    def feed(name, *rows):
+        (source / f"{name}.json").write_text("\n".join(json.dumps(dict(zip(("user", "ts", "n"), r))) for r in rows))
+        stream = logs.first_and_latest(logs.read_log(spark, str(source), schema, 1), "user", "ts", ["n", "ts2"], "1 hour", "2 days")
+        logs.into_table(stream, path, ["user"], at, 4).awaitTermination()
+        return {r.user: (str(r.first_seen), str(r.last_seen), r.n) for r in changes.current(spark, path).collect()}
+
+    got = feed("a", ("u", "2024-01-01 10:00:00", 1), ("u", "2024-01-01 10:00:00", 2), ("v", "2024-01-01 11:00:00", 3), (None, "2024-01-01 10:00:00", 4), ("w", None, 5))
+    assert got == {"u": ("2024-01-01 10:00:00", "2024-01-01 10:00:00", 2), "v": ("2024-01-01 11:00:00", "2024-01-01 11:00:00", 3)}
+    # a new run from the checkpoint: earlier state goes on, an earlier row moves first_seen alone, and one beyond the watermark is left out
+    got = feed("b", ("u", "2024-01-01 12:00:00", None), ("v", "2024-01-01 10:30:00", 9), ("u", "2024-01-01 01:00:00", 7))
+    assert got == {"u": ("2024-01-01 10:00:00", "2024-01-01 12:00:00", None), "v": ("2024-01-01 10:30:00", "2024-01-01 11:00:00", 3)}
+    feed("c", ("x", "2024-01-09 00:00:00", 1))
+    got = feed("d", ("u", "2024-01-09 01:00:00", 8))
+    assert got["u"] == ("2024-01-09 01:00:00", "2024-01-09 01:00:00", 8) and got["v"][2] == 3  # u's state had expired; the table keeps v
+
+
+def test_first_and_latest_of_a_table(spark):
+    rows = spark.createDataFrame([("u", "2024-01-01 10:00:00", 1), ("u", "2024-01-01 10:00:00", 2), ("u", "2024-01-01 09:00:00", 9), (None, "2024-01-01 09:00:00", 9), ("v", None, 1)], "user string, t string, n int").withColumn("ts", F.to_timestamp("t"))
+    got = logs.first_and_latest(rows, "user", "ts", ["n"])
+    assert [(r.user, str(r.first_seen), str(r.last_seen), r.n) for r in got.collect()] == [("u", "2024-01-01 09:00:00", "2024-01-01 10:00:00", 2)]
+    assert logs.first_and_latest(rows.limit(0), "user", "ts", ["n"]).count() == 0
