@@ -31,8 +31,8 @@ def keep_human_fields(rebuilt: DataFrame, before: DataFrame, key: list[str], fie
 
 
 def audit(resolved: DataFrame) -> DataFrame:
-    """surface, regulation, status and n of resolved subjects."""
-    return resolved.groupBy("surface", "regulation").agg(F.first("status").alias("status"), F.count("*").alias("n"))
+    """surface, regulation, status and n of resolved subjects; of several statuses of one subject the least."""
+    return resolved.groupBy("surface", "regulation").agg(F.min("status").alias("status"), F.count("*").alias("n"))
 
 
 def adjudicated(answers: DataFrame, allowed: DataFrame, least: float = 0.7) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tessella import storage
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, limit: int | None = None, order: str | None = None) -> DataFrame:
     """Rows of JSON lines; with a limit the first ones by ``order``, or else by file and place in it."""
@@ -66,6 +69,19 @@ def read_map(spark: SparkSession, path: str, key: str = "key", value: str = "val
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
 
 
+def read_aliases(spark: SparkSession, path: str, under: str = "aliases", key: str = "alias") -> DataFrame:
+    """key, iri and place of a file of synonyms or aliases: an object with, ``under`` a name, an object of lists of identifiers; null lists have no rows."""
+    text = spark.read.text(path, wholetext=True)
+    each = text.select(F.explode(F.from_json(F.get_json_object("value", f"$['{under}']"), "map<string,array<string>>")).alias(key, "iris"))
+    return each.select(key, F.posexplode("iris").alias("place", "iri")).select(key, "iri", "place")
+
+
+def read_corpora(spark: SparkSession, paths: dict[str, str], schema: str | None = None, tag: str = "source") -> DataFrame:
+    """Rows of several corpora or evaluation sets with the name of theirs; a column that some lack is null there, and one called as the tag is replaced."""
+    parts = [read_jsonl(spark, path, schema).withColumn(tag, F.lit(name)) for name, path in paths.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def source_of(registry: list[str]) -> Column:
     """The first registry key in the file name, or an error."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
@@ -89,9 +105,17 @@ def append_review(results: DataFrame, path: str) -> None:
 
 
 def write_document(df: DataFrame, path: str) -> None:
-    """Writes a small result, such as metrics or a worksheet, as one JSON document, an array of its rows in their order."""
-    rows = df.select(F.struct(*df.columns).alias("r")).agg(F.collect_list("r").alias("rows"))
-    rows.select(F.to_json("rows", {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Writes a result, such as metrics or a worksheet, as one JSON document, an array of its rows in their order.
+
+    Each task writes its own rows; the files, one after another by name, are the document. A small result is one file.
+    """
+    rows = storage.cut(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")).withColumn("at", F.monotonically_increasing_id()))
+    ends = rows.agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
+    if ends["first"] is None:
+        lines = df.sparkSession.createDataFrame([("[]",)], "value string")
+    else:
+        lines = rows.select(F.concat(F.when(F.col("at") == ends["first"], "[").otherwise(","), "row", F.when(F.col("at") == ends["last"], "]").otherwise("")).alias("value"))
+    lines.write.mode("overwrite").option("lineSep", " ").text(path)
 
 
 def write_index(vectors: DataFrame, version: str, path: str) -> None:

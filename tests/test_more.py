@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella import __main__ as cli
 from tessella.operators import answer, candidates, changes, evaluate, extract, gold, lemmas, models, structure, verify, worksheets
-from tessella.sources import html
+from tessella.sources import files, html
 from tessella.streaming import logs
 
 SF = "/root/testdata/sf0.001"
@@ -260,3 +260,23 @@ def test_first_and_latest_of_a_table(spark):
     got = logs.first_and_latest(rows, "user", "ts", ["n"])
     assert [(r.user, str(r.first_seen), str(r.last_seen), r.n) for r in got.collect()] == [("u", "2024-01-01 09:00:00", "2024-01-01 10:00:00", 2)]
     assert logs.first_and_latest(rows.limit(0), "user", "ts", ["n"]).count() == 0
+
+
+def test_documents_of_many_files(spark, tmp_path):
+    path = tmp_path / "doc"
+    rows = spark.range(0, 1000, 1, 7).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, F.concat(F.lit('a "quoted"\n'), "id")).alias("row"), F.col("id").alias("at"))
+    files.write_document(rows, f"file://{path}")
+    parts = sorted(path.glob("part-*"))
+    got = json.loads("".join(p.read_text() for p in parts))
+    assert len(parts) == 7 and [r["k"] for r in got] == list(range(1000)) and got[1] == {"k": 1, "row": None, "at": 1} and got[3]["row"] == 'a "quoted"\n3'
+    files.write_document(rows.limit(0), f"file://{path}")
+    assert json.loads("".join(p.read_text() for p in path.glob("part-*"))) == []
+
+
+def test_aliases_and_corpora(spark, tmp_path):
+    (tmp_path / "aliases.json").write_text(json.dumps({"_doc": "x", "aliases": {"obtain": ["d:1", "d:2"], "erase": [], "keep": None}}))
+    assert sorted(tuple(r) for r in files.read_aliases(spark, str(tmp_path / "aliases.json")).collect()) == [("obtain", "d:1", 0), ("obtain", "d:2", 1)]
+    for name, row in (("a", {"k": 1, "source": "old"}), ("b", {"k": 2, "x": "only here"})):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps(row))
+    got = files.read_corpora(spark, {n: str(tmp_path / f"{n}.jsonl") for n in "ab"})
+    assert sorted((r.k, r.source, r.x) for r in got.collect()) == [(1, "a", None), (2, "b", "only here")]
