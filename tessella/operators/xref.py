@@ -168,8 +168,10 @@ def resolve(found: DataFrame, paragraphs: DataFrame) -> DataFrame:
     # a point of an article that isn't there is one of the own unit
     local = (F.col("kind") == "point") & ~F.col("exists")
     rows = rows.withColumns({"local": local, "raw": F.when(local, F.col("short_raw")).otherwise(F.col("raw")), "t_source": F.when(local, F.col("source")).otherwise(F.col("t_source")), "t_unit": F.when(local, F.col("unit_id")).otherwise(F.col("t_unit")), "markers": F.when(local, F.filter("markers", lambda m: ~m.rlike(r"^\d+\.$"))).otherwise(F.col("markers"))})
-    head = rows.where("not member and kind = 'article'").select("source", "unit_id", "paragraph_index", "surface", (F.col("exists") | F.lit(False)).alias("head_exists")).groupBy("source", "unit_id", "paragraph_index", "surface").agg(F.max("head_exists").alias("head_exists"))
-    rows = rows.join(head, ["source", "unit_id", "paragraph_index", "surface"], "left").where(~(F.col("member") & (F.col("kind") == "article") & ~F.coalesce("head_exists", F.lit(False))))
+    # all that follows groups by paragraph: one shuffle by it serves every window
+    rows = rows.repartition(*(F.col(k) for k in key[:3]))
+    heads = F.max(F.when(~F.col("member") & (F.col("kind") == "article"), F.col("exists"))).over(Window.partitionBy(*key[:3], "surface"))
+    rows = rows.withColumn("head_exists", heads).where(~(F.col("member") & (F.col("kind") == "article") & ~F.coalesce("head_exists", F.lit(False))))
     rows = rows.withColumn("once", F.min("place").over(Window.partitionBy("source", "unit_id", "paragraph_index", "raw"))).where("place = once")
     first = F.get("markers", F.lit(0))
     none = F.lit(None).cast("array<string>")
@@ -184,8 +186,8 @@ def resolve(found: DataFrame, paragraphs: DataFrame) -> DataFrame:
     act = F.when((F.col("kind") == "regulation") & F.col("to").isNotNull(), F.concat("to", F.lit(":")))
     out = out.withColumn("resolved_iri", F.coalesce("found", chapeau, whole, act))
     # an article that only says where a cited point is
-    points = out.where("kind = 'point' and resolved_iri is not null").groupBy("source", "unit_id", "paragraph_index").agg(F.collect_set("resolved_iri").alias("points"))
-    out = out.join(points, ["source", "unit_id", "paragraph_index"], "left")
+    points = F.collect_set(F.when(F.col("kind") == "point", F.col("resolved_iri"))).over(Window.partitionBy(*key[:3]))
+    out = out.withColumn("points", points)
     covered = (F.col("kind") == "article") & F.coalesce(F.exists("points", lambda p: p.startswith(F.concat("resolved_iri", F.lit("/")))), F.lit(False))
     kept = index.where("screen_keep") if "screen_keep" in index.columns else index
     out = out.where(~covered).join(kept.select(F.col("source").alias("k_source"), F.col("iri").alias("k_iri"), F.col("text")), (F.col("k_iri") == F.col("resolved_iri")) & (F.col("k_source") == F.col("source")), "left")
