@@ -537,7 +537,8 @@ def latest_per_key(spark, d):
 @_query("""SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, (ts, event_id::VARCHAR)) AS event_type FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id""")
 def stream_latest(spark, d):
     table = _t(spark, d, "events")
-    events = spark.readStream.schema(table.schema).option("pathGlobFilter", "events*.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_id", F.col("event_id").cast("string"))
+    # a pattern, as a stream takes a single file by no other path
+    events = spark.readStream.schema(table.schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_id", F.col("event_id").cast("string"))
     path = storage.fresh(spark, "latest")
     logs.into_table(logs.first_and_latest(events, "user_id", "ts", ["event_id", "event_type"]), path, ["user_id"], storage.fresh(spark, "stream"), 16).awaitTermination()
     out = changes.current(spark, path)
