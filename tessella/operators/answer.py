@@ -71,16 +71,17 @@ def first_seeds(seeds: DataFrame, most: int = MOST_SEEDS) -> DataFrame:
     return seeds.distinct().withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def choose_seeds(intents: DataFrame, statements: DataFrame, sources: DataFrame, questions: DataFrame, vectors: DataFrame, generated: DataFrame | None = None, dense: bool = False) -> DataFrame:
+def choose_seeds(intents: DataFrame, statements: DataFrame, sources: DataFrame, questions: DataFrame, vectors: DataFrame, generated: DataFrame | None = None, dense: bool = False, bounded: bool = False) -> DataFrame:
     """query_id, seed_path and id: seeds by the first way that gives a question any.
 
     The ways are the provisions that its intent names, a generated query's rows (query_id, id), and the nearest provisions; or
-    with ``dense`` the nearest provisions alone, recitals left out. intents: query_id and target_provisions.
+    with ``dense`` the nearest provisions alone, recitals left out. intents: query_id and target_provisions, which are raw prefixes or
+    with ``bounded`` end as for :func:`seeds_below`: a provision that isn't there then gives no seeds, and the next way is taken.
     """
     below = lambda df: seeds_below(statements, sources, df.select("query_id", F.col("provision").alias("prefix")))
     if dense:
         return below(dense_provisions(questions, vectors)).withColumn("seed_path", F.lit("dense_retrieval")).select("query_id", "seed_path", "id")
-    ways = [("template", seeds_below(statements, sources, intents.select("query_id", F.explode("target_provisions").alias("prefix")).distinct()))]
+    ways = [("template", seeds_below(statements, sources, intents.select("query_id", F.explode("target_provisions").alias("prefix")).distinct(), bounded))]
     if generated is not None:
         ways.append(("llm_query", first_seeds(generated.select("query_id", "id"))))
     ways.append(("vector_fallback", below(nearest(questions, vectors, FALLBACK))))
