@@ -37,7 +37,7 @@ def covered(statements: DataFrame, sources: DataFrame, provisions: DataFrame) ->
 def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, provision, score and rank of the k nearest provisions. questions: query_id and q; vectors: provision and embedding, both of length one."""
     named = vectors.select(F.col("provision").alias("vec_id"), "embedding")
-    out = retrieve.top_k(questions.select("query_id", "q"), named, k, score=retrieve.dot(F.col("q"), F.col("embedding")))
+    out = retrieve.top_k(questions.select("query_id", "q"), named, k, cosines=False)
     return out.withColumnRenamed("vec_id", "provision")
 
 
