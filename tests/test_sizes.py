@@ -1,6 +1,12 @@
 """What must not grow with a session's settings or faster than the input, on small fixtures."""
 
-from tessella.llm import components
+import pyarrow as pa
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessella import storage
+from tessella.llm import attention, components
+from tessella.operators import evaluate, matching, xref
 
 
 def test_few_links_are_held_in_few_partitions(spark):
@@ -17,3 +23,53 @@ def test_few_links_are_held_in_few_partitions(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert [got[k] for k in (1, 2, 3, 8, 9, 59)] == [0, 0, 0, 0, 0, 58]
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(storage, "DEALT", 10)
+    assert storage.parts(spark, 5) == 4 and storage.parts(spark, 95) == 10
+    expected, found = spark.range(100), spark.range(50, 150)
+    out = evaluate.completeness(expected, found)
+    assert out.rdd.getNumPartitions() >= 20
+    assert {r.problem: r.n for r in out.groupBy("problem").agg(F.count("*").alias("n")).collect()} == {"missing": 50, "extra": 50}
+
+
+def test_wobble_holds_no_distinct_values(spark):
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, ""), ("b", 1, "x"), ("b", 1, "y"), ("c", 1, "x"), ("c", 3, None), ("d", None, "x"), ("d", 1, "z")], "slot string, run int, value string").withColumn("field", F.lit("f"))
+    out = evaluate.wobble(rows)
+    assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString() and "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [("f", 2, 1)]
+
+
+def test_repeated_texts_give_their_citations_each_time(spark):
+    rows = [("gdpr", f"u{i}", i, ["Articles 3 to 5", None, "", "see Article 7(1)", "none"][i % 5]) for i in range(40)]
+    want = sorted((r[1], r[2], x[0], x[1], x[6]) for r in rows for x in xref.references(r[3]))
+    frame = spark.createDataFrame(rows, "source string, unit_id string, paragraph_index int, text string").coalesce(1)
+    got = sorted((r.unit_id, r.paragraph_index, r.place, r.raw, r.unit_number) for r in xref.extract(frame).collect())
+    assert got == want
+
+
+def test_unlike_sets_that_share_a_rare_token_are_no_rows(spark, monkeypatch):
+    rows = [(i, "en", [f"r{i // 2}", *(f"w{i}_{k}" for k in range(3 if i % 4 < 2 else 1))]) for i in range(40)]
+    rows += [(100 + i, "en", [f"s{k}" for k in range(10 + i)]) for i in range(8)]
+    frame = spark.createDataFrame(rows, "id long, lang string, tokens array<string>")
+    sets = {r[0]: set(r[2]) for r in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    for cells in (64, 512):
+        monkeypatch.setattr(matching, "CELLS", cells)
+        out = matching.similar_pairs(frame, ["lang"], "id", 0.5)
+        assert {(r.a, r.b) for r in out.collect()} == want
+    assert "bit_count" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_logits_above_the_bound_are_cut_as_before():
+    net = attention.Model(12, np.arange(12) % 3, np.log(np.full(12, 0.25)))
+    rng = np.random.default_rng(1)
+    x, target = rng.integers(0, 12, (2, 5, attention.S))
+    for scale in (1, 400):
+        net.p["w2"] = net.p["w2"] * np.float32(scale)
+        net.fold()
+        got = net.log_probs(x, target, np.arange(5) > 0)
+        each = np.stack([net.log_probs(x, np.full_like(x, t), np.arange(5) > 0) for t in range(12)])
+        assert np.isfinite(got).all() and np.allclose(np.exp(each.astype(float)).sum(0), 1, atol=1e-3)
+        assert np.allclose(np.take_along_axis(each, target[None], 0)[0], got, atol=1e-5)
