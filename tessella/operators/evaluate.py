@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella import storage
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     """a / b, or ``empty`` where b is 0."""
@@ -106,8 +108,10 @@ def stability(rows: DataFrame, runs: int) -> DataFrame:
 
 def wobble(rows: DataFrame) -> DataFrame:
     """field, slots seen in two or more runs, and those of them with more than one value. rows: slot, run, field and value."""
-    per = rows.groupBy("slot", "field").agg(F.countDistinct("run").alias("runs"), F.countDistinct(F.coalesce("value", F.lit(""))).alias("forms")).where("runs >= 2")
-    return per.groupBy("field").agg(F.count("*").alias("slots"), F.count_if(F.col("forms") > 1).alias("wobbling"))
+    value = F.coalesce("value", F.lit(""))
+    # more than one is told by the ends, for which no distinct values are held
+    per = rows.groupBy("slot", "field").agg((F.min("run") < F.max("run")).alias("again"), (F.min(value) < F.max(value)).alias("wobbles")).where("again")
+    return per.groupBy("field").agg(F.count("*").alias("slots"), F.count_if("wobbles").alias("wobbling"))
 
 
 def drift(rows: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -122,7 +126,9 @@ def drift(rows: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def completeness(expected: DataFrame, found: DataFrame) -> DataFrame:
     """id and problem: missing where it isn't found, extra where it isn't expected, empty where it has no answer."""
-    missing = expected.select("id").join(found, "id", "left_anti").withColumn("problem", F.lit("missing"))
+    n = storage.parts(expected.sparkSession, expected.count() + found.count())
+    expected, found = expected.select("id").repartition(n, "id"), found.repartition(n, "id")
+    missing = expected.join(found, "id", "left_anti").withColumn("problem", F.lit("missing"))
     out = missing.unionByName(found.select("id").join(expected, "id", "left_anti").distinct().withColumn("problem", F.lit("extra")))
     if "answer" in found.columns:
         blank = found.where(F.trim(F.coalesce("answer", F.lit(""))) == "").select("id").distinct()

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella import storage
 from tessella.functions import predicates
 from tessella.functions import text as X
 from tessella.operators import answer, candidates, evaluate, extract, gold, graph, passes
@@ -479,7 +480,8 @@ b AS (SELECT 'flag' AS field, count(*) FILTER (forms > 1) / count(*) AS base FRO
 SELECT r.field, count(*) AS compared, count(*) FILTER (d) AS drifted, round(count(*) FILTER (d) / count(*), 6) AS rate, round(count(*) FILTER (d) / count(*) - coalesce(any_value(base), 0), 6) AS excess, count(*) FILTER (d) / count(*) - coalesce(any_value(base), 0) > 1e-9 AS drifts FROM r LEFT JOIN b ON b.field = r.field GROUP BY r.field""")
 def field_drift(spark, d):
     lines = _t(spark, d, "lineitem")
-    base = evaluate.wobble(lines.groupBy(F.col("l_partkey").alias("slot"), F.col("l_suppkey").alias("run")).agg(F.min("l_returnflag").alias("value")).withColumn("field", F.lit("flag")))
+    by_slot = lines.select("l_partkey", "l_suppkey", "l_returnflag").repartition(storage.parts(spark, lines.count()), "l_partkey")
+    base = evaluate.wobble(by_slot.groupBy(F.col("l_partkey").alias("slot"), F.col("l_suppkey").alias("run")).agg(F.min("l_returnflag").alias("value")).withColumn("field", F.lit("flag")))
     k = F.col("l_orderkey")
     flag = lines.select(F.lit("flag").alias("field"), F.col("l_returnflag").alias("before"), F.when(k % 10 == 0, "Z").otherwise(F.col("l_returnflag")).alias("after"))
     status = lines.select(F.lit("status").alias("field"), F.col("l_linestatus").alias("before"), F.when(k % 20 == 0, "Z").otherwise(F.col("l_linestatus")).alias("after"))
