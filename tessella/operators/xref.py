@@ -10,10 +10,12 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella import storage
 from tessella.functions import text as X
 
 #: Regulations that have a corpus of their own; how an act is cited.
@@ -92,10 +94,18 @@ def extract(paragraphs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, r) for i, t in enumerate(batch.column("text").to_pylist()) for r in references(t)]
+            texts = batch.column("text").dictionary_encode()
+            each = [references(t) for t in texts.dictionary.to_pylist()]
+            found = [r for x in each for r in x]
             if found:
-                at = pa.array([i for i, _ in found])
-                arrays = [pa.array(x, t) for x, t in zip(zip(*(r for _, r in found), strict=True), types, strict=True)]
+                # a different text is read once a batch, and what it cites repeated in the order of the rows
+                size = np.array([*map(len, each), 0])
+                own = texts.indices.fill_null(len(each)).to_numpy()
+                n = size[own]
+                row = np.repeat(np.arange(len(own)), n)
+                place = np.repeat((np.cumsum(size) - size)[own] - (np.cumsum(n) - n), n) + np.arange(len(row))
+                at, place = pa.array(row), pa.array(place)
+                arrays = [pa.array(x, t).take(place) for x, t in zip(zip(*found, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *arrays], names=[*keys, *(f.split()[0] for f in _FIELDS.split(", "))])
 
     return rows.mapInArrow(run, f"{kinds}, {_FIELDS}")
@@ -159,17 +169,21 @@ def resolve(found: DataFrame, paragraphs: DataFrame) -> DataFrame:
     paragraphs of the same corpus that were kept (screen_keep, where the paragraphs have it).
     """
     spark, key = found.sparkSession, ["source", "unit_id", "paragraph_index", "place"]
-    index = paragraph_index(paragraphs)
+    n = storage.parts(spark, 3 * paragraphs.count())  # paragraphs with some citations each
+    index = paragraph_index(paragraphs.repartition(n, "source", "unit_id"))
     known = F.broadcast(spark.createDataFrame(list(KNOWN.items()), "act string, to string"))
     there = index.groupBy(F.col("source").alias("t_source"), F.col("unit_id").alias("t_unit")).agg(F.max(F.coalesce(F.col("marker").rlike(r"^(?:\d+\.|\(\d+\))$"), F.lit(False))).alias("numbered"), F.min_by("iri", "paragraph_index").alias("first_iri"), F.max(F.when(F.col("paragraph_index") == 0, F.col("iri"))).alias("zero_iri"))
     rows = found.join(known, "act", "left").withColumn("t_source", F.when(F.col("act").isNull(), F.col("source")).otherwise(F.col("to")))
     named = F.when(F.col("kind") == "annex", F.concat(F.lit("anx_"), "unit_number")).when(F.col("kind").isin("article", "point"), F.concat(F.lit("art_"), "unit_number")).when(F.col("kind") == "paragraph", F.col("unit_id"))
-    rows = rows.withColumn("t_unit", named).join(there, ["t_source", "t_unit"], "left").withColumn("exists", F.col("zero_iri").isNotNull() | F.col("first_iri").isNotNull())
+    # what names no unit, or nothing, is dealt by its own: as nulls all of it would meet in one task
+    own = F.coalesce("t_unit", F.concat(F.lit("\0"), "unit_id"))
+    rows = rows.withColumn("t_unit", named).withColumn("_unit", own).repartition(n, "t_source", "_unit")
+    rows = rows.join(there.withColumnRenamed("t_unit", "_unit"), ["t_source", "_unit"], "left").drop("_unit").withColumn("exists", F.col("zero_iri").isNotNull() | F.col("first_iri").isNotNull())
     # a point of an article that isn't there is one of the own unit
     local = (F.col("kind") == "point") & ~F.col("exists")
     rows = rows.withColumns({"local": local, "raw": F.when(local, F.col("short_raw")).otherwise(F.col("raw")), "t_source": F.when(local, F.col("source")).otherwise(F.col("t_source")), "t_unit": F.when(local, F.col("unit_id")).otherwise(F.col("t_unit")), "markers": F.when(local, F.filter("markers", lambda m: ~m.rlike(r"^\d+\.$"))).otherwise(F.col("markers"))})
     # all that follows groups by paragraph: one shuffle by it serves every window
-    rows = rows.repartition(*(F.col(k) for k in key[:3]))
+    rows = rows.repartition(n, *(F.col(k) for k in key[:3]))
     heads = F.max(F.when(~F.col("member") & (F.col("kind") == "article"), F.col("exists"))).over(Window.partitionBy(*key[:3], "surface"))
     rows = rows.withColumn("head_exists", heads).where(~(F.col("member") & (F.col("kind") == "article") & ~F.coalesce("head_exists", F.lit(False))))
     rows = rows.withColumn("once", F.min("place").over(Window.partitionBy("source", "unit_id", "paragraph_index", "raw"))).where("place = once")
@@ -180,7 +194,8 @@ def resolve(found: DataFrame, paragraphs: DataFrame) -> DataFrame:
     shorter = F.when(implicit & (F.size("markers") > 1), F.slice("markers", 2, F.size("markers")))
     marked = rows.where("size(markers) > 0 and t_unit is not null")
     tries = marked.select(*key, "t_source", "t_unit", F.posexplode(F.array(F.col("markers"), F.when(F.col("local"), none).otherwise(swapped), F.when(F.col("local"), none).otherwise(shorter))).alias("priority", "markers")).where("markers is not null")
-    out = rows.join(_find(tries, index, key), key, "left")
+    tried = _find(tries.repartition(n, "t_source", "t_unit", F.element_at("markers", -1)), index, key)
+    out = rows.join(tried.repartition(n, *key[:3]), key, "left")
     whole = F.when((F.size("markers") == 0) & F.col("kind").isin("article", "annex"), F.col("zero_iri"))
     chapeau = F.when(implicit & (F.size("markers") == 1) & ~F.col("local") & F.col("kind").isin("article", "paragraph", "point"), F.col("first_iri"))
     act = F.when((F.col("kind") == "regulation") & F.col("to").isNotNull(), F.concat("to", F.lit(":")))
@@ -190,5 +205,5 @@ def resolve(found: DataFrame, paragraphs: DataFrame) -> DataFrame:
     out = out.withColumn("points", points)
     covered = (F.col("kind") == "article") & F.coalesce(F.exists("points", lambda p: p.startswith(F.concat("resolved_iri", F.lit("/")))), F.lit(False))
     kept = index.where("screen_keep") if "screen_keep" in index.columns else index
-    out = out.where(~covered).join(kept.select(F.col("source").alias("k_source"), F.col("iri").alias("k_iri"), F.col("text")), (F.col("k_iri") == F.col("resolved_iri")) & (F.col("k_source") == F.col("source")), "left")
+    out = out.where(~covered).withColumn("_iri", F.coalesce("resolved_iri", F.concat(F.lit("\0"), "unit_id"))).repartition(n, "source", "_iri").join(kept.repartition(n, "source", "iri").select(F.col("source").alias("k_source"), F.col("iri").alias("k_iri"), F.col("text")), (F.col("k_iri") == F.col("_iri")) & (F.col("k_source") == F.col("source")), "left")
     return out.select(*key, "raw", "kind", "surface", "resolved_iri", "text")
