@@ -73,3 +73,19 @@ def test_logits_above_the_bound_are_cut_as_before():
         each = np.stack([net.log_probs(x, np.full_like(x, t), np.arange(5) > 0) for t in range(12)])
         assert np.isfinite(got).all() and np.allclose(np.exp(each.astype(float)).sum(0), 1, atol=1e-3)
         assert np.allclose(np.take_along_axis(each, target[None], 0)[0], got, atol=1e-5)
+
+
+def test_a_chunk_takes_its_logarithms_at_once(monkeypatch):
+    net = attention.Model(60, np.arange(60) % 20, np.log(np.full(60, 1 / 3)))
+    net.fold()
+    rng, calls = np.random.default_rng(2), []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(np, name)
+
+    monkeypatch.setattr(attention, "np", Counted())
+    got = net.log_probs(*rng.integers(0, 60, (2, 200, attention.S)), np.arange(200) % 4 > 0)
+    assert np.isfinite(got).all() and got.max() < 0
+    assert calls.count("log") == 1 and calls.count("ones") == 0
