@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions.text import DETERMINERS
+from tessella.functions.text import DETERMINERS, let
 
 #: Deontic scaffolding in front of a verb, and adverbs that may stand between.
 PERIPHRASES = ("shall have the obligation to", "has the obligation to", "shall have the right to", "is not required to", "is required to")
@@ -37,7 +37,10 @@ _HEAD = rf"(?is)^((?:(?:no longer|{'|'.join(ADVERBS)})[^A-Za-z ]* +)*)([A-Za-z']
 
 def lemma(verb: Column) -> Column:
     """The base form of a verb in lower case, by a table of irregular forms and rules on endings; an approximation."""
-    w = F.lower(verb)
+    return let(F.lower(verb), _lemma)
+
+
+def _lemma(w: Column) -> Column:
     table = F.create_map(*(F.lit(x) for pair in IRREGULAR.items() for x in pair))
     out = F.when(w.endswith("s") & ~w.rlike("(?:ss|us|is)$") & (F.length(w) > 3), F.regexp_replace(w, "s$", "")).otherwise(w)
     out = F.when(w.rlike("(?:s|x|z|ch|sh)es$"), F.regexp_replace(w, "es$", "")).otherwise(out)
@@ -57,12 +60,15 @@ def normalised(text: Column, modality: Column) -> Column:
     """
     t = F.trim(text)
     negative = F.coalesce(F.upper(modality).isin(*NEGATIVE), F.lit(False))
-    rest = F.when(negative, F.regexp_replace(t, _NEGATED, "")).otherwise(F.regexp_replace(t, _PLAIN, ""))
-    against = ~negative & rest.rlike(_CONTRADICTS)
-    head = F.regexp_extract(rest, _HEAD, 2)
-    verb = F.when(head == "", rest).otherwise(F.trim(F.concat(F.regexp_extract(rest, _HEAD, 1), lemma(head), F.regexp_extract(rest, _HEAD, 3))))
     blank = F.coalesce(t == "", F.lit(True))
-    return F.struct(F.when(blank, text).when(against, t).otherwise(verb).alias("text"), F.coalesce(~blank & against, F.lit(False)).alias("contradiction"))
+
+    def verb(rest: Column) -> Column:
+        return let(F.regexp_extract(rest, _HEAD, 2), lambda head: F.when(head == "", rest).otherwise(F.trim(F.concat(F.regexp_extract(rest, _HEAD, 1), lemma(head), F.regexp_extract(rest, _HEAD, 3)))))
+
+    def told(rest: Column) -> Column:
+        return let(~negative & rest.rlike(_CONTRADICTS), lambda against: F.struct(F.when(blank, text).when(against, t).otherwise(verb(rest)).alias("text"), F.coalesce(~blank & against, F.lit(False)).alias("contradiction")))
+
+    return let(F.when(negative, F.regexp_replace(t, _NEGATED, "")).otherwise(F.regexp_replace(t, _PLAIN, "")), told)
 
 
 def normalise_text(text: str | None) -> str:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.text import let
+
 #: Nouns that end the label of an actor; stems of actors; the one phrase of each role.
 ACTOR_NOUNS = ("officer", "officers", "controller", "controllers", "processor", "processors", "provider", "providers", "deployer", "deployers", "importer", "importers", "distributor", "distributors", "operator", "operators", "authority", "authorities", "body", "bodies", "subject", "subjects", "recipient", "recipients", "representative", "representatives", "party", "parties")
 ACTOR_STEMS = ("controller", "processor", "data subject", "recipient", "third party", "representative", "provider", "deployer", "importer", "distributor", "operator", "authorit", "bod", "member state", "the commission", "the board", "ai office", "union institution")
@@ -36,9 +38,8 @@ def inferred_bearer(parents: Column, text: Column, stems: dict[str, str] = BEARE
 
 def snapped_role(value: Column, keywords: dict[str, str] = ROLES) -> Column:
     """The one role whose keywords the value contains; the value itself where there is none or more than one."""
-    v = F.lower(F.coalesce(value, F.lit("")))
-    hits = F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(v, F.lit(k.lower())), F.lit(role)) for k, role in keywords.items()))))
-    return F.when(F.size(hits) == 1, hits[0]).otherwise(value)
+    hits = lambda v: F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(v, F.lit(k.lower())), F.lit(role)) for k, role in keywords.items()))))
+    return let(let(F.lower(F.coalesce(value, F.lit(""))), hits), lambda h: F.when(F.size(h) == 1, h[0]).otherwise(value))
 
 
 def is_actor(label: Column, nouns: tuple[str, ...] = ACTOR_NOUNS) -> Column:

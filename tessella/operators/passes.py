@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella import storage
 from tessella.functions import predicates, roles
 from tessella.functions import text as X
 from tessella.operators import structure
@@ -219,6 +220,8 @@ def canonicalise_subjects(rows: DataFrame, stems: list[str] | None = None) -> Da
         default = F.when(F.col("source") == source, bearer).otherwise(default)
     values = F.filter(_values("subject"), lambda v: v != "")
     nameless = is_deontic() & default.isNotNull() & ~F.exists(_values("subject"), lambda v: roles.names_actor(v, stems))
+    rows = rows.withColumn("_nameless", nameless)
+    nameless = F.col("_nameless")
     replaced = nameless & F.forall(values, lambda v: roles.is_patient(v, F.col("text")))
     parents = F.transform("parents", lambda p: F.coalesce(p["text"], F.lit("")))
     bearer = F.coalesce(roles.inferred_bearer(parents, F.coalesce("text", F.lit(""))), default)
@@ -236,12 +239,12 @@ def canonicalise_subjects(rows: DataFrame, stems: list[str] | None = None) -> Da
     rows = rows.withColumn("_slots", F.aggregate("_dropped", slots, rehome))
     on = F.col("subject_inferred_duty_bearer")
     rows = rows.withColumns({"object": F.when(on, F.col("_slots.object")).otherwise(F.col("object")), "condition": F.when(on, F.col("_slots.condition")).otherwise(F.col("condition")), "subject": F.when(on, F.array(element(F.col("_bearer"), F.lit("CONTEXT")))).otherwise(F.col("subject"))})
-    rows = _mark(rows, "subject_unrecognized_actor", F.col("_kept")).drop("_dropped", "_bearer", "_kept", "_slots")
+    rows = _mark(rows, "subject_unrecognized_actor", F.col("_kept")).drop("_nameless", "_dropped", "_bearer", "_kept", "_slots")
     foreign = F.lit(None).cast("array<string>")
     for source, names in roles.FOREIGN.items():
         foreign = F.when(F.col("source") == source, F.array(*map(F.lit, names))).otherwise(foreign)
-    wrong = F.array_sort(F.array_intersect(_values("subject"), foreign))
-    rows = rows.withColumn("subject_vocabulary_mismatch", F.when(is_deontic() & (F.size(wrong) > 0), F.array_join(wrong, ", ")))
+    wrong = F.when(is_deontic(), X.let(F.array_intersect(_values("subject"), foreign), lambda w: F.when(F.size(w) > 0, F.array_join(F.array_sort(w), ", "))))
+    rows = rows.withColumn("subject_vocabulary_mismatch", wrong)
     return rows.withColumn("needs_review", F.coalesce("needs_review", F.lit(False)) | F.col("subject_vocabulary_mismatch").isNotNull())
 
 
@@ -269,18 +272,19 @@ def merge_exception_splits(rows: DataFrame, inside: float = 0.8, mirror: float =
     s = rows.where(is_deontic() & (F.size("_p") > 0) & (F.size("_o") > 0)).select("paragraph_iri", "emission", F.col("modality").alias("own"), of.alias("modality"), "_p", "_o", "_c", "_r", "_text").where("modality is not null")
     rule = rows.where(is_deontic()).select("paragraph_iri", "modality", F.col("emission").alias("p_emission"), *(F.col(c).alias(f"p{c}") for c in ("_p", "_o", "_c", "_r")))
     overlap = F.size(F.array_intersect("_p", "p_p")) + F.size(F.array_intersect("_o", "p_o"))
-    best = s.join(rule, ["paragraph_iri", "modality"]).withColumn("_best", F.row_number().over(Window.partitionBy("paragraph_iri", "emission").orderBy(F.desc(overlap), "p_emission"))).where("_best = 1")
+    best = s.join(rule.hint("merge"), ["paragraph_iri", "modality"]).withColumn("_best", F.row_number().over(Window.partitionBy("paragraph_iri", "emission").orderBy(F.desc(overlap), "p_emission"))).where("_best = 1")
     best = best.where(X.containment(F.col("_p"), F.col("p_p"), mirror) & X.containment(F.col("_o"), F.col("p_o"), mirror))
     repeats = X.containment(F.col("_c"), F.col("p_c"), inside)
     unsure = ~repeats & X.contains_any(F.col("_text"), list(EXCEPTION_CUES)) & (F.col("_r") == F.col("p_r"))
     best = best.select("paragraph_iri", "emission", "p_emission", F.col("own").alias("dropped_modality"), F.col("_text").alias("dropped_condition"), repeats.alias("repeats"), unsure.alias("unsure"))
-    gone = best.where("repeats").select("paragraph_iri", "emission")
-    # a rule names the last exception that it has taken in
-    merged = best.where("repeats").groupBy("paragraph_iri", F.col("p_emission").alias("emission")).agg(F.max_by(F.struct("dropped_modality", "dropped_condition"), "emission").alias("merged_exception_split"))
-    both = best.where("unsure").select("paragraph_iri", F.explode(F.array("emission", "p_emission")).alias("emission")).distinct().withColumn("_unsure", F.lit(True))
-    key = ["paragraph_iri", "emission"]
-    out = rows.drop("_p", "_o", "_c", "_r", "_text").join(gone, key, "left_anti").join(merged, key, "left").join(both, key, "left")
-    return _mark(out, "exception_split_ambiguous", F.col("_unsure")).drop("_unsure")
+    # what is said of a statement by its exceptions and its rule, in one row: a rule names the last exception that it has taken in
+    own = F.struct("emission", F.col("repeats").alias("gone"), F.lit(None).cast("struct<at:int,m:struct<dropped_modality:string,dropped_condition:string>>").alias("taken"), "unsure")
+    taken = F.when(F.col("repeats"), F.struct(F.col("emission").cast("int").alias("at"), F.struct("dropped_modality", "dropped_condition").alias("m")))
+    rules = F.struct(F.col("p_emission").alias("emission"), F.lit(False).alias("gone"), taken.alias("taken"), "unsure")
+    told = best.where("repeats or unsure").select("paragraph_iri", F.explode(F.array(own, rules)).alias("t")).groupBy("paragraph_iri", F.col("t.emission").alias("emission"))
+    told = told.agg(F.bool_or("t.gone").alias("_gone"), F.max("t.taken")["m"].alias("merged_exception_split"), F.bool_or("t.unsure").alias("_unsure"))
+    out = rows.drop("_p", "_o", "_c", "_r", "_text").join(told.hint("merge"), ["paragraph_iri", "emission"], "left").where("not coalesce(_gone, false)")
+    return _mark(out, "exception_split_ambiguous", F.col("_unsure")).drop("_unsure", "_gone")
 
 
 def rank_statements(rows: DataFrame) -> DataFrame:
@@ -304,9 +308,9 @@ def link_parents(rows: DataFrame) -> DataFrame:
     s = rows.where(is_deontic()).select("paragraph_iri", "statement_id", "emission", "modality", words.alias("words"))
     rule = F.when(F.col("modality") == "PERMISSION", "PROHIBITION").when(F.col("modality") == "DISPENSATION", "OBLIGATION")
     rules = s.select("paragraph_iri", F.col("modality").alias("rule"), F.col("statement_id").alias("parent_id"), F.col("emission").alias("p_emission"), F.col("words").alias("p_words"))
-    met = s.withColumn("rule", rule).where("rule is not null").join(rules, ["paragraph_iri", "rule"])
+    met = s.withColumn("rule", rule).where("rule is not null").join(rules.hint("merge"), ["paragraph_iri", "rule"])
     best = met.groupBy("paragraph_iri", "statement_id").agg(F.max_by("parent_id", F.struct(F.size(F.array_intersect("words", "p_words")), -F.col("p_emission"))).alias("parent_id"))
-    out = rows.join(best, ["paragraph_iri", "statement_id"], "left")
+    out = rows.join(best.hint("merge"), ["paragraph_iri", "statement_id"], "left")
     none = F.coalesce("references", _texts())
     out = _mark(out, "intra_paragraph_inferred", F.col("parent_id").isNotNull() & ~F.coalesce(F.array_contains(none, F.col("parent_id")), F.lit(False)), review=False)
     return out.withColumn("references", F.when(F.col("intra_paragraph_inferred"), F.concat(none, F.array("parent_id"))).otherwise(F.col("references"))).drop("parent_id")
@@ -367,8 +371,12 @@ def gates(rows: DataFrame) -> DataFrame:
 
 
 def replay(rows: DataFrame, stems: list[str] | None = None) -> DataFrame:
-    """The passes, which need no model: rewriting before the drops, drops before ids, ids before links, flags last."""
-    rows = guard_recital_scopes(canonicalise_subjects(annex_area(normalise_predicates(rows)), stems))
-    rows = link_parents(rank_statements(merge_exception_splits(rows)))
+    """The passes, which need no model: rewriting before the drops, drops before ids, ids before links, flags last.
+
+    Statements are stored, as columns, before each pass that joins them with others of their paragraph, so that no side of
+    a join rewrites them again. What is stored is small beside its rows, so these joins say that they sort and don't broadcast.
+    """
+    rows = storage.stored(guard_recital_scopes(canonicalise_subjects(annex_area(normalise_predicates(rows)), stems)))
+    rows = link_parents(storage.stored(rank_statements(merge_exception_splits(rows))))
     rows = flag_truncated_spans(flag_smeared_references(rows))
     return flag_redundant_negation(flag_operator_predicates(rows))

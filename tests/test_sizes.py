@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tessella import storage
 from tessella.llm import attention, components
-from tessella.operators import evaluate, matching, xref
+from tessella.functions import predicates
+from tessella.operators import evaluate, matching, passes, xref
+from tessella.plans import corpus
 
 
 def test_few_links_are_held_in_few_partitions(spark):
@@ -89,3 +91,20 @@ def test_a_chunk_takes_its_logarithms_at_once(monkeypatch):
     got = net.log_probs(*rng.integers(0, 60, (2, 200, attention.S)), np.arange(200) % 4 > 0)
     assert np.isfinite(got).all() and got.max() < 0
     assert calls.count("log") == 1 and calls.count("ones") == 0
+
+
+def test_replay_rewrites_each_statement_once(spark):
+    one = lambda v: F.array(corpus._one(F.lit(v)))
+    modality = F.when(F.col("id") % 2 == 0, "OBLIGATION").otherwise("DISPENSATION")
+    rows = corpus._statements(spark.range(8), source=F.lit("gdpr"), unit_type=F.lit("article"), paragraph_iri=F.concat(F.lit("gdpr:art_"), F.expr("string(id div 2)")), emission=F.col("id"), statement_class=F.lit("DEONTIC"), modality=modality, subject=one("The data controller"), predicate=one("shall process"), object=one("data"), condition=corpus._one(F.lit("where asked")))
+    out = passes.replay(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "refrain" not in plan  # neither the input nor the rewriting of predicates is left in it
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    got = {(r.paragraph_iri, r.emission): (r.statement_id[-3:], r.merged_exception_split.dropped_condition) for r in out.collect()}
+    assert got == {(f"gdpr:art_{i}", 2 * i): ("#s1", "where asked") for i in range(4)}
+
+
+def test_a_predicate_is_worked_out_once_in_its_expression():
+    text = str(predicates.normalised(F.col("x"), F.col("m"))._jc.toString())
+    assert text.count("regexp_replace(trim(x)") <= 2
