@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella import storage
 from tessella.llm import attention, components
 from tessella.functions import predicates
-from tessella.operators import evaluate, matching, passes, xref
+from tessella.operators import evaluate, matching, passes, verify, xref
 from tessella.plans import corpus
 
 
@@ -108,3 +108,24 @@ def test_replay_rewrites_each_statement_once(spark):
 def test_a_predicate_is_worked_out_once_in_its_expression():
     text = str(predicates.normalised(F.col("x"), F.col("m"))._jc.toString())
     assert text.count("regexp_replace(trim(x)") <= 2
+
+
+def test_sides_of_many_patterns_meet_in_one_shuffle(spark, monkeypatch):
+    word = ["OBLIGATION", "PROHIBITION", "PERMISSION"]
+    s = spark.createDataFrame([(f"s{i}", "DEONTIC", word[i % 3], f"r{i % 4}:art_{i}", i == 0) for i in range(24)], "id string, statement_class string, modality string, paragraph_iri string, synthetic boolean")
+    slots = spark.createDataFrame([(f"s{i}", rel, c) for i in range(24) for rel, c in (("OBJECT", f"c{i % 5}"), ("SUBJECT", "c9"), ("PREDICATE", f"c{i % 7}"))], "id string, rel string, iri string")
+    broader = spark.createDataFrame([("c1", "c0"), ("c2", "c1"), ("c8", "c9")], "child string, parent string")
+    rows = [(f"p{k // 2}", f"r{k % 4}:", [word[k % 3], word[(k + 1) % 3]], [f"c{k % 7}"], f"r{(k + 1) % 4}:", [word[k % 3]], ["c0", "c9"]) for k in range(80)]
+    patterns = spark.createDataFrame(rows, "pattern string, a_regulation string, a_modalities array<string>, a_concepts array<string>, b_regulation string, b_modalities array<string>, b_concepts array<string>")
+    shuffled, stored = [], verify.storage.stored
+    monkeypatch.setattr(verify.storage, "stored", lambda df: (shuffled.append(df._jdf.queryExecution().sparkPlan().toString()), stored(df))[1])
+    out = verify.conflict_sides(verify.Graph(s, slots, None, None, broader), patterns)
+    above = {f"c{i}": {f"c{i}"} for i in range(10)} | {"c1": {"c1", "c0"}, "c2": {"c2", "c1", "c0"}, "c8": {"c8", "c9"}}
+    want = {}
+    for name, *ends in rows:
+        for side, (reg, mods, concepts) in (("a", ends[:3]), ("b", ends[3:])):
+            want.setdefault((name, side), set()).update(f"s{i}" for i in range(24) if f"r{i % 4}:" == reg and word[i % 3] in mods and (above[f"c{i % 5}"] | above[f"c{i % 7}"]) & set(concepts))
+    none = {"a": "b", "b": "a"}
+    told = {(p, e, i, len(want[p, none[e]])) for (p, e), ids in want.items() for i in ids if want[p, none[e]]}
+    assert told and {tuple(r) for r in out.collect()} == told
+    assert "SortMergeJoin" not in "".join(shuffled)
