@@ -133,10 +133,23 @@ def align(gold: DataFrame, run: DataFrame, key: list[str]) -> DataFrame:
     return pairs.unionByName(rest(gold, "l", "r", "missing")).unionByName(rest(run, "r", "l", "extra"))
 
 
+#: A target that so many references name is looked up by itself, so that they don't meet in one task.
+OFTEN = 100_000
+
+
 def translated(references: DataFrame, ids: DataFrame) -> DataFrame:
-    """References (id, at, target) of a run with the gold ids (run_id, gold_id) of the statements that they name; others stay."""
-    out = references.join(ids.select(F.col("run_id").alias("target"), "gold_id"), "target", "left")
-    return out.select("id", "at", F.coalesce("gold_id", "target").alias("target"))
+    """References (id, at, target) of a run with the gold ids (run_id, gold_id) of the statements that they name; others stay.
+
+    Of targets named often there are at most the references by ``OFTEN``; they go to every task, and their references are dealt by themselves.
+    """
+    ids = ids.select(F.col("run_id").alias("target"), "gold_id")
+    often = storage.cut(references.groupBy("target").count().where(F.col("count") >= OFTEN).select("target"))
+    known = storage.cut(ids.join(F.broadcast(often), "target"))
+    hot = often.join(known, "target", "left").select("target", F.col("gold_id").alias("_known"), F.lit(True).alias("_often"))
+    out = references.join(F.broadcast(hot), "target", "left")
+    apart = F.when(F.col("_often") | F.col("target").isNull(), F.concat(F.lit("\0"), F.xxhash64("id", "at").cast("string"))).otherwise(F.col("target"))
+    out = out.withColumn("_apart", apart).join(ids.select(F.col("target").alias("_apart"), "gold_id"), "_apart", "left")
+    return out.select("id", "at", F.coalesce("_known", "gold_id", "target").alias("target"))
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -189,11 +202,14 @@ def compare(pairs: DataFrame, gold: DataFrame, run: DataFrame, references_hard:
     gold statement that theirs is matched with. needs_review counts where the gold record has it.
     """
     none = F.array().cast("array<string>")
+    n = storage.parts(pairs.sparkSession, gold.count() + run.count())
+    pairs = pairs.repartition(n, "run_id")
     refs = run.select(F.col("statement_id").alias("id"), F.posexplode(F.coalesce("references", none)).alias("at", "target"))
-    moved = translated(refs, pairs).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "target"))), lambda x: x["target"]).alias("r_references"))
+    moved = translated(refs, pairs).repartition(n, "id").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "target"))), lambda x: x["target"]).alias("r_references"))
     g = gold.select(*(F.col(c).alias(f"g_{c}") for c in gold.columns))
-    r = run.drop("references").select(*(F.col(c).alias(f"r_{c}") for c in run.columns if c != "references"))
-    met = pairs.join(g, F.col("gold_id") == F.col("g_statement_id")).join(r, F.col("run_id") == F.col("r_statement_id")).join(moved, F.col("run_id") == F.col("id"), "left")
+    g = g.repartition(n, "g_statement_id")
+    r = run.drop("references").select(*(F.col(c).alias(f"r_{c}") for c in run.columns if c != "references")).repartition(n, "r_statement_id")
+    met = pairs.join(g, F.col("gold_id") == F.col("g_statement_id")).repartition(n, "run_id").join(r, F.col("run_id") == F.col("r_statement_id")).join(moved, F.col("run_id") == F.col("id"), "left")
     differs = lambda c: ~F.col(f"g_{c}").eqNullSafe(F.col(f"r_{c}"))
     names = set(gold.columns) & set(run.columns)
 

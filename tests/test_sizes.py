@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella import storage
 from tessella.llm import attention, components
 from tessella.functions import predicates
-from tessella.operators import evaluate, matching, passes, verify, xref
+from tessella.operators import evaluate, gold, matching, passes, verify, xref
 from tessella.plans import corpus
 
 
@@ -129,3 +129,24 @@ def test_sides_of_many_patterns_meet_in_one_shuffle(spark, monkeypatch):
     told = {(p, e, i, len(want[p, none[e]])) for (p, e), ids in want.items() for i in ids if want[p, none[e]]}
     assert told and {tuple(r) for r in out.collect()} == told
     assert "SortMergeJoin" not in "".join(shuffled)
+
+
+def test_references_to_one_target_are_no_group(spark, monkeypatch):
+    monkeypatch.setattr(gold, "OFTEN", 20, raising=False)
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = [(f"s{i}", at, t) for i in range(400) for at, t in ((0, "far" if i % 2 else "r7"), (1, f"r{i % 11}"), (2, None))]
+    refs = spark.createDataFrame(rows, "id string, at int, target string").where("target is not null or id < 's2'")
+    ids = spark.createDataFrame([(f"r{i}", f"g{i}") for i in range(9)], "run_id string, gold_id string")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = gold.translated(refs, ids)
+        largest = max(out.rdd.glom().map(len).collect())
+        got = sorted((r.id, r.at, r.target or "") for r in out.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    to = {f"r{i}": f"g{i}" for i in range(9)}
+    want = sorted((i, at, to.get(t, t) or "") for i, at, t in rows if t is not None or i < "s2")
+    assert got == want and largest < len(want) / 4
