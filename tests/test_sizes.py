@@ -105,7 +105,7 @@ def test_replay_rewrites_each_statement_once(spark):
     assert got == {(f"gdpr:art_{i}", 2 * i): ("#s1", "where asked") for i in range(4)}
 
 
-def test_a_predicate_is_worked_out_once_in_its_expression():
+def test_a_predicate_is_worked_out_once_in_its_expression(spark):
     text = str(predicates.normalised(F.col("x"), F.col("m"))._jc.toString())
     assert text.count("regexp_replace(trim(x)") <= 2
 
