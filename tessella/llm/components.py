@@ -21,12 +21,13 @@ def _minima(adjacent: DataFrame, parts: int) -> DataFrame:
     return shared.cut(adjacent.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts))
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100, files: int | None = None) -> DataFrame:
     """node and root of each node of an edge (u, v), the root being the smallest node it reaches, itself left out.
 
-    The rounds grow with the logarithm of a component's size; not to be done after ``most_rounds`` is an error.
+    The rounds grow with the logarithm of a component's size; not to be done after ``most_rounds`` is an error. The edges are first
+    written as at most ``files`` files, if that is given.
     """
-    e = shared.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = shared.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), files)
     parts = max(LEAST, -(-e.count() // ROWS))  # the stars never make more edges
     e, before = e.coalesce(parts), None
     for _ in range(most_rounds):

@@ -38,6 +38,8 @@ FREQUENT = 1 << 20
 CHUNK = 2048
 #: Partners of one class that are compared in a task, about.
 PARTNERS = 512
+#: Rows a file of what is kept on the way, about, where one_of_each counts them.
+ROWS = 5_000
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +118,7 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "_scan_row", "text").mapInArrow(run, f"doc_id {kind}, _scan_row long, node long, n long, bits binary, fp long")
 
 
-def _met(docs: DataFrame, width: int, least: float) -> DataFrame:
+def _met(docs: DataFrame, width: int, least: float, files: int | None = None) -> DataFrame:
     """h and node of each prefix shingle that several classes have."""
     frequent, ratio = _frequent(docs, width), _ratio(least)
 
@@ -149,10 +151,10 @@ def _met(docs: DataFrame, width: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(work[keep, 0]), pa.array(work[keep, 1])], names=["h", "node"])
 
     rows = docs.select("text").mapInArrow(prefixes, "h long, node long").repartition("h").sortWithinPartitions("h", "node")
-    return shared.cut(rows.mapInArrow(groups, "h long, node long"))
+    return shared.cut(rows.mapInArrow(groups, "h long, node long"), files)
 
 
-def possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def possible(pairs: DataFrame, classes: DataFrame, least: float, files: int | None = None) -> DataFrame:
     """Those of the pairs (u, v) whose sizes and parities allow the similarity, and in how many shingles they differ at least; no similar pair is lost."""
     ratio = _ratio(least)
 
@@ -173,18 +175,18 @@ def possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     for k in ("u", "v"):
         pairs = pairs.join(classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
-    return shared.cut(pairs.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(run, "u long, v long, differ long"))
+    return shared.cut(pairs.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(run, "u long, v long, differ long"), files)
 
 
-def alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+def alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: float, files: int | None = None) -> DataFrame:
     """Those of the pairs of classes (u, v) whose whole sets have the similarity; the set of v goes to that of u.
 
     The partners of a class are dealt into parts of about ``PARTNERS``, to each of which its set goes too.
     """
     spark, ratio = docs.sparkSession, _ratio(least)
-    pairs = possible(pairs, classes, least)
+    pairs = possible(pairs, classes, least, files)
     parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / PARTNERS).alias("shares"))
-    dealt = shared.cut(pairs.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("shares")).alias("share")))
+    dealt = shared.cut(pairs.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("shares")).alias("share")), files)
     needed = dealt.select("u", "share", F.col("v").alias("node")).union(dealt.select("u", "share", "u").distinct())
     at = shared.fresh(spark, "classes")
     beside.store(needed.join(classes.select("node", F.col("_scan_row").alias("r")), "node").select("r", "u", "share", "node"), at)
@@ -220,7 +222,7 @@ def alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, lea
             yield pa.RecordBatch.from_arrays([u.take(pa.array(good, pa.int64())), v.take(pa.array(good, pa.int64()))], names=["u", "v"])
 
     rows = docs.select("_scan_row", "text").mapInArrow(sets, "u long, share long, node long, later boolean, s binary").repartition("u", "share").sortWithinPartitions("u", "share", "later")
-    out = shared.cut(rows.mapInArrow(compare, "u long, v long"))
+    out = shared.cut(rows.mapInArrow(compare, "u long, v long"), files)
     shared.remove(spark, at)
     return out
 
@@ -258,14 +260,14 @@ def _closest(low: np.ndarray, high: np.ndarray, differ: np.ndarray, best: int) -
     return order[np.arange(len(order)) - first < best]
 
 
-def across(families: DataFrame, classes: DataFrame, least: float, chunk: int, best: int | None = None) -> DataFrame:
+def across(families: DataFrame, classes: DataFrame, least: float, chunk: int, best: int | None = None, files: int | None = None) -> DataFrame:
     """Pairs (u, v) of classes of one family and different components that may be similar. families: hub, node and c, the component.
 
     With ``best`` only so many for each two components of a tile, those that differ least: links among them join components,
     before all other pairs are asked for.
     """
     ratio = _ratio(least)
-    many = shared.cut(families.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub", F.ceil(F.col("k") / chunk).cast("int").alias("chunks")))
+    many = shared.cut(families.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub", F.ceil(F.col("k") / chunk).cast("int").alias("chunks")), files)
     dealt = families.join(many, "hub").join(classes.select("node", "n", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     tiles = tiles.select("hub", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("right"), "node", "n", "bits", "c")
@@ -304,24 +306,24 @@ def across(families: DataFrame, classes: DataFrame, least: float, chunk: int, be
             yield from done(pa.Table.from_batches(held))
         tc.release()
 
-    return shared.cut(tiles.mapInArrow(run, "u long, v long").distinct())
+    return shared.cut(tiles.mapInArrow(run, "u long, v long").distinct(), files)
 
 
-def links(rows: DataFrame, docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int = CHUNK, radius: int = 4) -> DataFrame:
-    """Links (u, v) that join all classes of rows whose similarity is at least ``least``; not all pairs."""
-    classes = shared.cut(rows.groupBy("node").agg(F.min("_scan_row").alias("_scan_row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp")))
-    points = shared.cut(classes.groupBy("fp").agg(F.min("node").alias("node")))
+def links(rows: DataFrame, docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int = CHUNK, radius: int = 4, files: int | None = None) -> DataFrame:
+    """Links (u, v) that join all classes of rows whose similarity is at least ``least``; not all pairs. What is kept on the way has at most ``files`` files a table, if that is given."""
+    classes = shared.cut(rows.groupBy("node").agg(F.min("_scan_row").alias("_scan_row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), files)
+    points = shared.cut(classes.groupBy("fp").agg(F.min("node").alias("node")), files)
     same = classes.select("fp", F.col("node").alias("v")).join(points.withColumnRenamed("node", "u"), "fp").select("u", "v")
-    met = _met(docs, width, least)
+    met = _met(docs, width, least, files)
     shares = met.groupBy("node").agg(F.count("*").alias("shares"))
     hubs = met.join(shares, "node").groupBy("h").agg(F.max_by("node", F.struct("shares", "node")).alias("hub"))
-    family = shared.cut(met.select("h", "node").join(hubs, "h").select("hub", "node").distinct())
-    close = same.union(simhash.links(points, radius)).union(family.select(F.col("hub").alias("u"), F.col("node").alias("v")))
-    stars = shared.cut(close.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    found = alike(stars, classes, docs, width, least)
-    named = shared.cut(family.join(components(found), "node", "left").select("hub", "node", F.coalesce("root", "node").alias("c")))
-    pairs = shared.cut(across(named, classes, least, chunk).join(stars, ["u", "v"], "left_anti"))
-    return found.union(alike(pairs, classes, docs, width, least))
+    family = shared.cut(met.select("h", "node").join(hubs, "h").select("hub", "node").distinct(), files)
+    close = same.union(simhash.links(points, radius, files=files)).union(family.select(F.col("hub").alias("u"), F.col("node").alias("v")))
+    stars = shared.cut(close.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), files)
+    found = alike(stars, classes, docs, width, least, files)
+    named = shared.cut(family.join(components(found, files=files), "node", "left").select("hub", "node", F.coalesce("root", "node").alias("c")), files)
+    pairs = shared.cut(across(named, classes, least, chunk, files=files).join(stars, ["u", "v"], "left_anti"), files)
+    return found.union(alike(pairs, classes, docs, width, least, files))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
@@ -336,7 +338,8 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, chunk: int
     docs_at = beside.numbered(docs, name)
     narrow = docs_at.select("doc_id", "text", F.col(name).alias("_scan_row"))
     rows = shared.cut(classes_of(narrow, width))
-    roots = components(links(rows, narrow, width, least, chunk))
+    files = shared.files(rows.count(), ROWS)
+    roots = components(links(rows, narrow, width, least, chunk, files=files), files=files)
     group, first = F.coalesce("root", "node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_scan_row"))
     best = rows.select("doc_id", "_scan_row", "node").join(roots, "node", "left").groupBy(group.alias("component")).agg(first.alias("first"))
     at = shared.fresh(docs.sparkSession, "kept")

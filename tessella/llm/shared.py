@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tessella.storage import cut, folder, fresh, remove, swept
+from tessella.storage import cut, files, folder, fresh, remove, swept
 
-__all__ = ["cut", "folder", "fresh", "remove", "swept"]
+__all__ = ["cut", "files", "folder", "fresh", "remove", "swept"]

@@ -217,7 +217,7 @@ def blocks_for(n: int, radius: int) -> int:
 _SMALL, _AT_ONCE = 64, 1 << 16
 
 
-def links(points: DataFrame, radius: int = 4, chunk: int = 2048, blocks: int | None = None) -> DataFrame:
+def links(points: DataFrame, radius: int = 4, chunk: int = 2048, blocks: int | None = None, files: int | None = None) -> DataFrame:
     """Spanning links (u, v) between the nodes of distinct fingerprints (fp, node) within the radius."""
     blocks = blocks or blocks_for(points.count(), radius)
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -226,7 +226,7 @@ def links(points: DataFrame, radius: int = 4, chunk: int = 2048, blocks: int | N
         parts = [F.shiftrightunsigned("fp", edges[x]).bitwiseAND(F.lit((1 << (edges[x + 1] - edges[x])) - 1)) for x in chosen]
         keys.append(F.xxhash64(F.lit(t), *parts))
     dealt = points.select("fp", "node", F.explode(F.array(*keys)).alias("bucket"))
-    size = shared.cut(dealt.groupBy("bucket").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int")).select("bucket", "chunks"))
+    size = shared.cut(dealt.groupBy("bucket").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int")).select("bucket", "chunks"), files)
     dealt = dealt.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = dealt.select("bucket", "own", "fp", "node", other.alias("other"))

@@ -49,6 +49,8 @@ from . import textcols as tc
 WIDTH, GRAM, MOST_SEGMENTS = 200, 32, 1024
 #: Segments that are merged at once; shards of these; bytes of text that are cut into segments at once.
 CHUNK, SHARDS, PIECE = 8192, 4, 1 << 20
+#: Segments and fetched segments, with their bytes, of a file, about.
+SEGMENTS, FETCHED = 50_000, 5_000
 _PAD = 255
 _ROW = "_scan_row"
 
@@ -287,7 +289,7 @@ def _merge(fetched: DataFrame, at: str, width: int, gram: int) -> DataFrame:
         tc.release()
 
     rows = fetched.where("not split").select("m", "r", "start", "n", "a", "w", "s", "bytes")
-    rows.repartition("m").sortWithinPartitions("m").mapInArrow(run, _MERGED).write.parquet(f"{at}/merged")
+    rows.repartition("m").sortWithinPartitions("m").mapInArrow(run, _MERGED).coalesce(shared.files(fetched.count(), FETCHED)).write.parquet(f"{at}/merged")
     return fetched.sparkSession.read.parquet(f"{at}/merged")
 
 
@@ -299,9 +301,10 @@ def _solve(found: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], at: s
     """
     spark = found.sparkSession
     kinds = found.groupBy("m", "s").agg(F.sum("w").alias("w"), F.max("r").alias("r"), F.max_by("start", "r").alias("start"), F.first("n").alias("n"), F.first("a").alias("a"))
-    kinds.write.parquet(f"{at}/kinds")
+    files = shared.files(found.count(), SEGMENTS)
+    kinds.coalesce(files).write.parquet(f"{at}/kinds")
     kinds = spark.read.parquet(f"{at}/kinds")
-    kinds.groupBy("m").agg(F.count("*").alias("different"), F.sum("w").alias("all")).where("all > 1").select("m", (F.col("different") > most_segments).alias("split")).write.parquet(f"{at}/groups")
+    kinds.groupBy("m").agg(F.count("*").alias("different"), F.sum("w").alias("all")).where("all > 1").select("m", (F.col("different") > most_segments).alias("split")).coalesce(files).write.parquet(f"{at}/groups")
     groups = spark.read.parquet(f"{at}/groups")
     fetched = fetch(kinds.join(groups, "m"), at)
     merged = _merge(fetched, at, width, gram)
@@ -311,7 +314,7 @@ def _solve(found: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], at: s
         shared.remove(spark, f"{at}/fetched")
 
         def own(chosen: DataFrame, below: str) -> DataFrame:
-            parted.drop("w", "n", "a").join(chosen, ["m", "s", "r", "start"]).write.parquet(f"{below}/fetched")
+            parted.drop("w", "n", "a").join(chosen, ["m", "s", "r", "start"]).coalesce(shared.files(parted.count(), SEGMENTS)).write.parquet(f"{below}/fetched")
             return spark.read.parquet(f"{below}/fetched")
 
         smaller, whole = _solve(parted, own, f"{at}/more", size // 4, width, gram, most_segments)

@@ -1,11 +1,13 @@
 """What must not grow with a session's settings or faster than the input, on small fixtures."""
 
+from pathlib import Path
+
 import pyarrow as pa
 import numpy as np
 from pyspark.sql import functions as F
 
 from tessella import storage
-from tessella.llm import attention, components
+from tessella.llm import attention, components, shared, stages
 from tessella.functions import predicates
 from tessella.operators import evaluate, gold, matching, passes, verify, xref
 from tessella.plans import corpus
@@ -27,6 +29,30 @@ def test_few_links_are_held_in_few_partitions(spark):
     assert [got[k] for k in (1, 2, 3, 8, 9, 59)] == [0, 0, 0, 0, 0, 58]
 
 
+def test_small_tables_of_the_pipeline_are_few_files(spark, monkeypatch, tmp_path):
+    words = [f"w{i * 7919 % 1009}" for i in range(400)]
+    texts = [" ".join(words[40 * k : 40 * k + 60]) for k in range(8)]
+    rows = [(i, texts[i % 8] + (" more" if i % 3 else ""), "en", "web", 0) for i in range(48)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    cut, remove, parts, files = shared.cut, shared.remove, [], []
+    monkeypatch.setattr(shared, "cut", lambda *a: (out := cut(*a), parts.append(out.rdd.getNumPartitions()))[0])
+    count = lambda at: len(list(Path(at.removeprefix("file://")).glob("part-*")))
+    monkeypatch.setattr(shared, "remove", lambda spark, *at: (files.extend(count(f"{x}/{k}") for x in at for k in ("kinds", "groups", "merged")), remove(spark, *at)))
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        kept = sorted(r.doc_id for r in stages.one_of_each_group(docs).collect())
+        left = {r.doc_id: r.n_chars for r in stages.cut_repeats(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == list(range(8)) and len(left) == 48 and max(left.values()) < 20
+    assert max(parts) <= 12 and 0 < max(files) <= 12
+
+
 def test_partitions_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(storage, "DEALT", 10)
     assert storage.parts(spark, 5) == 4 and storage.parts(spark, 95) == 10
