@@ -176,3 +176,37 @@ def test_references_to_one_target_are_no_group(spark, monkeypatch):
     to = {f"r{i}": f"g{i}" for i in range(9)}
     want = sorted((i, at, to.get(t, t) or "") for i, at, t in rows if t is not None or i < "s2")
     assert got == want and largest < len(want) / 4
+
+
+def test_pairs_of_an_article_take_one_shuffle(spark, monkeypatch):
+    word, held = ["OBLIGATION", "PROHIBITION"], {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    rows = [(f"s{i:02}", word[i % 2], f"r:art_{i % 3}/par_{i % 4}{'/pt_a' * (i % 5 == 0)}", [["a b", "c"], ["b a c"], []][i % 3], [f"x{i % 2}", f"y{i % 6}", "all"][: i % 4], [f"p{i % 2}"], [f"o{i % 3}"][: i % 7]) for i in range(36)]
+    s = spark.createDataFrame([(r[0], "DEONTIC", r[1], r[2], r[3], False) for r in rows], "id string, statement_class string, modality string, paragraph_iri string, conditions array<string>, synthetic boolean")
+    slots = spark.createDataFrame([(r[0], rel, c) for r in rows for rel, cs in zip(("SUBJECT", "PREDICATE", "OBJECT"), r[4:]) for c in cs], "id string, rel string, iri string")
+    sets = spark.createDataFrame([(r[0], *map(sorted, r[4:]), []) for r in rows], "id string, subjects array<string>, p array<string>, o array<string>, more array<string>")
+    plain, both = verify.Graph(s, slots, None, None, None), verify.Held(s, slots, None, None, None)
+    both.held = s.join(sets, "id").localCheckpoint()
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and x[1] == y[1] and x[2].split("/par_")[0] == y[2].split("/par_")[0] and set(x[4]) & set(y[4]):
+                child = x[0] if x[2].startswith(y[2] + "/pt_") else y[0] if y[2].startswith(x[2] + "/pt_") else None
+                p, o, (c, d) = x[5] == y[5], bool(x[6]) and x[6] == y[6], (set(" ".join(z[3]).split()) - {"a"} for z in (x, y))
+                alike = 2 * len(c & d) >= len(c | d)
+                want.add((x[0], y[0], x[1], "specialisation" if child else "duplicate_candidate" if p and o and alike else "none", child, p, o))
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for g in (plain, both):
+            out = verify.redundancies(g)
+            got = [tuple(r) for r in out.collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("+- Exchange hashpartitioning") == 1 and "ReusedExchange" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"specialisation", "duplicate_candidate", "none"} == {r[3] for r in want}
+    without = verify.without_synthetic(both._replace(refs=spark.createDataFrame([], "id string, target string"), sources=spark.createDataFrame([], "id string, provision string")))
+    assert without.held is None and verify.redundancies(without).count() == len(want)
